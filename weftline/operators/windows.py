@@ -18,7 +18,7 @@ from weftline.types import fields_of, fresh_name, name_ref
 HOT_ROWS = 5_000_000
 
 RANKS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
-VALUES = ("lag", "lead", "first", "last", "sum", "count", "min", "max")
+VALUES = ("lag", "lead", "first", "last", "nth", "sum", "count", "min", "max")
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,8 @@ class Win:
     """One window column: a rank (`n` parts for ntile), or a function of `field`.
 
     sum, count, min and max run from the partition's first row to the current
-    one; first and last look at the whole partition; lag and lead step one row.
+    one; first, last and nth (the `n`-th row) look at the whole partition; lag
+    and lead step one row.
     """
 
     func: str
@@ -107,6 +108,8 @@ def _plain(partition_by, items, columns: Mapping[str, Win]) -> dict[str, Column]
                 out[name] = getattr(F, win.func)(col).over(window)
             case "first" | "last":
                 out[name] = getattr(F, win.func)(col).over(whole)
+            case "nth":
+                out[name] = F.nth_value(col, win.n).over(whole)
             case _:
                 out[name] = getattr(F, win.func)(col).over(running)
     return out
@@ -160,7 +163,12 @@ def _split(tagged, part, own, partition_by, items, columns: Mapping[str, Win]) -
             known += [F.first(name).over(whole).alias(name), F.lead(name).over(over_ranges).alias(f"next_{name}")]
         else:
             known += [F.last(name).over(whole).alias(name), F.lag(name).over(over_ranges).alias(f"prev_{name}")]
-    carried = facts_of.select(*keys, name_ref(part), F.struct(*known).alias("carry"))
+    summary = facts_of.select(*keys, name_ref(part), *known)
+    nths = sorted({(slot[w.field], w.field, w.n) for w in columns.values() if w.func == "nth"})
+    for i, field, n in nths:
+        summary = _with_nth(summary, tagged, part, partition_by, items, field, n, f"nth{i}_{n}")
+    facts_known = [c for c in summary.columns if c not in (*partition_by, part)]
+    carried = summary.select(*keys, name_ref(part), F.struct(*facts_known).alias("carry"))
 
     # Each range starts with its carry row, so data and carry need one shuffle.
     carry = fresh_name("carry", tagged.columns)
@@ -212,6 +220,8 @@ def _split(tagged, part, own, partition_by, items, columns: Mapping[str, Win]) -
                 out[name] = F.when(here.isNull(), c[f"next_first{i}"]).otherwise(here["v"])
             case "first" | "last":
                 out[name] = c[f"{win.func}{i}"]
+            case "nth":
+                out[name] = c[f"nth{i}_{win.n}"]
             case "sum":
                 out[name] = _plus(c[f"sum{i}"], F.sum(col).over(running))
             case "count":
@@ -224,6 +234,21 @@ def _split(tagged, part, own, partition_by, items, columns: Mapping[str, Win]) -
     return done.select(*[name_ref(n) for n in own + list(columns)])
 
 
+def _with_nth(summary, tagged, part, partition_by, items, field: str, n: int, name: str) -> DataFrame:
+    """Add the value of each key's n-th row; at most n rows per key and range take part."""
+    keys = [name_ref(k) for k in partition_by]
+    rows = tagged.select(*keys, name_ref(part), *[name_ref(c).alias(f"o{i}") for i, (c, _) in enumerate(items)], name_ref(field).alias("v"))
+    order = sort_columns([(f"o{i}", d) for i, (_, d) in enumerate(items)])
+    in_range = Window.partitionBy(*keys, name_ref(part)).orderBy(*order)
+    in_key = Window.partitionBy(*keys).orderBy(name_ref(part), *order)
+    leading = rows.withColumn("place", F.row_number().over(in_range)).where(F.col("place") <= n)
+    found = leading.withColumn("place", F.row_number().over(in_key)).where(F.col("place") == n)
+    renamed = {k: f"nth_key{i}" for i, k in enumerate(partition_by)}
+    found = found.select(*[name_ref(k).alias(r) for k, r in renamed.items()], F.col("v").alias(name))
+    same = reduce(lambda a, b: a & b, [name_ref(k).eqNullSafe(F.col(r)) for k, r in renamed.items()], F.lit(True))
+    return summary.join(found, same, "left").drop(*renamed.values())
+
+
 def _plus(a: Column, b: Column) -> Column:
     """Sum of two nullable sums; null only when both are."""
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
