@@ -264,11 +264,12 @@ def test_large_first_last_every(spark):
     assert Counter(map(tuple, op.sample_every_n(df, 13, ["k", "v"], 200).collect())) == Counter(truth[::13])
 
 
-def test_random_samples_are_exact_and_repeatable(spark):
+@pytest.mark.parametrize("hot_rows", [10**9, 100])
+def test_random_samples_are_exact_and_repeatable(spark, hot_rows):
     df = hot_table(spark)
     source = Counter(map(tuple, df.collect()))
     for n in (10, 1500, 2345, 6000, 9000):
-        a = Counter(map(tuple, op.sample_random_n(df, n, seed=42).collect()))
+        a = Counter(map(tuple, op.sample_random_n(df, n, seed=42, hot_rows=hot_rows).collect()))
         b = Counter(map(tuple, op.sample_random_n(df.repartition(3), n, seed=42).collect()))
         assert a == b and sum(a.values()) == min(n, 6000) and not a - source
     assert op.sample_random_pct(df, 12.5, seed=1).count() == 750
@@ -288,14 +289,30 @@ def test_unique_split(customers):
     assert out.duplicates.count() == 6
 
 
-def test_unique_split_copies_and_nulls(spark):
+@pytest.mark.parametrize("hot_rows", [10**9, 2])
+def test_unique_split_copies_and_nulls(spark, hot_rows):
     df = spark.createDataFrame([(None, 1), (None, 1), (None, 2), (5, 1), (5, 1), (6, 9)], "k int, o int")
-    out = op.unique_split(df, ["k"], ["o"])
+    out = op.unique_split(df, ["k"], ["o"], hot_rows)
     assert rows_of(out.unique) == [(None, 1), (5, 1), (6, 9)]
     assert rows_of(out.duplicates) == [(None, 1), (None, 2), (5, 1)]
-    last = op.unique_split(df, ["k"], [("o", "desc")])
+    last = op.unique_split(df, ["k"], [("o", "desc")], hot_rows)
     assert rows_of(last.unique) == [(None, 2), (5, 1), (6, 9)]
+    assert rows_of(last.duplicates) == [(None, 1), (None, 1), (5, 1)]
     whole = op.unique_split(df)
     assert whole.unique.count() == 4 and rows_of(whole.duplicates) == [(None, 1), (5, 1)]
     with pytest.raises(ValueError):
         op.unique_split(df, ["k"])
+
+
+def test_unique_sends_one_row_per_hot_key_and_task(customers):
+    plan = op.unique_rows(customers, ["region"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+@pytest.mark.parametrize("order", [["k"], [("v", "desc")]])
+def test_hot_duplicates(spark, order):
+    df = hot_table(spark).withColumn("g", F.col("k") % 2)
+    plain = op.unique_split(df, ["g"], order)
+    split = op.unique_split(df, ["g"], order, hot_rows=500)
+    assert Counter(map(tuple, split.duplicates.collect())) == Counter(map(tuple, plain.duplicates.collect()))
+    assert Counter(map(tuple, split.duplicates.unionByName(split.unique).collect())) == Counter(map(tuple, df.collect()))

@@ -31,15 +31,17 @@ def test_python_groups_and_their_limit(customers):
 
 @pytest.mark.parametrize("state_rows", [1, 10, 100_000])
 def test_python_aggregate_combines_before_the_shuffle(spark, state_rows):
-    df = spark.range(0, 30_000, 1, 5).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 40).alias("k"), "id")
+    df = spark.range(0, 30_000, 1, 5).select(
+        F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 40 > 0, F.col("id") % 40).cast("string").alias("k"), "id"
+    )
 
     def partial(b):
-        return b.groupby("k", as_index=False).agg(n=("id", "size"), s=("id", "sum"))
+        return b.groupby("k", as_index=False, dropna=False).agg(n=("id", "size"), s=("id", "sum"))
 
     def merge(p):
-        return p.groupby("k", as_index=False).agg(n=("n", "sum"), s=("s", "sum"))
+        return p.groupby("k", as_index=False, dropna=False).agg(n=("n", "sum"), s=("s", "sum"))
 
-    got = op.python_aggregate(df, ["k"], partial, merge, lambda m: m.assign(s=m.s / m.n)[["k", "s"]], "k bigint, n bigint, s bigint", "k bigint, s double", state_rows)
+    got = op.python_aggregate(df, ["k"], partial, merge, lambda m: m.assign(s=m.s / m.n)[["k", "s"]], "k string, n bigint, s bigint", "k string, s double", state_rows)
     want = {r[0]: r[1] for r in df.groupBy("k").agg(F.avg("id")).collect()}
     assert {r[0]: r[1] for r in got.collect()} == pytest.approx(want)
 

@@ -3,7 +3,7 @@ from weftline.operators.aggregate import Agg, exact_median, summarize
 from weftline.operators.blend import (
     JoinSplit, inner_join, join_split, union_by_name, union_by_position, unmatched,
 )
-from weftline.operators.dedup import UniqueSplit, unique_split
+from weftline.operators.dedup import UniqueSplit, duplicate_rows, unique_rows, unique_split
 from weftline.operators.parse import (
     datetime_format, datetime_parse, infer_json_type, json_parse, regex_match, regex_parse,
     regex_replace, regex_tokenize, split_to_columns, split_to_rows,
@@ -24,12 +24,12 @@ from weftline.operators.windows import Win, ordered_window, qualify
 
 __all__ = [
     "Agg", "Field", "FilterSplit", "JoinSplit", "Preview", "StepCounts", "UniqueSplit", "Win",
-    "asof_join", "crosstab", "datetime_format", "datetime_parse", "exact_median", "filter_split",
+    "asof_join", "crosstab", "datetime_format", "datetime_parse", "duplicate_rows", "exact_median", "filter_split",
     "formula", "infer_json_type", "inner_join", "join_split", "json_parse", "ordered_window",
     "preview", "python_aggregate", "python_batches", "python_frames", "python_groups", "qualify",
     "range_join", "regex_match", "regex_parse", "regex_replace", "regex_tokenize", "row_index",
     "sample_every_n", "sample_first", "sample_last", "sample_random_n", "sample_random_pct",
     "select_fields", "sort_rows", "split_to_columns", "split_to_rows", "sql_inputs", "sql_schema",
-    "summarize", "top_k", "transpose", "union_by_name", "union_by_position", "unique_split",
-    "unmatched", "unpivot",
+    "summarize", "top_k", "transpose", "union_by_name", "union_by_position", "unique_rows",
+    "unique_split", "unmatched", "unpivot",
 ]

@@ -2,14 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.blend import reduce_by
-from weftline.operators.ordering import OrderBy, order_struct, repeat_rows, require_order
+from weftline.operators.ordering import OrderBy, order_struct, repeat_rows, require_order, sort_columns
+from weftline.operators.windows import HOT_ROWS, hot_keys, same_keys
 from weftline.types import fresh_name, name_ref
 
 
@@ -19,41 +18,74 @@ class UniqueSplit(NamedTuple):
 
 
 def unique_split(
-    df: DataFrame, fields: Sequence[str] = (), order_by: OrderBy | str | None = None
+    df: DataFrame, fields: Sequence[str] = (), order_by: OrderBy | str | None = None, hot_rows: int = HOT_ROWS
 ) -> UniqueSplit:
     """First row per key in `unique`, every other row in `duplicates`.
 
     No fields means all of them.  Nulls equal each other.  Ties of `order_by`
     are broken by the remaining columns, so equal ranks are equal rows.
     """
+    return UniqueSplit(unique_rows(df, fields, order_by), duplicate_rows(df, fields, order_by, hot_rows))
+
+
+def unique_rows(df: DataFrame, fields: Sequence[str] = (), order_by: OrderBy | str | None = None) -> DataFrame:
+    """First row per key.
+
+    Spark keeps only the first row per key of each task before the shuffle, so
+    a hot key sends one row per task.
+    """
+    if not fields:
+        return df.distinct()
+    place = fresh_name("place", df.columns)
+    return df.withColumn(place, _place(df, fields, order_by)).where(name_ref(place) == 1).drop(place)
+
+
+def duplicate_rows(
+    df: DataFrame, fields: Sequence[str] = (), order_by: OrderBy | str | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """All rows but the first per key.
+
+    Keys with at most `hot_rows` rows are ranked in one shuffle.  The rows of a
+    hotter key never meet: each is compared with the key's first row, which is
+    broadcast, and only copies of that first row are counted.
+    """
     columns = [name_ref(c) for c in df.columns]
     if not fields:
-        counted, copies = _with_copies(df)
-        return UniqueSplit(df.distinct(), repeat_rows(counted.withColumn(copies, name_ref(copies) - 1), copies))
+        return _spare_copies(df)
+    place = fresh_name("place", df.columns)
+    rank = _place(df, fields, order_by)
+
+    def later(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(place, rank).where(name_ref(place) > 1).drop(place)
 
+    hot = hot_keys(df, fields, hot_rows)
+    if hot is None:
+        return later(df)
+    table = F.broadcast(hot.drop("rows"))
+    cold = df.join(table, same_keys(fields), "left_anti")
+    heavy = df.join(table, same_keys(fields), "left_semi")
     items = require_order(order_by, "unique on some of the fields")
-    first = fresh_name("first", df.columns)
-    # min over (order, row) combines before the shuffle: a hot key is one row per task.
     ranked = F.struct(order_struct(df, items).alias("o"), F.struct(*columns).alias("row"))
-    lead = F.min(ranked).alias(first)
-    firsts = df.groupBy(*[name_ref(f) for f in fields]).agg(lead)
-    unique = firsts.select(*[name_ref(first).getField("row").getField(c).alias(c) for c in df.columns])
-
-    # Everything but the first row of its key: compare each row with that row.
-    keyed = {f: f"{first}_{i}" for i, f in enumerate(fields)}
-    heads = reduce_by(df, fields, lead).select(
-        *[name_ref(f).alias(n) for f, n in keyed.items()], name_ref(first)["row"].alias(first)
+    first = fresh_name("first", df.columns)
+    # One row per hot key, combined before the shuffle: as small as the table of hot keys.
+    heads = heavy.groupBy(*[name_ref(f).alias(f"hot{i}") for i, f in enumerate(fields)]).agg(
+        F.min(ranked)["row"].alias(first)
     )
-    same_key = reduce(lambda a, b: a & b, [name_ref(f).eqNullSafe(name_ref(n)) for f, n in keyed.items()])
-    paired = df.join(heads, same_key, "inner")
+    paired = heavy.join(F.broadcast(heads), same_keys(fields))
     is_head = F.struct(*columns).eqNullSafe(name_ref(first))
     others = paired.where(~is_head).select(*columns)
-    # A head may itself occur several times; all but one of those copies are duplicates.
-    heads_again, copies = _with_copies(paired.where(is_head).select(*columns))
-    spare = repeat_rows(heads_again.withColumn(copies, name_ref(copies) - 1), copies)
-    return UniqueSplit(unique, others.unionByName(spare))
+    return later(cold).unionByName(others).unionByName(_spare_copies(paired.where(is_head).select(*columns)))
+
+
+def _place(df: DataFrame, fields: Sequence[str], order_by: OrderBy | str | None) -> Column:
+    items = require_order(order_by, "unique on some of the fields")
+    named = {n for n, _ in items}
+    tied = items + [(c, False) for c in df.columns if c not in named]
+    return F.row_number().over(Window.partitionBy(*[name_ref(f) for f in fields]).orderBy(*sort_columns(tied)))
 
 
-def _with_copies(df: DataFrame) -> tuple[DataFrame, str]:
+def _spare_copies(df: DataFrame) -> DataFrame:
+    """Of every n equal rows, n - 1."""
     copies = fresh_name("copies", df.columns)
-    return df.groupBy(*[name_ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(copies)), copies
+    counted = df.groupBy(*[name_ref(c) for c in df.columns]).agg((F.count(F.lit(1)) - 1).alias(copies))
+    return repeat_rows(counted, copies)

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 65_536
 SAMPLES_PER_BUCKET = 8
 CHUNK_OF_COPIES = 65_536
+SKETCH_GROUPS = 256
 
 
 def order_items(order_by: OrderBy | str) -> list[tuple[str, bool]]:
@@ -102,19 +104,26 @@ def tag_bucket(df: DataFrame, name: str, value: Column, bounds: Column, n_bounds
         lambda low, step: F.when(F.get(name_ref(held), low + step - 1) <= value, low + step).otherwise(low),
     )
     if only is not None:
-        found = F.when(only, found).otherwise(F.lit(0))
-    return df.withColumn(held, bounds).withColumn(name, found).drop(held)
+        found = F.when(only, found)
+    # Never null, so a join on it adds no null test that repeats the search.
+    return df.withColumn(held, bounds).withColumn(name, F.coalesce(found, F.lit(0))).drop(held)
 
 
 def even_bounds(df: DataFrame, value: Column, n_buckets: int) -> Column:
     """Bounds of about equally full ranges of a numeric or time value, as a lazy scalar.
 
-    They come from a mergeable quantile sketch.  They only balance work: results
-    do not depend on where the cuts fall.
+    Quantile sketches are merged by `SKETCH_GROUPS` tasks, and one task takes
+    quantiles of their few results, so no task merges a sketch per input task.
+    The bounds only balance work: results do not depend on where the cuts fall.
     """
-    fractions = [i / n_buckets for i in range(1, n_buckets)]
-    sketch = F.percentile_approx(value, fractions, max(10_000, 4 * n_buckets))
-    return df.agg(F.array_sort(F.array_distinct(sketch)).alias("bounds")).scalar()
+    # One array literal keeps the plan small.
+    fractions = F.lit(np.arange(1, n_buckets) / n_buckets)
+    shares = df.select(value.alias("v"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("share"))
+    local = shares.groupBy("share").agg(F.percentile_approx("v", fractions, 2 * n_buckets).alias("q"))
+    pooled = F.percentile_approx("v", fractions, 4 * n_buckets)
+    return local.select(F.explode("q").alias("v")).agg(
+        F.array_sort(F.array_distinct(pooled)).alias("bounds")
+    ).scalar()
 
 
 def repeat_rows(df: DataFrame, times: str) -> DataFrame:
@@ -268,11 +277,13 @@ class OrderedBuckets:
         if inside:
             parts.append(self.df.where(bucket.between(inside[0], inside[-1])).select(*columns))
         if cut:
-            spans = self._spans(self.df.where(bucket.isin(cut)), collapse=True)
+            spans = self._spans(self.df.where(bucket.isin(cut)), self.collapse)
             first = F.greatest(name_ref(self.start), F.lit(low))
             last = F.least(name_ref(self.start) + name_ref(self.copies), F.lit(high))
-            kept = spans.select(*columns, (last - first).alias(self.copies))
-            parts.append(repeat_rows(kept, self.copies))
+            if self.collapse:
+                parts.append(repeat_rows(spans.select(*columns, (last - first).alias(self.copies)), self.copies))
+            else:
+                parts.append(spans.where(last > first).select(*columns))
         if not parts:
             return self.source.limit(0)
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

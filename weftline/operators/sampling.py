@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from weftline.operators.ordering import (
     ROWS_PER_BUCKET, OrderBy, OrderedBuckets, order_items, repeat_rows, require_order, sort_columns,
 )
+from weftline.operators.windows import HOT_ROWS
 from weftline.types import fresh_name, name_ref
 
 # Up to here a result is a plain top-k, which one task merges; beyond it the
 # rows are picked range by range without ever gathering them.
 TOP_K_LIMIT = 1_000
 
-HASH_DIGITS = 4
+HASH_DIGITS = 4  # 65,536 prefixes
 
 
 def sort_rows(df: DataFrame, keys: OrderBy) -> DataFrame:
@@ -76,7 +77,9 @@ def _hash_order(df: DataFrame, seed: int, keys: Sequence[str]) -> tuple[DataFram
     return df.withColumn(digest, F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))), digest
 
 
-def sample_random_n(df: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+def sample_random_n(
+    df: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = (), hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Exactly min(n, rows) rows without replacement.
 
     Rows are taken in the order of a keyed digest, so a seed gives the same
@@ -87,26 +90,30 @@ def sample_random_n(df: DataFrame, n: int, seed: int = 0, keys: Sequence[str] =
     columns = [name_ref(c) for c in df.columns]
     if n <= TOP_K_LIMIT:
         return tagged.orderBy(digest, *columns).limit(max(0, n)).select(*columns)
-    return _smallest_digests(tagged, digest, df.columns, lambda total: n)
+    return _smallest_digests(tagged, digest, df.columns, lambda total: n, hot_rows)
 
 
-def sample_random_pct(df: DataFrame, pct: float, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+def sample_random_pct(
+    df: DataFrame, pct: float, seed: int = 0, keys: Sequence[str] = (), hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Exactly floor(rows * pct / 100) rows, pct clamped to 0..100."""
     fraction = max(0.0, min(1.0, pct / 100.0))
     tagged, digest = _hash_order(df, seed, keys)
-    return _smallest_digests(tagged, digest, df.columns, lambda total: int(total * fraction))
+    return _smallest_digests(tagged, digest, df.columns, lambda total: int(total * fraction), hot_rows)
 
 
-def _smallest_digests(tagged: DataFrame, digest: str, columns: list[str], size_of) -> DataFrame:
+def _smallest_digests(tagged: DataFrame, digest: str, columns: list[str], size_of, hot_rows: int) -> DataFrame:
     """The rows with the smallest digests, their number given by `size_of(total)`.
 
     Digests are uniform, so counting their 65,536 prefixes tells which prefixes
     are taken whole: those rows pass without a shuffle.  Only the one prefix the
-    limit cuts is ordered, with copies of a row combined first.
+    limit cuts is ordered; when copies of a row made it large they are combined first.
     """
     out = [name_ref(c) for c in columns]
     prefix = F.conv(F.substring(name_ref(digest), 1, HASH_DIGITS), 16, 10).cast("int")
-    counts = dict(tagged.groupBy(prefix.alias("p")).count().collect())
+    # At most 65,536 rows.
+    found = tagged.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts = dict(zip(found.p.tolist(), found.n.tolist()))
     total = sum(counts.values())
     size = min(total, max(0, size_of(total)))
     whole = [-1]
@@ -121,9 +128,12 @@ def _smallest_digests(tagged: DataFrame, digest: str, columns: list[str], size_o
     if not rest:
         return head
     cut = min(p for p in counts if p > whole[-1])
+    rows = tagged.where(prefix == cut)
+    if counts[cut] <= hot_rows:
+        return head.unionByName(rows.orderBy(name_ref(digest), *out).limit(rest).select(*out))
     copies = fresh_name("copies", tagged.columns)
     ends = fresh_name("ends", tagged.columns)
-    distinct = tagged.where(prefix == cut).groupBy(*[name_ref(c) for c in tagged.columns]).agg(
+    distinct = rows.groupBy(*[name_ref(c) for c in tagged.columns]).agg(
         F.count(F.lit(1)).alias(copies)
     )
     order = Window.orderBy(name_ref(digest), *out).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -49,7 +49,8 @@ def asof_join(
     marks = marks.unionByName(
         offers.select(*keys, F.col("rt").alias("t"), F.lit(2 if strict else 0).alias("side"), "rt")
     )
-    split = split_hot_keys(marks, keys, [("t", False)], hot_rows)
+    counted = l.select(*l_keys).unionByName(r.select(*r_keys))
+    split = split_hot_keys(marks, keys, [("t", False)], hot_rows, counted)
     by = list(keys)
     if split is not None:
         marks, part = split

@@ -69,11 +69,12 @@ def python_aggregate(
 ) -> DataFrame:
     """Aggregate with user code, combining inside each task before the shuffle.
 
-    `partial` turns a batch into partial rows (keys first), `merge` combines
-    partial rows to one per key, `finish` turns merged rows into results.  A
-    task sends at most one row per key and flush, so a hot key costs its final
-    task one row per task instead of all its rows.
+    `partial` turns a batch into partial rows, `merge` combines partial rows to
+    one per key, `finish` turns merged rows into results; each gets rows of
+    many keys at once.  A task sends at most one row per key and flush, so a hot
+    key costs its final task one row per task instead of all its rows.
     """
+    keys = list(keys)
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -91,5 +92,21 @@ def python_aggregate(
         if held:
             yield merge(pd.concat(held, ignore_index=True))
 
+    def conclude(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by key: only the last key of a batch may go on.
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            last = rows[keys].iloc[-1]
+            open_key = (rows[keys].eq(last) | (rows[keys].isna() & last.isna())).all(axis=1)
+            if not open_key.all():
+                yield finish(merge(rows[~open_key]))
+            held = merge(rows[open_key])
+        if held is not None:
+            yield finish(merge(held))
+
+    by = [name_ref(k) for k in keys]
     partials = df.mapInPandas(combine, partial_schema)
-    return partials.groupBy(*[name_ref(k) for k in keys]).applyInPandas(lambda g: finish(merge(g)), schema)
+    return partials.repartition(*by).sortWithinPartitions(*by).mapInPandas(conclude, schema)

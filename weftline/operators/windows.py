@@ -41,33 +41,47 @@ class Win:
             raise ValueError(f"{self.func} needs a field")
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """The keys with more than `hot_rows` rows, with their count in `rows`; None if there are none.
+
+    They are at most rows / hot_rows many, so they are safe to hold and to
+    broadcast.  Key columns come back as `hot0`, `hot1`, ...  One job counts
+    the keys; it reads the key columns only and combines before its shuffle.
+    """
+    named = [name_ref(k).alias(f"hot{i}") for i, k in enumerate(keys)]
+    counts = df.groupBy(*named).agg(F.count(F.lit(1)).alias("rows"))
+    hot = counts.where(F.col("rows") > hot_rows)
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+
+
+def same_keys(keys: Sequence[str]) -> Column:
+    """Join condition between a table and its `hot_keys`."""
+    tests = [name_ref(k).eqNullSafe(F.col(f"hot{i}")) for i, k in enumerate(keys)]
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
 def split_hot_keys(
-    df: DataFrame, keys: Sequence[str], items: list[tuple[str, bool]], hot_rows: int
+    df: DataFrame, keys: Sequence[str], items: list[tuple[str, bool]], hot_rows: int, counted: DataFrame | None = None
 ) -> tuple[DataFrame, str] | None:
     """Tag rows of hot keys with an order range (0 for all other keys).
 
-    None when no key is hot.  The keys with more than `hot_rows` rows are at most
-    rows / hot_rows many, so they are safe to hold and to broadcast.
+    None when no key is hot.  `counted` is a cheaper table with the same keys
+    to find the hot ones in.
     """
-    renamed = {k: f"hot{i}" for i, k in enumerate(keys)}
-    counts = df.groupBy(*[name_ref(k).alias(h) for k, h in renamed.items()]).agg(F.count(F.lit(1)).alias("rows"))
-    hot = counts.where(F.col("rows") > hot_rows)
-    found = hot.collect()
-    if not found:
+    hot = hot_keys(df if counted is None else counted, keys, hot_rows)
+    if hot is None:
         return None
-    names = list(renamed.values())
-    spark = df.sparkSession
-    table = F.broadcast(spark.createDataFrame([tuple(r)[:-1] for r in found], hot.drop("rows").schema)) if names else None
-    same = reduce(lambda a, b: a & b, [name_ref(k).eqNullSafe(F.col(h)) for k, h in renamed.items()], F.lit(True))
-    heavy = df.join(table, same, "left_semi") if names else df
-    total = sum(r["rows"] for r in found)
+    total = hot.agg(F.sum("rows")).first()[0]
+    table = F.broadcast(hot.drop("rows"))
+    heavy = df.join(table, same_keys(keys), "left_semi") if keys else df
     ranges = OrderRanges.sampled(heavy, items, max(2, math.ceil(4 * total / hot_rows)), total)
     part = fresh_name("order_range", df.columns)
-    if not names:
+    if not keys:
         return ranges.tag(df, part), part
-    flagged = df.join(table.withColumn("is_hot", F.lit(True)), same, "left")
+    flagged = df.join(table.withColumn("is_hot", F.lit(True)), same_keys(keys), "left")
     tagged = ranges.tag(flagged, part, only=F.col("is_hot"))
-    return tagged.drop("is_hot", *names), part
+    return tagged.drop("is_hot", *table.columns), part
 
 
 def ordered_window(

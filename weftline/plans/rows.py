@@ -60,19 +60,18 @@ SELECT user_id, event_type, ts, event_id, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) {} 1"""
 
 
-def _unique(t: Tables) -> op.UniqueSplit:
-    events = t.events.select("user_id", "event_type", "ts", "event_id", "value")
-    return op.unique_split(events, ["user_id", "event_type"], ["ts", "event_id"])
+def _events(t: Tables) -> DataFrame:
+    return t.events.select("user_id", "event_type", "ts", "event_id", "value")
 
 
 @query("unique_rows", _RANKED.format("="))
 def unique_rows(t: Tables) -> DataFrame:
-    return _unique(t).unique
+    return op.unique_rows(_events(t), ["user_id", "event_type"], ["ts", "event_id"])
 
 
 @query("duplicate_rows", _RANKED.format(">"))
 def duplicate_rows(t: Tables) -> DataFrame:
-    return _unique(t).duplicates
+    return op.duplicate_rows(_events(t), ["user_id", "event_type"], ["ts", "event_id"])
 
 
 @query("preview", f"SELECT {_ORDERS} FROM orders ORDER BY o_orderkey LIMIT 1000")

@@ -78,8 +78,9 @@ def udaf(t: Tables) -> DataFrame:
         return top_two(pd.DataFrame({"l_suppkey": batch.l_suppkey, "cents": cents}))
 
     def finish(merged: pd.DataFrame) -> pd.DataFrame:
-        second = merged.cents.iloc[1] if len(merged) > 1 else None
-        return pd.DataFrame({"l_suppkey": merged.l_suppkey.iloc[:1], "second_price": pd.array([second], dtype="Int64")})
+        groups = merged.groupby("l_suppkey").cents
+        second = groups.min().astype("Int64").where(groups.size() > 1)
+        return second.rename("second_price").reset_index()
 
     return op.python_aggregate(
         t.lineitem.select("l_suppkey", "l_extendedprice"), ["l_suppkey"], partial, top_two, finish,
