@@ -24,7 +24,8 @@ SPECS = {
     "rn": Win("row_number"), "pr": Win("percent_rank"), "cd": Win("cume_dist"), "nt": Win("ntile", n=7),
     "lag": Win("lag", "v"), "lead": Win("lead", "v"), "first": Win("first", "v"), "last": Win("last", "v"),
     "n3": Win("nth", "id", 3), "n1": Win("nth", "v", 1), "far": Win("nth", "v", 5000),
-    "s": Win("sum", "v"), "c": Win("count", "v"), "lo": Win("min", "v"), "hi": Win("max", "v"),
+    "f1": Win("sum", "v", frame=(-3, 0)), "f2": Win("max", "id", frame=(1, 2)), "f3": Win("count", "v", frame=(-40, 25)),
+    "f4": Win("min", "id", frame=(-9, -4)), "s": Win("sum", "v"), "c": Win("count", "v"), "lo": Win("min", "v"), "hi": Win("max", "v"),
 }
 
 
@@ -48,6 +49,8 @@ def test_window_arguments():
         Win("median")
     with pytest.raises(ValueError):
         Win("lag")
+    with pytest.raises(ValueError):
+        Win("lag", "v", frame=(0, 1))
 
 
 def test_qualify(customers):

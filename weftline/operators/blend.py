@@ -46,7 +46,7 @@ def reduce_by(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     return out.drop(spread)
 
 
-def _side(df: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
+def renamed_side(df: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
     """Columns renamed to unique internal names, and the map to them."""
     names = {c: f"{prefix}{i}" for i, c in enumerate(df.columns)}
     return df.select(*[name_ref(c).alias(n) for c, n in names.items()]), names
@@ -63,8 +63,8 @@ def _all_equal(left: list[str], right: list[str], null_safe: bool = False) -> Co
 def inner_join(left: DataFrame, right: DataFrame, on: Pairs | str) -> DataFrame:
     """Left columns, then right columns without the right keys; clashes get `_right`."""
     pairs = key_pairs(on)
-    l, lnames = _side(left, "l")
-    r, rnames = _side(right, "r")
+    l, lnames = renamed_side(left, "l")
+    r, rnames = renamed_side(right, "r")
     cond = _all_equal([lnames[a] for a, _ in pairs], [rnames[b] for _, b in pairs])
     right_keys = {b for _, b in pairs}
     out = [F.col(n).alias(c) for c, n in lnames.items()]
@@ -82,7 +82,7 @@ def unmatched(left: DataFrame, right: DataFrame, on: Pairs | str) -> DataFrame:
     repeated many times on the right costs one row.
     """
     pairs = key_pairs(on)
-    l, lnames = _side(left, "l")
+    l, lnames = renamed_side(left, "l")
     keys = right.select(*[name_ref(b).alias(f"r{i}") for i, (_, b) in enumerate(pairs)]).dropna()
     keys = reduce_by(keys, keys.columns)
     cond = _all_equal([lnames[a] for a, _ in pairs], keys.columns)

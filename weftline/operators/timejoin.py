@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.blend import Pairs, _side, key_pairs
+from weftline.operators.blend import Pairs, key_pairs, reduce_by, renamed_side
 from weftline.operators.windows import HOT_ROWS, split_hot_keys
 from weftline.types import fields_of
 
@@ -34,16 +34,15 @@ def asof_join(
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     pairs = key_pairs(on)
-    l, lnames = _side(left, "l")
-    r, rnames = _side(right, "r")
+    l, lnames = renamed_side(left, "l")
+    r, rnames = renamed_side(right, "r")
     keys = [f"k{i}" for i in range(len(pairs))]
     l_keys = [F.col(lnames[a]).alias(k) for (a, _), k in zip(pairs, keys)]
     r_keys = [F.col(rnames[b]).alias(k) for (_, b), k in zip(pairs, keys)]
 
     asked = l.select(*l_keys, F.col(lnames[left_time]).alias("t")).dropna().distinct()
-    offers = r.select(*r_keys, F.col(rnames[right_time]).alias("rt"), F.struct("*").alias("row")).dropna(
-        subset=[*keys, "rt"]
-    ).groupBy(*keys, "rt").agg(F.max("row").alias("row"))
+    known = r.select(*r_keys, F.col(rnames[right_time]).alias("rt"), F.struct("*").alias("row")).dropna(subset=[*keys, "rt"])
+    offers = reduce_by(known, [*keys, "rt"], F.max("row").alias("row"))
     # A right row at the same time goes first when it may match, last when not.
     marks = asked.select(*keys, "t", F.lit(1).alias("side"), F.lit(None).cast(fields_of(offers)["rt"]).alias("rt"))
     marks = marks.unionByName(
@@ -100,8 +99,8 @@ def range_join(
     bins of `bin_width`, so this is an equality join, never all pairs; choose
     the width near the usual interval length.
     """
-    l, lnames = _side(left, "l")
-    r, rnames = _side(right, "r")
+    l, lnames = renamed_side(left, "l")
+    r, rnames = renamed_side(right, "r")
     point_col, low_col, high_col = F.col(lnames[point]), F.col(rnames[low]), F.col(rnames[high])
 
     def bin_number(col: Column) -> Column:

@@ -18,6 +18,7 @@ from weftline.types import fields_of, fresh_name, name_ref
 HOT_ROWS = 5_000_000
 
 RANKS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
+FRAMED = ("sum", "count", "min", "max")
 VALUES = ("lag", "lead", "first", "last", "nth", "sum", "count", "min", "max")
 
 
@@ -26,19 +27,22 @@ class Win:
     """One window column: a rank (`n` parts for ntile), or a function of `field`.
 
     sum, count, min and max run from the partition's first row to the current
-    one; first, last and nth (the `n`-th row) look at the whole partition; lag
-    and lead step one row.
+    one, or over a moving `frame` of rows such as (-3, 0); first, last and nth
+    (the `n`-th row) look at the whole partition; lag and lead step one row.
     """
 
     func: str
     field: str = ""
     n: int = 1
+    frame: tuple[int, int] | None = None
 
     def __post_init__(self):
         if self.func not in RANKS + VALUES:
             raise ValueError(f"unknown window function {self.func!r}")
         if self.func in VALUES and not self.field:
             raise ValueError(f"{self.func} needs a field")
+        if self.frame and (self.func not in FRAMED or self.frame[0] > self.frame[1]):
+            raise ValueError(f"no frame {self.frame} for {self.func}")
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
@@ -103,7 +107,50 @@ def ordered_window(
     if split is None:
         return df.withColumns(_plain(partition_by, items, columns))
     tagged, part = split
-    return _split(tagged, part, list(df.columns), partition_by, items, columns)
+    own, done = list(df.columns), tagged
+    framed = {n: w for n, w in columns.items() if w.frame}
+    if framed:
+        done = _framed(done, part, partition_by, items, framed)
+        own += list(framed)
+    rest = {n: w for n, w in columns.items() if not w.frame}
+    if rest:
+        done = _split(done, part, own, partition_by, items, rest)
+    return done.select(*[name_ref(c) for c in [*df.columns, *columns]])
+
+
+def _framed(tagged, part, partition_by, items, columns: Mapping[str, Win]) -> DataFrame:
+    """Moving frames: each range also gets the few rows before and after it."""
+    keys = [name_ref(k) for k in partition_by]
+    order = sort_columns(items)
+    back = sort_columns(items, reverse=True)
+    before = max(0, *(-w.frame[0] for w in columns.values()))
+    after = max(0, *(w.frame[1] for w in columns.values()))
+    place, targets = fresh_name("place", tagged.columns), fresh_name("targets", tagged.columns)
+    edge = fresh_name("edge", tagged.columns)
+    in_range = Window.partitionBy(*keys, name_ref(part))
+    in_key = Window.partitionBy(*keys).orderBy(name_ref(part), *order)
+    rows = tagged.withColumn(edge, F.lit(False))
+    parts = [rows]
+    # The last rows of a range serve the ranges found among the rows that follow
+    # them, and the first rows those found before; only such edge rows meet here.
+    for size, near_end, reach in (
+        (before, back, in_key.rowsBetween(1, max(1, before))),
+        (after, order, in_key.rowsBetween(-max(1, after), -1)),
+    ):
+        if not size:
+            continue
+        edges = tagged.withColumn(place, F.row_number().over(in_range.orderBy(*near_end))).where(name_ref(place) <= size)
+        serving = edges.withColumn(targets, F.array_remove(F.collect_set(name_ref(part)).over(reach), name_ref(part)))
+        moved = serving.select(
+            *[F.explode(name_ref(targets)).alias(c) if c == part else name_ref(c) for c in tagged.columns],
+            F.lit(True).alias(edge),
+        )
+        parts.append(moved)
+    window = in_range.orderBy(*order)
+    out = {
+        n: getattr(F, w.func)(name_ref(w.field)).over(window.rowsBetween(*w.frame)) for n, w in columns.items()
+    }
+    return reduce(DataFrame.unionByName, parts).withColumns(out).where(~name_ref(edge)).drop(edge)
 
 
 def _plain(partition_by, items, columns: Mapping[str, Win]) -> dict[str, Column]:
@@ -125,7 +172,8 @@ def _plain(partition_by, items, columns: Mapping[str, Win]) -> dict[str, Column]
             case "nth":
                 out[name] = F.nth_value(col, win.n).over(whole)
             case _:
-                out[name] = getattr(F, win.func)(col).over(running)
+                frame = window.rowsBetween(*win.frame) if win.frame else running
+                out[name] = getattr(F, win.func)(col).over(frame)
     return out
 
 
@@ -244,8 +292,7 @@ def _split(tagged, part, own, partition_by, items, columns: Mapping[str, Win]) -
                 out[name] = F.least(F.min(col).over(running), c[f"min{i}"])
             case "max":
                 out[name] = F.greatest(F.max(col).over(running), c[f"max{i}"])
-    done = rows.withColumns(with_carry).withColumns(out).where(is_row)
-    return done.select(*[name_ref(n) for n in own + list(columns)])
+    return rows.withColumns(with_carry).withColumns(out).where(is_row)
 
 
 def _with_nth(summary, tagged, part, partition_by, items, field: str, n: int, name: str) -> DataFrame:
