@@ -163,8 +163,12 @@ def test_exact_median(spark, ranges):
     got = {r[0]: r[1] for r in op.exact_median(df, ["g"], "v", "m", ranges).collect()}
     want = {r[0]: r[1] for r in df.groupBy("g").agg(F.median("v")).collect() if r[1] is not None}
     assert got == pytest.approx(want)
-    both = op.summarize(df, ["g"], [Agg("v", "median"), Agg("v", "count")])
-    assert both.count() == 4 and both.where("g = 'void'").first()[1] is None
+    aggs = [Agg("v", "median"), Agg("v", "count"), Agg("v", "median", "again")]
+    plain, split = (op.summarize(df, ["g"], aggs, hot_rows=h) for h in (10**9, 800))
+    assert split.columns == plain.columns == ["g", "median_v", "count_v", "again"]
+    assert rows_of(split) == rows_of(plain) and plain.where("g = 'void'").first()[1] is None
+    whole = op.summarize(df, [], aggs, hot_rows=5)
+    assert tuple(whole.first()) == pytest.approx(tuple(op.summarize(df, [], aggs).first()))
     assert op.exact_median(df, [], "v", "m", ranges).first()[0] == pytest.approx(df.agg(F.median("v")).first()[0])
 
 

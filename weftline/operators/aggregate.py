@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 from weftline.operators.ordering import (
     OrderBy, even_bounds, order_struct, require_order, tag_bucket,
 )
+from weftline.operators.windows import hot_keys, same_keys
 from weftline.types import fields_of, fresh_name, name_ref
 
 FUNCS = ("sum", "count", "count_distinct", "min", "max", "mean", "median", "std", "first", "last")
 
 MEDIAN_RANGES = 1_024
+MEDIAN_HOT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,8 @@ def aggregate_column(df: DataFrame, field: str, func: str, order_by: OrderBy | N
         return pick(col)
     if func == "mean":
         return F.avg(col)
+    if func == "median":
+        return F.median(col).cast("double")
     if func == "std":
         return F.stddev_samp(col)
     if func in ("first", "last"):
@@ -64,7 +68,7 @@ def aggregate_column(df: DataFrame, field: str, func: str, order_by: OrderBy | N
         pick = F.min if func == "first" else F.max
         # The struct keeps a null value; ties go to the smallest / largest value.
         return pick(F.struct(rank.alias("o"), col.alias("v"))).getField("v")
-    raise ValueError(f"{func!r} is not a single-pass aggregate")
+    raise ValueError(f"unknown aggregate {func!r}")
 
 
 def summarize(
@@ -72,28 +76,45 @@ def summarize(
     group_by: Sequence[str] = (),
     aggs: Sequence[Agg] = (),
     order_by: OrderBy | None = None,
+    hot_rows: int = MEDIAN_HOT_ROWS,
 ) -> DataFrame:
     """Group and aggregate.
 
     No aggregates: the distinct keys, or the table itself without keys.
     No keys: one row.  Null keys form one group.
+
+    Spark's median holds the distinct values of a group in memory, so one job
+    counts the groups first, and those above `hot_rows` take `exact_median`.
     """
     aggs = [a for a in aggs if a.field]
     keys = [name_ref(k) for k in group_by]
     if not aggs:
         return df.select(*keys).distinct() if keys else df
-    plain = [a for a in aggs if a.func != "median"]
-    medians = [a for a in aggs if a.func == "median"]
-    if not medians:
-        return df.groupBy(*keys).agg(*[aggregate_column(df, a.field, a.func, order_by).alias(a.name) for a in plain])
-
-    parts = [exact_median(df, group_by, a.field, a.name) for a in medians]
-    # The plain part also carries groups whose values are all null.
-    extra = [aggregate_column(df, a.field, a.func, order_by).alias(a.name) for a in plain]
-    base = df.groupBy(*keys).agg(*extra) if extra else (df.select(*keys).distinct() if keys else None)
-    for part in parts:
-        base = part if base is None else _join_on_keys(base, part, group_by)
-    return base.select(*keys, *[name_ref(a.name) for a in aggs])
+    hot = hot_keys(df, group_by, hot_rows) if any(a.func == "median" for a in aggs) else None
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[aggregate_column(df, a.field, a.func, order_by).alias(a.name) for a in aggs])
+
+    if hot is None:
+        return grouped(df)
+    if not keys:
+        return _with_medians(df, group_by, aggs, order_by)
+    table = F.broadcast(hot.drop("rows"))
+    heavy = df.join(table, same_keys(group_by), "left_semi")
+    light = df.join(table, same_keys(group_by), "left_anti")
+    return grouped(light).unionByName(_with_medians(heavy, group_by, aggs, order_by))
+
+
+def _with_medians(df: DataFrame, group_by: Sequence[str], aggs: Sequence[Agg], order_by: OrderBy | None) -> DataFrame:
+    """All aggregates of hot groups: the medians apart, joined by key."""
+    keys = [name_ref(k) for k in group_by]
+    plain = [aggregate_column(df, a.field, a.func, order_by).alias(a.name) for a in aggs if a.func != "median"]
+    # The count also keeps groups whose values are all null.
+    out = df.groupBy(*keys).agg(*plain, F.count(F.lit(1)).alias(fresh_name("rows", df.columns)))
+    for a in aggs:
+        if a.func == "median":
+            out = _join_on_keys(out, exact_median(df, group_by, a.field, a.name), group_by)
+    return out.select(*keys, *[name_ref(a.name) for a in aggs])
 
 
 def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

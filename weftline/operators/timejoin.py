@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.blend import Pairs, key_pairs, reduce_by, renamed_side
-from weftline.operators.windows import HOT_ROWS, split_hot_keys
+from weftline.operators.windows import HOT_ROWS, hot_keys, split_hot_keys
 from weftline.types import fields_of
 
 
@@ -27,9 +27,10 @@ def asof_join(
     `strict` asks for an earlier time; `how="left"` keeps rows without a match.
     Right rows of equal key and time count as one: the largest by all columns.
 
-    Only distinct (key, time) pairs are ordered.  The full left rows travel once,
-    to an equality join that AQE can split when a key is hot; in the ordering a
-    hot key is cut into time ranges.
+    Ordinary keys: both sides are ordered together, in one shuffle.  With a key of
+    more than `hot_rows` rows only distinct (key, time) pairs are ordered, the hot
+    key cut into time ranges; the full left rows then travel to an equality join,
+    which AQE can split.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
@@ -39,48 +40,63 @@ def asof_join(
     keys = [f"k{i}" for i in range(len(pairs))]
     l_keys = [F.col(lnames[a]).alias(k) for (a, _), k in zip(pairs, keys)]
     r_keys = [F.col(rnames[b]).alias(k) for (_, b), k in zip(pairs, keys)]
+    asking = l.select("*", *l_keys, F.col(lnames[left_time]).alias("t"))
+    known = r.select(*r_keys, F.col(rnames[right_time]).alias("t"), F.struct("*").alias("row")).dropna(subset=[*keys, "t"])
 
-    asked = l.select(*l_keys, F.col(lnames[left_time]).alias("t")).dropna().distinct()
-    known = r.select(*r_keys, F.col(rnames[right_time]).alias("rt"), F.struct("*").alias("row")).dropna(subset=[*keys, "rt"])
-    offers = reduce_by(known, [*keys, "rt"], F.max("row").alias("row"))
-    # A right row at the same time goes first when it may match, last when not.
-    marks = asked.select(*keys, "t", F.lit(1).alias("side"), F.lit(None).cast(fields_of(offers)["rt"]).alias("rt"))
-    marks = marks.unionByName(
-        offers.select(*keys, F.col("rt").alias("t"), F.lit(2 if strict else 0).alias("side"), "rt")
-    )
-    counted = l.select(*l_keys).unionByName(r.select(*r_keys))
-    split = split_hot_keys(marks, keys, [("t", False)], hot_rows, counted)
-    by = list(keys)
-    if split is not None:
-        marks, part = split
-        by.append(part)
-        # The latest right time of all earlier ranges opens each range.
-        latest = marks.groupBy(*by).agg(F.max("rt").alias("rt"))
-        before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-        opening = latest.select(
-            *by, F.lit(None).cast(fields_of(marks)["t"]).alias("t"), F.lit(-1).alias("side"), F.max("rt").over(before).alias("rt")
-        )
-        marks = marks.unionByName(opening)
-    upto = Window.partitionBy(*by).orderBy(F.col("t").asc_nulls_first(), "side").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    matched = marks.withColumn("match", F.max("rt").over(upto)).where("side = 1 and match is not null")
-    matched = matched.select(*[F.col(k).alias(f"m{k}") for k in keys], F.col("t").alias("mt"), "match")
-
-    to_offer = reduce(lambda a, b: a & b, [F.col(f"m{k}") == F.col(k) for k in keys], F.col("match") == F.col("rt"))
-    found = matched.join(offers, to_offer).select(*[f"m{k}" for k in keys], "mt", "row")
-    to_left = reduce(
-        lambda a, b: a & b,
-        [F.col(lnames[a]) == F.col(f"m{k}") for (a, _), k in zip(pairs, keys)],
-        F.col(lnames[left_time]) == F.col("mt"),
-    )
+    hot = hot_keys(asking.select(*keys).dropna().unionByName(known.select(*keys)), keys, hot_rows)
+    if hot is None:
+        found = _latest_in_one_pass(asking, known, keys, strict)
+        matched = found if how == "left" else found.where("row IS NOT NULL")
+        if how == "left":
+            # Rows without key or time match nothing: keep them out of the ordering.
+            empty = " OR ".join(f"{c} IS NULL" for c in [*keys, "t"])
+            rest = asking.where(empty).withColumn("row", F.lit(None).cast(known.schema["row"].dataType))
+            matched = matched.unionByName(rest)
+    else:
+        latest = _latest_by_ranges(asking, known, keys, strict, hot, hot_rows)
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"m{c}") for c in [*keys, "t"]])
+        matched = asking.join(latest, same, how)
     right_keys = {b for _, b in pairs}
     out = [F.col(n).alias(c) for c, n in lnames.items()]
     out += [
         F.col("row")[n].alias(f"{c}_right" if c in lnames else c)
         for c, n in rnames.items() if c not in right_keys
     ]
-    return l.join(found, to_left, how).select(*out)
+    return matched.select(*out)
+
+
+def _latest_in_one_pass(asking: DataFrame, known: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    """Left rows with key and time, and the latest right row as `row`."""
+    # A right row at the same time goes first when it may match, last when not.
+    offers = known.withColumn("side", F.lit(2 if strict else 0))
+    both = asking.dropna(subset=[*keys, "t"]).withColumn("side", F.lit(1)).unionByName(offers, allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy("t", "side", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("row", F.last("row", ignorenulls=True).over(upto)).where("side = 1").drop("side")
+
+
+def _latest_by_ranges(
+    asking: DataFrame, known: DataFrame, keys: list[str], strict: bool, hot: DataFrame, hot_rows: int
+) -> DataFrame:
+    """The latest right row per distinct left key and time, as mk0, ..., mt, row."""
+    asked = asking.select(*keys, "t").dropna().distinct()
+    offers = reduce_by(known, [*keys, "t"], F.max("row").alias("row"))
+    marks = asked.select(*keys, "t", F.lit(1).alias("side"), F.lit(None).cast(fields_of(offers)["t"]).alias("rt"))
+    marks = marks.unionByName(offers.select(*keys, "t", F.lit(2 if strict else 0).alias("side"), F.col("t").alias("rt")))
+    marks, part = split_hot_keys(marks, keys, [("t", False)], hot_rows, hot)
+    by = [*keys, part]
+    # The latest right time of all earlier ranges opens each range.
+    latest = marks.groupBy(*by).agg(F.max("rt").alias("rt"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    opening = latest.select(
+        *by, F.lit(None).cast(fields_of(marks)["t"]).alias("t"), F.lit(-1).alias("side"), F.max("rt").over(before).alias("rt")
+    )
+    upto = Window.partitionBy(*by).orderBy(F.col("t").asc_nulls_first(), "side").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    matched = marks.unionByName(opening).withColumn("match", F.max("rt").over(upto)).where("side = 1 AND match IS NOT NULL")
+    matched = matched.select(*[F.col(k).alias(f"m{k}") for k in keys], F.col("t").alias("mt"), "match")
+    to_offer = reduce(lambda a, b: a & b, [F.col(f"m{k}") == F.col(k) for k in keys], F.col("match") == F.col("t"))
+    return matched.join(offers, to_offer).select(*[f"m{k}" for k in keys], "mt", "row")
 
 
 def range_join(

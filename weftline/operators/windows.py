@@ -66,16 +66,9 @@ def same_keys(keys: Sequence[str]) -> Column:
 
 
 def split_hot_keys(
-    df: DataFrame, keys: Sequence[str], items: list[tuple[str, bool]], hot_rows: int, counted: DataFrame | None = None
-) -> tuple[DataFrame, str] | None:
-    """Tag rows of hot keys with an order range (0 for all other keys).
-
-    None when no key is hot.  `counted` is a cheaper table with the same keys
-    to find the hot ones in.
-    """
-    hot = hot_keys(df if counted is None else counted, keys, hot_rows)
-    if hot is None:
-        return None
+    df: DataFrame, keys: Sequence[str], items: list[tuple[str, bool]], hot_rows: int, hot: DataFrame
+) -> tuple[DataFrame, str]:
+    """Tag rows of the `hot_keys` with an order range, all other rows with 0."""
     total = hot.agg(F.sum("rows")).first()[0]
     table = F.broadcast(hot.drop("rows"))
     heavy = df.join(table, same_keys(keys), "left_semi") if keys else df
@@ -103,10 +96,10 @@ def ordered_window(
     small row per range.
     """
     items = require_order(order_by, "a window")
-    split = split_hot_keys(df, partition_by, items, hot_rows)
-    if split is None:
+    hot = hot_keys(df, partition_by, hot_rows)
+    if hot is None:
         return df.withColumns(_plain(partition_by, items, columns))
-    tagged, part = split
+    tagged, part = split_hot_keys(df, partition_by, items, hot_rows, hot)
     own, done = list(df.columns), tagged
     framed = {n: w for n, w in columns.items() if w.frame}
     if framed:
