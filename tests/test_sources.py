@@ -88,8 +88,10 @@ def test_arrow_large_file_is_shared_among_tasks(spark, tmp_path):
         src.write_arrow(spark.range(0, 5000, 1, 1), path)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    out = src.read_arrow(spark, path, batches_per_task=10)
-    assert out.rdd.getNumPartitions() == 5
+    size = max(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".arrow"))
+    out = src.read_arrow(spark, path, split_bytes=size // 5 + 100)
+    assert 5 <= out.rdd.getNumPartitions() <= 6
+    assert src.read_arrow(spark, path).rdd.getNumPartitions() == 1
     assert out.agg(F.sum("id"), F.count("id")).first() == (12497500, 5000)
 
 

@@ -1,14 +1,15 @@
 """Arrow IPC files as a Spark data source, read and written in parallel.
 
-Spark has no built-in `arrow` format.  Readers get whole files or runs of
-record batches, so large files are shared among tasks; writers produce one file
-per task, which become visible only when the whole job commits.
+Spark has no built-in `arrow` format.  Readers get whole files, or runs of the
+record batches of a large file; writers produce one file per task, which become
+visible only when the whole job commits.
 """
 from __future__ import annotations
 
 import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,7 +22,14 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 FORMAT = "arrow_ipc"
-BATCHES_PER_TASK = 64
+SPLIT_BYTES = 512 * 1024 * 1024
+DRIVER_THREADS = 32
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path on the cluster's default file system, as Spark itself reads it."""
+    root = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return path if ":" in path or root.startswith("file:") else root.rstrip("/") + path
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -33,54 +41,53 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), os.path.abspath(path)
 
 
-def _data_files(path: str) -> tuple[pafs.FileSystem, list[str]]:
+def _data_files(path: str) -> tuple[pafs.FileSystem, list[pafs.FileInfo]]:
     system, base = _filesystem(path)
     info = system.get_file_info(base)
     if info.type == pafs.FileType.File:
-        return system, [base]
+        return system, [info]
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = system.get_file_info(pafs.FileSelector(base, recursive=False))
-    return system, sorted(
-        f.path for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))
-    )
+    files = [f for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))]
+    return system, sorted(files, key=lambda f: f.path)
 
 
 @dataclass
 class _Batches(InputPartition):
     file: str
     first: int
-    last: int
+    last: int | None
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, per_task: int):
-        self.path, self.names, self.per_task = path, schema.names, per_task
+    def __init__(self, path: str, schema: StructType, split_bytes: int):
+        self.path, self.names, self.split_bytes = path, schema.names, split_bytes
 
     def partitions(self) -> list[InputPartition]:
         system, files = _data_files(self.path)
-        parts = []
-        for file in files:
+
+        def parts_of(file: pafs.FileInfo) -> list[_Batches]:
+            if file.size <= self.split_bytes:
+                return [_Batches(file.path, 0, None)]
             # Only the footer is read here.
-            with system.open_input_file(file) as source:
+            with system.open_input_file(file.path) as source:
                 n = pa.ipc.open_file(source).num_record_batches
-            parts += [_Batches(file, i, min(i + self.per_task, n)) for i in range(0, n, self.per_task)]
-        return parts
+            step = max(1, n * self.split_bytes // file.size)
+            return [_Batches(file.path, i, min(i + step, n)) for i in range(0, n, step)]
+
+        with ThreadPoolExecutor(DRIVER_THREADS) as pool:
+            return [part for parts in pool.map(parts_of, files) for part in parts]
 
     def read(self, part: _Batches) -> Iterator[pa.RecordBatch]:
         system, _ = _filesystem(self.path)
         with system.open_input_file(part.file) as source:
-            reader = pa.ipc.open_file(
-                source, options=pa.ipc.IpcReadOptions(included_fields=self._fields(system, part.file))
-            )
-            for i in range(part.first, part.last):
+            whole = pa.ipc.open_file(source).schema
+            wanted = pa.ipc.IpcReadOptions(included_fields=sorted(whole.get_field_index(n) for n in self.names))
+            reader = pa.ipc.open_file(source, options=wanted)
+            for i in range(part.first, reader.num_record_batches if part.last is None else part.last):
                 yield reader.get_batch(i).select(self.names)
 
-    def _fields(self, system, file: str) -> list[int]:
-        with system.open_input_file(file) as source:
-            schema = pa.ipc.open_file(source).schema
-        return sorted(schema.get_field_index(n) for n in self.names)
-
 
 @dataclass
 class _Written(WriterCommitMessage):
@@ -111,11 +118,10 @@ class _Writer(DataSourceArrowWriter):
         system.create_dir(base, recursive=True)
         old = _data_files(self.path)[1] if self.overwrite else []
         # Retried tasks may have left files behind: only reported ones move in.
-        for message in messages:
-            if message is not None and message.file:
-                system.move(f"{base}/{self.staging}/{message.file}", f"{base}/{message.file}")
-        for file in old:
-            system.delete_file(file)
+        names = [m.file for m in messages if m is not None and m.file]
+        with ThreadPoolExecutor(DRIVER_THREADS) as pool:
+            list(pool.map(lambda n: system.move(f"{base}/{self.staging}/{n}", f"{base}/{n}"), names))
+            list(pool.map(lambda f: system.delete_file(f.path), old))
         self._drop_staging(system, base)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -136,7 +142,7 @@ class ArrowIpcSource(DataSource):
         system, files = _data_files(self.options["path"])
         if not files:
             raise FileNotFoundError(f"no Arrow files in {self.options['path']}")
-        with system.open_input_file(files[0]) as source:
+        with system.open_input_file(files[0].path) as source:
             found = pa.ipc.open_file(source).schema
         whole = from_arrow_schema(found, prefer_timestamp_ntz=True)
         wanted = self.options.get("columns")
@@ -145,27 +151,27 @@ class ArrowIpcSource(DataSource):
         return StructType([whole[c] for c in wanted.split("\x1f")])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], schema, int(self.options.get("batchespertask", BATCHES_PER_TASK)))
+        return _Reader(self.options["path"], schema, int(self.options.get("splitbytes", SPLIT_BYTES)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], overwrite)
 
 
-def read_arrow(spark: SparkSession, path: str, columns: list[str] | None = None, batches_per_task: int = BATCHES_PER_TASK) -> DataFrame:
-    """Arrow IPC file or folder.
+def read_arrow(spark: SparkSession, path: str, columns: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Arrow IPC file or folder; files above `split_bytes` are shared among tasks.
 
     Spark cannot push a projection into a Python source, so name the `columns`
     a query needs to read only those.
     """
     spark.dataSource.register(ArrowIpcSource)
-    reader = spark.read.format(FORMAT).option("batchesPerTask", batches_per_task)
+    reader = spark.read.format(FORMAT).option("splitBytes", split_bytes)
     if columns:
         reader = reader.option("columns", "\x1f".join(columns))
-    return reader.load(path)
+    return reader.load(_qualified(spark, path))
 
 
 def write_arrow(df: DataFrame, path: str) -> DataFrame:
     """One Arrow IPC file per task, replacing what is there; returns the input."""
     df.sparkSession.dataSource.register(ArrowIpcSource)
-    df.write.format(FORMAT).mode("overwrite").save(path)
+    df.write.format(FORMAT).mode("overwrite").save(_qualified(df.sparkSession, path))
     return df
