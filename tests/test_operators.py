@@ -208,6 +208,22 @@ def test_unpivot(spark):
     assert op.unpivot(df, ["region"], ["gone"]) is df
 
 
+def test_bounds_become_one_shared_literal(spark):
+    from weftline.operators.ordering import OrderRanges
+    df = spark.range(1000).withColumn("t", F.timestamp_micros(F.col("id")).cast("timestamp_ntz"))
+    ranges = OrderRanges.sampled(df, order_items(["t", ("id", "desc")]), 8, 1000)
+    tagged = df.withColumn("r", ranges.number(df))
+    assert "from_json" not in tagged._jdf.queryExecution().optimizedPlan().toString()
+    sizes = [r["count"] for r in tagged.groupBy("r").count().orderBy("r").collect()]
+    assert len(sizes) == ranges.bounds.count + 1 == 8 and max(sizes) < 400
+    assert tagged.selectExpr("bool_and(r >= 0)").first()[0]
+
+
+def test_unpivot_odd_names(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "`a.b` int, `c d` int, kept_0 int")
+    assert rows_of(op.unpivot(df, ["a.b", "kept_0"], ["c d", "a.b"])) == [(1, 3, "a.b", 1), (1, 3, "c d", 2)]
+
+
 def test_transpose(regions):
     out = op.transpose(regions, "region")
     assert out.columns == ["column", "East", "North", "West"]

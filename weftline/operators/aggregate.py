@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators.ordering import (
-    OrderBy, even_bounds, order_struct, require_order, tag_bucket,
+    OrderBy, even_bounds, order_struct, require_order,
 )
 from weftline.operators.windows import hot_keys, same_keys
 from weftline.types import fields_of, fresh_name, name_ref
@@ -141,7 +141,7 @@ def exact_median(df: DataFrame, group_by: Sequence[str], field: str, output: str
     ).where(F.col("v").isNotNull())
     histogram = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
     bounds = even_bounds(values, F.col("v"), ranges)
-    parted = tag_bucket(histogram, "part", F.col("v"), bounds, ranges - 1)
+    parted = histogram.withColumn("part", F.coalesce(bounds.bucket_of(F.col("v")), F.lit(0)))
 
     in_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     cells = parted.groupBy(*keys, "part").agg(F.sum("n").alias("cell"))

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.types import align, common_type, fields_of, fresh_name, name_ref, typed
+from weftline.types import align, common_type, fields_of, fresh_name, name_ref, not_null, typed
 
 
 class JoinSplit(NamedTuple):
@@ -83,8 +83,8 @@ def unmatched(left: DataFrame, right: DataFrame, on: Pairs | str) -> DataFrame:
     """
     pairs = key_pairs(on)
     l, lnames = renamed_side(left, "l")
-    keys = right.select(*[name_ref(b).alias(f"r{i}") for i, (_, b) in enumerate(pairs)]).dropna()
-    keys = reduce_by(keys, keys.columns)
+    keys = right.select(*[name_ref(b).alias(f"r{i}") for i, (_, b) in enumerate(pairs)])
+    keys = reduce_by(not_null(keys, keys.columns), keys.columns)
     cond = _all_equal([lnames[a] for a, _ in pairs], keys.columns)
     return l.join(keys, cond, "left_anti").select(*[F.col(n).alias(c) for c, n in lnames.items()])
 

@@ -80,7 +80,7 @@ def duplicate_rows(
 def _place(df: DataFrame, fields: Sequence[str], order_by: OrderBy | str | None) -> Column:
     items = require_order(order_by, "unique on some of the fields")
     named = {n for n, _ in items}
-    tied = items + [(c, False) for c in df.columns if c not in named]
+    tied = items + [(c, False) for c in df.columns if c not in named and c not in fields]
     return F.row_number().over(Window.partitionBy(*[name_ref(f) for f in fields]).orderBy(*sort_columns(tied)))
 
 

@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.types import fields_of, fresh_name, name_ref
+from weftline.types import TEXT_TIMES, fields_of, fresh_name, name_ref
 
 OrderBy = Sequence["str | tuple[str, str]"]
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 65_536
+MAX_BUCKETS = 32_768
 SAMPLES_PER_BUCKET = 8
 CHUNK_OF_COPIES = 65_536
 SKETCH_GROUPS = 256
@@ -90,27 +90,38 @@ def order_struct(df: DataFrame, items: list[tuple[str, bool]]) -> Column:
     )
 
 
-def tag_bucket(df: DataFrame, name: str, value: Column, bounds: Column, n_bounds: int, only: Column | None = None) -> DataFrame:
-    """Add how many of the sorted `bounds` are at or below `value`.
+@dataclass(frozen=True)
+class Bounds:
+    """Sorted cut values, held as text so that every later pass sees the same ones."""
 
-    `bounds` is a scalar subquery; the search is binary and stays inside the
-    JVM.  Rows that fail `only` get 0.
-    """
-    held = fresh_name("bounds", df.columns)
-    steps = [2**i for i in reversed(range(max(1, n_bounds.bit_length())))]
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda low, step: F.when(F.get(name_ref(held), low + step - 1) <= value, low + step).otherwise(low),
-    )
-    if only is not None:
-        found = F.when(only, found)
-    # Never null, so a join on it adds no null test that repeats the search.
-    return df.withColumn(held, bounds).withColumn(name, F.coalesce(found, F.lit(0))).drop(held)
+    text: str
+    type: T.DataType
+    count: int
+
+    @staticmethod
+    def collected(df: DataFrame) -> Bounds:
+        """From a table of one row with one array column."""
+        name = df.columns[0]
+        row = df.select(F.to_json(name, TEXT_TIMES).alias("text"), F.size(name).alias("n")).first()
+        return Bounds(row["text"] or "[]", df.schema[name].dataType, max(0, row["n"] or 0))
+
+    def bucket_of(self, value: Column) -> Column:
+        """How many of the bounds are at or below `value`; never null.
+
+        The optimizer folds the bounds to one literal, which is shared by all
+        rows, and the search is binary and stays inside the JVM.
+        """
+        bounds = F.from_json(F.lit(self.text), self.type, TEXT_TIMES)
+        steps = [2**i for i in reversed(range(max(1, self.count.bit_length())))]
+        return F.aggregate(
+            F.array(*[F.lit(s) for s in steps]),
+            F.lit(0),
+            lambda low, step: F.when(F.get(bounds, low + step - 1) <= value, low + step).otherwise(low),
+        )
 
 
-def even_bounds(df: DataFrame, value: Column, n_buckets: int) -> Column:
-    """Bounds of about equally full ranges of a numeric or time value, as a lazy scalar.
+def even_bounds(df: DataFrame, value: Column, n_buckets: int) -> Bounds:
+    """Bounds of about equally full ranges of a numeric or time value.
 
     Quantile sketches are merged by `SKETCH_GROUPS` tasks, and one task takes
     quantiles of their few results, so no task merges a sketch per input task.
@@ -121,9 +132,7 @@ def even_bounds(df: DataFrame, value: Column, n_buckets: int) -> Column:
     shares = df.select(value.alias("v"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("share"))
     local = shares.groupBy("share").agg(F.percentile_approx("v", fractions, 2 * n_buckets).alias("q"))
     pooled = F.percentile_approx("v", fractions, 4 * n_buckets)
-    return local.select(F.explode("q").alias("v")).agg(
-        F.array_sort(F.array_distinct(pooled)).alias("bounds")
-    ).scalar()
+    return Bounds.collected(local.select(F.explode("q").alias("v")).agg(F.array_sort(F.array_distinct(pooled)).alias("bounds")))
 
 
 def repeat_rows(df: DataFrame, times: str) -> DataFrame:
@@ -146,15 +155,15 @@ def repeat_rows(df: DataFrame, times: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class OrderRanges:
-    """Cuts of a row order into ranges, fixed once so that every later pass agrees."""
+    """Cuts of a row order into ranges."""
 
     items: list[tuple[str, bool]]
-    bounds: DataFrame
-    n_bounds: int
+    bounds: Bounds
 
     @staticmethod
     def sampled(df: DataFrame, items: list[tuple[str, bool]], n_ranges: int, total: int) -> OrderRanges:
         """Cuts from a sample of a few rows per range; `total` is the row count."""
+        n_ranges = min(n_ranges, MAX_BUCKETS)
         fraction = min(1.0, n_ranges * SAMPLES_PER_BUCKET / max(1, total))
         keys = df.select(order_struct(df, items).alias("k")).sample(fraction, seed=17)
         ranked = keys.agg(F.sort_array(F.collect_list("k")).alias("ks"))
@@ -162,13 +171,11 @@ class OrderRanges:
             F.sequence(F.lit(1), F.lit(n_ranges - 1)),
             lambda i: F.get(F.col("ks"), F.floor(i * F.size("ks") / n_ranges).cast("int")),
         )
-        cut = ranked.select(F.array_distinct(F.array_compact(picks)).alias("bounds"))
-        row = cut.first()
-        return OrderRanges(items, df.sparkSession.createDataFrame([(row["bounds"],)], cut.schema), len(row["bounds"]))
+        return OrderRanges(items, Bounds.collected(ranked.select(F.array_distinct(F.array_compact(picks)).alias("bounds"))))
 
-    def tag(self, df: DataFrame, name: str, only: Column | None = None) -> DataFrame:
-        """Add the range number; rows of equal order share a range."""
-        return tag_bucket(df, name, order_struct(df, self.items), self.bounds.scalar(), self.n_bounds, only)
+    def number(self, df: DataFrame) -> Column:
+        """The range number of each row; rows of equal order share a range."""
+        return self.bounds.bucket_of(order_struct(df, self.items))
 
 
 class OrderedBuckets:
@@ -202,9 +209,9 @@ class OrderedBuckets:
             self.counts = [total]
             return
         ranges = OrderRanges.sampled(df, items, n_buckets, total)
-        self.df = ranges.tag(df, self.bucket)
+        self.df = df.withColumn(self.bucket, ranges.number(df))
         found = {r[0]: r[1] for r in self.df.groupBy(self.bucket).count().collect()}
-        self.counts = [found.get(b, 0) for b in range(ranges.n_bounds + 1)]
+        self.counts = [found.get(b, 0) for b in range(ranges.bounds.count + 1)]
 
     @property
     def total(self) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.aggregate import aggregate_column
 from weftline.operators.ordering import OrderBy, require_order, sort_columns
-from weftline.types import align, common_type, fields_of, fresh_name, name_ref
+from weftline.types import align, common_type, fields_of, fresh_name, name_ref, typed
 
 CROSSTAB_FUNCS = ("sum", "mean", "min", "max", "first", "last", "count")
 
@@ -67,16 +67,14 @@ def unpivot(
         return df
     id_fields = [f for f in id_fields if f in types]
     shared = common_type([types[f] for f in value_fields])
-    # A field may be both: read the values from their own copies.
-    copies = {f: fresh_name(f"unpivot_{i}", df.columns) for i, f in enumerate(value_fields)}
+    # A field may be both kept and unpivoted, so the kept ones get names of their own.
+    kept = {f: fresh_name(f"kept_{i}", df.columns, [name_column, value_column]) for i, f in enumerate(id_fields)}
     wide = df.select(
-        *[name_ref(f) for f in id_fields],
-        *[name_ref(f).cast(shared).alias(c) for f, c in copies.items()],
+        *[name_ref(f).alias(k) for f, k in kept.items()],
+        *[typed(name_ref(f), types[f], shared).alias(f) for f in value_fields],
     )
-    pairs = F.array(*[
-        F.struct(F.lit(f).alias("n"), name_ref(c).alias("v")) for f, c in copies.items()
-    ])
-    return wide.select(*[name_ref(f) for f in id_fields], F.inline(pairs).alias(name_column or "name", value_column or "value"))
+    long = wide.unpivot(list(kept.values()), [name_ref(f) for f in value_fields], name_column or "name", value_column or "value")
+    return long.withColumnsRenamed({k: f for f, k in kept.items()})
 
 
 def transpose(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.blend import Pairs, key_pairs, reduce_by, renamed_side
 from weftline.operators.windows import HOT_ROWS, hot_keys, split_hot_keys
-from weftline.types import fields_of
+from weftline.types import fields_of, not_null
 
 
 def asof_join(
@@ -41,9 +41,9 @@ def asof_join(
     l_keys = [F.col(lnames[a]).alias(k) for (a, _), k in zip(pairs, keys)]
     r_keys = [F.col(rnames[b]).alias(k) for (_, b), k in zip(pairs, keys)]
     asking = l.select("*", *l_keys, F.col(lnames[left_time]).alias("t"))
-    known = r.select(*r_keys, F.col(rnames[right_time]).alias("t"), F.struct("*").alias("row")).dropna(subset=[*keys, "t"])
+    known = not_null(r.select(*r_keys, F.col(rnames[right_time]).alias("t"), F.struct("*").alias("row")), [*keys, "t"])
 
-    hot = hot_keys(asking.select(*keys).dropna().unionByName(known.select(*keys)), keys, hot_rows)
+    hot = hot_keys(not_null(asking.select(*keys), keys).unionByName(known.select(*keys)), keys, hot_rows)
     if hot is None:
         found = _latest_in_one_pass(asking, known, keys, strict)
         matched = found if how == "left" else found.where("row IS NOT NULL")
@@ -69,7 +69,7 @@ def _latest_in_one_pass(asking: DataFrame, known: DataFrame, keys: list[str], st
     """Left rows with key and time, and the latest right row as `row`."""
     # A right row at the same time goes first when it may match, last when not.
     offers = known.withColumn("side", F.lit(2 if strict else 0))
-    both = asking.dropna(subset=[*keys, "t"]).withColumn("side", F.lit(1)).unionByName(offers, allowMissingColumns=True)
+    both = not_null(asking, [*keys, "t"]).withColumn("side", F.lit(1)).unionByName(offers, allowMissingColumns=True)
     upto = Window.partitionBy(*keys).orderBy("t", "side", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("row", F.last("row", ignorenulls=True).over(upto)).where("side = 1").drop("side")
 
@@ -78,7 +78,7 @@ def _latest_by_ranges(
     asking: DataFrame, known: DataFrame, keys: list[str], strict: bool, hot: DataFrame, hot_rows: int
 ) -> DataFrame:
     """The latest right row per distinct left key and time, as mk0, ..., mt, row."""
-    asked = asking.select(*keys, "t").dropna().distinct()
+    asked = not_null(asking.select(*keys, "t"), [*keys, "t"]).distinct()
     offers = reduce_by(known, [*keys, "t"], F.max("row").alias("row"))
     marks = asked.select(*keys, "t", F.lit(1).alias("side"), F.lit(None).cast(fields_of(offers)["t"]).alias("rt"))
     marks = marks.unionByName(offers.select(*keys, "t", F.lit(2 if strict else 0).alias("side"), F.col("t").alias("rt")))

@@ -75,9 +75,9 @@ def split_hot_keys(
     ranges = OrderRanges.sampled(heavy, items, max(2, math.ceil(4 * total / hot_rows)), total)
     part = fresh_name("order_range", df.columns)
     if not keys:
-        return ranges.tag(df, part), part
+        return df.withColumn(part, ranges.number(df)), part
     flagged = df.join(table.withColumn("is_hot", F.lit(True)), same_keys(keys), "left")
-    tagged = ranges.tag(flagged, part, only=F.col("is_hot"))
+    tagged = flagged.withColumn(part, F.when(F.col("is_hot"), ranges.number(df)).otherwise(F.lit(0)))
     return tagged.drop("is_hot", *table.columns), part
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.types import name_ref
+from weftline.types import TEXT_TIMES, name_ref
 
 INFER_ROWS = 100
 
@@ -74,15 +74,9 @@ def read_json(
     return spark.read.json(path, multiLine=not lines, schema=schema, samplingRatio=sampling_ratio)
 
 
-# Spark's default text formats cut timestamps to milliseconds.
-_WHOLE_TIMES = dict(
-    timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-)
-
-
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", write_header: bool = True) -> DataFrame:
     """Write a folder of CSV files, replacing what is there; returns the input."""
-    df.write.mode("overwrite").options(**_WHOLE_TIMES).csv(path, sep=delimiter, header=write_header, quote='"', escape='"')
+    df.write.mode("overwrite").options(**TEXT_TIMES).csv(path, sep=delimiter, header=write_header, quote='"', escape='"')
     return df
 
 
@@ -93,5 +87,5 @@ def write_parquet(df: DataFrame, path: str) -> DataFrame:
 
 def write_ndjson(df: DataFrame, path: str) -> DataFrame:
     """One JSON object per line; null fields are written too."""
-    df.write.mode("overwrite").options(**_WHOLE_TIMES).json(path, ignoreNullFields=False)
+    df.write.mode("overwrite").options(**TEXT_TIMES).json(path, ignoreNullFields=False)
     return df

@@ -28,6 +28,12 @@ LOGICAL_TYPES: dict[str, T.DataType] = {
     "binary": T.BinaryType(),
 }
 
+# Formats that keep microseconds; Spark's text defaults cut them to milliseconds.
+TEXT_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 UNSIGNED_BITS = {"uint8": 8, "uint16": 16, "uint32": 32, "uint64": 64}
 
 
@@ -130,3 +136,8 @@ def fresh_name(base: str, *taken: list[str]) -> str:
     while name in used:
         name = "_" + name
     return name
+
+
+def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows where all the columns are filled; unlike `dropna`, the test reaches the scan."""
+    return df.where(reduce(lambda a, b: a & b, [name_ref(c).isNotNull() for c in columns]))
