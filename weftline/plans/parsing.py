@@ -89,7 +89,8 @@ def json_parse(t: Tables) -> DataFrame:
 
 
 @query("json_parse_nonobject", """
-SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS first, user_id AS second FROM events""")
+SELECT event_id, CASE WHEN user_id IS NOT NULL THEN CAST(props ->> '$.k' AS BIGINT) END AS first, user_id AS second
+FROM events""")
 def json_parse_nonobject(t: Tables) -> DataFrame:
     """Array documents, parsed to a list column."""
     lists = t.events.select(

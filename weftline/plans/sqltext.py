@@ -165,7 +165,7 @@ def window_frame(t: Tables) -> DataFrame:
         pairs AS (SELECT user_id, day, sum(n) OVER (PARTITION BY user_id ORDER BY day
                          RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS two_days FROM days)
         SELECT event_id, framed.user_id, round(last_four, 4) AS last_four, two_days, next_two
-        FROM framed JOIN pairs ON framed.user_id = pairs.user_id AND framed.day = pairs.day""", events=events, framed=framed)
+        FROM framed JOIN pairs ON framed.user_id <=> pairs.user_id AND framed.day = pairs.day""", events=events, framed=framed)
 
 
 @query("sql_window_rank", """
