@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from weftline.functions.base import as_text
 
-# Unicode white space, as a Java regex class.
-_BLANKS = r"[\s\x{85}\p{Z}]"
+# The characters Unicode counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def trim(x: Column | str) -> Column:
     """Strip all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(as_text(x), rf"^{_BLANKS}+|{_BLANKS}+$", "")
+    return F.btrim(as_text(x), F.lit(WHITE_SPACE))
 
 
 def upper(x: Column | str) -> Column:

@@ -110,6 +110,16 @@ ONE_DIGIT = {"m": "M", "d": "d", "H": "H", "I": "h", "M": "m", "S": "s"}
 DATE_PATTERNS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "d-M-yyyy", "d/M/yyyy", "d.M.yyyy")
 TIME_PATTERNS = ("H:m:s[.SSSSSS]", "H:m")
 
+# The digits each part of those patterns stands for.
+PART_SHAPES = {"yyyy": r"\d{4}", "['T'][ ]": "[T ]", "[.SSSSSS]": r"(\.\d{1,6})?", ".": r"\."}
+
+
+def _when_shaped(col: Column, pattern: str, parsed: Column) -> Column:
+    """Parse only text of the pattern's shape: a failed parse is far dearer than a match."""
+    parts = re.findall(r"yyyy|\['T'\]\[ \]|\[\.S+\]|[A-Za-z]|.", pattern)
+    shape = "".join(PART_SHAPES.get(p, r"\d{1,2}" if p.isalpha() else p) for p in parts)
+    return F.when(col.rlike(f"^{shape}$"), parsed)
+
 
 def java_pattern(fmt: str, parsing: bool = False) -> str:
     """Java date pattern of a strftime format."""
@@ -147,20 +157,21 @@ def java_pattern(fmt: str, parsing: bool = False) -> str:
 
 def parse_date(col: Column, fmt: str = "") -> Column:
     """Text to date, null where it does not fit; no format tries the usual ones per value."""
-    patterns = [java_pattern(fmt, parsing=True)] if fmt else DATE_PATTERNS
-    tries = [F.try_to_date(col, p) for p in patterns]
-    return tries[0] if len(tries) == 1 else F.coalesce(*tries)
+    if fmt:
+        return F.try_to_date(col, java_pattern(fmt, parsing=True))
+    return F.coalesce(*[_when_shaped(col, p, F.try_to_date(col, p)) for p in DATE_PATTERNS])
 
 
 def parse_datetime(col: Column, fmt: str = "") -> Column:
     """Text to zone-free timestamp, null where it does not fit."""
+
+    def parsed(pattern: str) -> Column:
+        return F.try_to_timestamp(col, F.lit(pattern)).cast("timestamp_ntz")
+
     if fmt:
-        patterns = [java_pattern(fmt, parsing=True)]
-    else:
-        patterns = [f"{d}{sep}{t}" for d in DATE_PATTERNS for sep in ("'T'", " ") for t in TIME_PATTERNS]
-        patterns += list(DATE_PATTERNS)
-    tries = [F.try_to_timestamp(col, F.lit(p)).cast("timestamp_ntz") for p in patterns]
-    return tries[0] if len(tries) == 1 else F.coalesce(*tries)
+        return parsed(java_pattern(fmt, parsing=True))
+    patterns = [f"{d}['T'][ ]{t}" for d in DATE_PATTERNS for t in TIME_PATTERNS] + list(DATE_PATTERNS)
+    return F.coalesce(*[_when_shaped(col, p, parsed(p)) for p in patterns])
 
 
 def datetime_parse(df: DataFrame, field: str, fmt: str = "", output_type: str = "date", output_field: str = "") -> DataFrame:
