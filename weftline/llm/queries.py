@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.embeddings import embedding_links
 from weftline.llm.jaccard import jaccard_components
 from weftline.session import configure
 
@@ -29,3 +30,8 @@ def query(name: str, oracle: str | None = None):
 @query("op8_ngram_jaccard_join")
 def op8(spark, table):
     return jaccard_components(table("documents"))
+
+
+@query("op1_embedding_grid_join")
+def op1(spark, table):
+    return embedding_links(table("embeddings"))
