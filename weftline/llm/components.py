@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from weftline.llm.common import cut
 
 
+#: The rounds grow with the logarithm of the longest path; this many are never needed.
+MOST_ROUNDS = 60
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of some edges, each with the smallest node it reaches through them."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -58,7 +62,7 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in flush()], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Rows (id, component) for every node of `edges`; component is the smallest id reached.
 
     Edges are two bigint columns; self loops, repeats and both directions are
@@ -67,14 +71,19 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     smallest neighbour until nothing changes.  A round costs two shuffles of at
     most one row for each node, hubs are joined under AQE's skew splitting, and
     each round is cut into the shared checkpoint folder.
+
+    With `rounds` the work stops after so many: nodes with one component are then
+    connected for certain, but a true component may still be in several parts.
     """
     first, second = edges.columns[:2]
     plain = edges.select(F.col(first).cast("bigint").alias("a"), F.col(second).cast("bigint").alias("b")).dropna()
     loops = plain.where("a = b").select(F.col("a").alias("id"))
     forest_rows = plain.where("a <> b").mapInArrow(_shrink, "a bigint, b bigint")
-    now = cut(forest_rows.distinct())
+    now = cut(forest_rows)
     mark = None
-    for _ in range(most_rounds):
+    for turn in range(MOST_ROUNDS):
+        if turn == rounds:
+            break
         stats = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if stats[0] == 0 or tuple(stats) == mark:
             break
@@ -82,7 +91,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
         # Every row now points from a larger node (a) to a smaller one (b).
         down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(down, F.col("a") == F.col("k"))

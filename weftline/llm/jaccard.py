@@ -13,7 +13,8 @@
    and the largest set of each posting list, then in long lists a few nodes drawn
    by hash, which ties large groups of near copies together in linear work; then
    only pairs that are still in different components meet, under length and positional filters, each pair once.
-5. Pairs are verified on the shared shingles after a suffix filter.
+5. Pairs that pass a bound from binned counts are verified on the shared shingles
+   after a suffix filter.
 
 Shingles that a sizeable part of a batch holds (very common passages) are counted
 beforehand and take no part in the deal, so no bucket gets a posting for every
@@ -38,9 +39,11 @@ BATCH_SHINGLES = 2_000_000
 #: A shingle may be hot if so many texts of one batch hold it.
 HOT_IN_BATCH = 16
 #: Rows of one posting list that meet in one task.
-BLOCK_ROWS = 4096
-#: Posting lists above this length go through up to HUB_ROUNDS rounds of HUBS drawn nodes before pairs are listed.
-LONG_LIST, HUBS, HUB_ROUNDS = 64, 32, 2
+BLOCK_ROWS = 512
+#: Posting lists above this length go through HUB_ROUNDS rounds of HUBS drawn nodes before pairs are listed.
+LONG_LIST, HUBS, HUB_ROUNDS = 64, 48, 1
+#: Parts of the counts that travel with the nodes of long lists, and the count that stands for any larger one.
+BINS, FULL = 64, 65535
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -223,7 +226,12 @@ def _shared(buckets: int):
     return run
 
 
-SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("shared", pa.binary())])
+SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("shared", pa.binary()), ("bins", pa.binary())])
+
+
+def _bins(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of BINS parts; the smaller counts of two sets bound their overlap."""
+    return np.minimum(np.bincount((mix(shingles) % np.uint64(BINS)).astype(np.int64), minlength=BINS), FULL).astype(np.uint16).tobytes()
 
 
 def _sets(percent: int):
@@ -244,7 +252,7 @@ def _sets(percent: int):
         for node, at in zip(own.tolist(), np.split(np.arange(len(nodes)), starts[1:])):
             n, m = int(sizes[at[0]]), len(at)
             if n - m < prefix(n, percent):
-                out.append((node, n, m, shingles[at].tobytes()))
+                out.append((node, n, m, shingles[at].tobytes(), _bins(shingles[at])))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SETS.types)], schema=SETS) if out else SETS.empty_table()
 
     return run
@@ -286,7 +294,10 @@ def _pairs(percent: int):
         col = {c: table.column(c).to_numpy() for c in ("kin", "shingle", "lo", "hi", "blk", "node", "n", "pos", "component")}
         order = np.lexsort((col["n"], col["shingle"], col["hi"], col["lo"], col["kin"]))
         col = {c: v[order] for c, v in col.items()}
-        nodes, place = np.unique(col["node"], return_inverse=True)
+        nodes, where, place = np.unique(col["node"], return_index=True, return_inverse=True)
+        bins = np.stack([np.frombuffer(b, np.uint16) for b in table.column("bins").take(pa.array(order[where])).to_pylist()]).astype(np.int64)
+        bins[bins == FULL] = 1 << 40
+        size = col["n"][where]
         new = np.ones(len(order), bool)
         new[1:] = np.any([col[c][1:] != col[c][:-1] for c in ("shingle", "lo", "hi")], axis=0)
         found: list[np.ndarray] = []
@@ -314,6 +325,8 @@ def _pairs(percent: int):
         if not found:
             return schema.empty_table()
         pairs = np.unique(np.concatenate(found))
+        bound = np.concatenate([np.minimum(bins[p // len(nodes)], bins[p % len(nodes)]).sum(axis=1) for p in np.split(pairs, range(4096, len(pairs), 4096))])
+        pairs = pairs[bound >= needed(size[pairs // len(nodes)], size[pairs % len(nodes)], percent)]
         return pa.Table.from_arrays([pa.array(nodes[pairs // len(nodes)]), pa.array(nodes[pairs % len(nodes)])], schema=schema)
 
     return run
@@ -378,7 +391,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     dealt = plain.select("text").mapInArrow(_deal("text", k, buckets, sent), PACKED)
     shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets), PACKED)
-    sets = cut(shared.groupBy("bucket").applyInArrow(_sets(percent), "node bigint, n bigint, m bigint, shared binary"))
+    sets = cut(shared.groupBy("bucket").applyInArrow(_sets(percent), "node bigint, n bigint, m bigint, shared binary, bins binary"))
     postings = cut(sets.mapInArrow(_postings(percent), "shingle bigint, node bigint, n bigint, pos bigint"))
 
     def passes(n, m, p, q):
@@ -396,7 +409,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ]
     tried = cut(hubs[0].union(hubs[1]).distinct())
     links = cut(_linked(tried, sets, percent))
-    component = cut(connected_components(links))
+    component = cut(connected_components(links, rounds=2))
 
     def place() -> DataFrame:
         named = component.withColumnRenamed("id", "node")
@@ -423,7 +436,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         found = cut(_linked(fresh, sets, percent))
         tried = tried.union(fresh)
-        component = cut(connected_components(component.select("id", "component").union(found)))
+        component = cut(connected_components(component.select("id", "component").union(found), rounds=2))
         placed = place()
 
     # Lists of much the same nodes go to one bucket, so that a pair comes out of few of them.
@@ -432,6 +445,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = rest.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     rest = rest.select("kin", "shingle", "node", "n", "pos", "component", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    rest = rest.join(sets.select("node", "bins"), "node")
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("kin", "lo", "hi"), F.lit(4 * width(spark))))
     more = rest.groupBy("bucket").applyInArrow(_pairs(percent), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
     final = component.select("id", "component").union(cut(_linked(more, sets, percent)))

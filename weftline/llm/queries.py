@@ -4,7 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.llm import sql
+from weftline.llm.decontaminate import contamination
 from weftline.llm.embeddings import embedding_links
 from weftline.llm.jaccard import jaccard_components
 from weftline.session import configure
@@ -27,6 +30,13 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op2_winnowing_decontamination", sql.DECONTAMINATE)
+def op2(spark, table):
+    judged = contamination(table("documents"), table("benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 @query("op8_ngram_jaccard_join")
 def op8(spark, table):
     return jaccard_components(table("documents"))
