@@ -59,7 +59,7 @@ def benchmark_fingerprints(items: DataFrame, id_col: str = "item_id", text_col:
     """Rows (fp, item, q, m, win, reach, item_words): kept grams of the items, short items as one gram each."""
     base = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).withColumn("m", F.size("w")).where("m > 0")
     long = base.where(F.col("m") >= WINDOW).withColumn("grams", _grams(F.col("w"), GRAM, 0))
-    long = long.select("item", "w", "m", F.explode(_winnow(F.col("grams"))).alias("packed"), F.lit(WINDOW).alias("win"), F.lit(KEEP_OF - 1).alias("reach"))
+    long = long.select("item", "w", "m", F.explode_outer(_winnow(F.col("grams"))).alias("packed"), F.lit(WINDOW).alias("win"), F.lit(KEEP_OF - 1).alias("reach"))
     short = base.where(F.col("m") < WINDOW)
     tag = F.col("m")
     h = F.xxhash64(F.col("w"), tag)
@@ -95,13 +95,14 @@ def contamination(
     looked_up = F.concat(F.array(F.lit(None).cast("bigint")), _winnow(F.col("grams")), *(_grams(F.col("w"), n, n) for n in lengths))
     rows = base.select("doc", "key", "w", F.size("w").alias("n"), looked_up.alias("kept"))
     if small:
+        # explode_outer, as explode would infer a filter that works the hashes out anew inside each lambda.
         # One row without a hash stands for the document itself.
-        flat = rows.select("doc", "key", "w", "n", F.explode("kept").alias("packed"))
+        flat = rows.select("doc", "key", "w", "n", F.explode_outer("kept").alias("packed"))
         met = flat.join(F.broadcast(bench), _hash(F.col("packed")) == F.col("fp"), "left").where("packed is null or fp is not null")
         met = met.withColumn("p", _place(F.col("packed")))
         met = met.select("doc", "key", "n", "p", "item", "q", "m", "win", "reach", "item_words", F.when(F.col("fp").isNotNull(), _context(F.col("w"), F.col("p"))).alias("near"))
     else:
-        flat = rows.select("doc", "key", F.explode("kept").alias("packed")).where("packed is not null")
+        flat = rows.select("doc", "key", F.explode_outer("kept").alias("packed")).where("packed is not null")
         met = flat.join(bench, _hash(F.col("packed")) == F.col("fp")).distinct()
         met = met.select(F.col("doc").alias("d"), F.col("key").alias("k"), "packed", "item", "q", "m", "win", "reach", "item_words")
         named = base.select("doc", "key", "w", F.size("w").alias("n"))

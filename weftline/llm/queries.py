@@ -10,6 +10,8 @@ from weftline.llm import sql
 from weftline.llm.decontaminate import contamination
 from weftline.llm.embeddings import embedding_links
 from weftline.llm.jaccard import jaccard_components
+from weftline.llm.licenses import scan_licenses
+from weftline.llm.urls import judge_urls
 from weftline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +39,17 @@ def op2(spark, table):
     return judged.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+@query("op5_rare_token_licenses")
+def op5(spark, table):
+    found = scan_licenses(table("documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+@query("op7_host_reputation", sql.URLS)
+def op7(spark, table):
+    return judge_urls(table("pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op8_ngram_jaccard_join")
 def op8(spark, table):
     return jaccard_components(table("documents"))

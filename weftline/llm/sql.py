@@ -1,19 +1,20 @@
 """DuckDB SQL that gives the rows of the queries which SQL can express."""
 from __future__ import annotations
 
+from weftline.llm import urls
 from weftline.llm.common import LOWER_ASCII, UPPER_ASCII
 
 
 def _words(text: str) -> str:
     return (f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{UPPER_ASCII}', '{LOWER_ASCII}'), "
-            r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')")
+            r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
 
 
 DECONTAMINATE = f"""
 WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
 b AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
 win AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), i -> list_slice(w, i, i + 12))) AS g
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: list_slice(w, i, i + 12))) AS g
   FROM b WHERE len(w) > 0),
 lens AS (SELECT DISTINCT len(g) AS n FROM win),
 grams AS (
@@ -29,3 +30,57 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+
+def _rules() -> str:
+    rules = sorted(urls.RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    fits = {r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')" for r in rules}
+    return ("CASE " + " ".join(f"WHEN {fits[r]} THEN '{r[1]}{r[2]}'" for r in rules) + " END AS rule, CASE "
+            + " ".join(f"WHEN {fits[r]} THEN '{r[0]}'" for r in rules) + " END AS judged")
+
+
+def _level(name: str, key: str, parent: str, above: str) -> str:
+    mean = "(SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM bysuffix)" if not above else "p.a / (p.a + p.b)"
+    source = f"by{key} x" if not above else f"by{key} x JOIN {above} p ON x.{parent} = p.k"
+    return f"""
+{name}_m AS (SELECT x.*, {mean} AS mean FROM {source}),
+{name}_w AS (SELECT CASE WHEN more > 0 AND (seen - base) / more > 0 THEN greatest({urls.LEAST_WEIGHT}, least({urls.MOST_WEIGHT}, 1 / ((seen - base) / more) - 1)) ELSE {urls.MOST_WEIGHT} END AS weight
+  FROM (SELECT sum(power(bad / n - mean, 2) * n) AS seen, sum(mean * (1 - mean)) AS base, sum(mean * (1 - mean) * (n - 1)) AS more FROM {name}_m)),
+{name} AS (SELECT {key} AS k, weight * mean + bad AS a, weight * (1 - mean) + n - bad AS b FROM {name}_m, {name}_w)"""
+
+
+_TWO = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
+_LABELS = "string_split(regexp_replace(host, ':[0-9]*$', ''), '.')"
+_ADDRESS = r"regexp_matches(regexp_replace(host, ':[0-9]*$', ''), '^[0-9]+(\.[0-9]+){3}$')"
+
+
+def _last(n: int) -> str:
+    return f"array_to_string({_LABELS}[-{n}:], '.')"
+
+
+URLS = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+hp AS (
+  SELECT page_id, translate(coalesce(string_split(rest, '/')[1], ''), '{UPPER_ASCII}', '{LOWER_ASCII}') AS host,
+    coalesce(substr(rest, length(string_split(rest, '/')[1]) + 1), '') AS path FROM parts),
+ruled AS (SELECT *, {_rules()} FROM hp),
+named AS (
+  SELECT *, CASE WHEN {_ADDRESS} OR len({_LABELS}) < 2 THEN {_last(len("four"))} WHEN {_last(2)} IN ({_TWO}) THEN {_last(3)} ELSE {_last(2)} END AS domain,
+    CASE WHEN {_ADDRESS} THEN {_last(len("four"))} WHEN {_last(2)} IN ({_TWO}) THEN {_last(2)} ELSE {_last(1)} END AS suffix FROM ruled),
+byhost AS (
+  SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, CAST(count(*) FILTER (judged = 'block') AS DOUBLE) AS bad, CAST(count(*) AS DOUBLE) AS n
+  FROM named WHERE judged IS NOT NULL AND host <> '' GROUP BY host),
+bydomain AS (SELECT domain, any_value(suffix) AS suffix, sum(bad) AS bad, sum(n) AS n FROM byhost GROUP BY domain),
+bysuffix AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM bydomain GROUP BY suffix),
+{_level("psuffix", "suffix", "", "")},
+{_level("pdomain", "domain", "suffix", "psuffix")},
+{_level("phost", "host", "domain", "pdomain")},
+pall AS (SELECT coalesce(sum(bad), 0) + 0.5 AS a, coalesce(sum(n), 0) - coalesce(sum(bad), 0) + 0.5 AS b FROM byhost),
+post AS (
+  SELECT page_id, x.host, path, rule, judged, coalesce(h.a, d.a, s.a, pall.a) AS a, coalesce(h.b, d.b, s.b, pall.b) AS b
+  FROM named x LEFT JOIN phost h ON h.k = x.host LEFT JOIN pdomain d ON d.k = x.domain LEFT JOIN psuffix s ON s.k = x.suffix, pall)
+SELECT page_id, host, path, rule,
+  coalesce(judged, CASE WHEN a / (a + b) - {urls.DEVIATIONS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {urls.BAD_RATE} THEN 'block' ELSE 'allow' END) AS verdict
+FROM post
+"""
