@@ -7,10 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import sql
+from weftline.llm.bpe import bpe
 from weftline.llm.decontaminate import contamination
 from weftline.llm.embeddings import embedding_links
 from weftline.llm.jaccard import jaccard_components
+from weftline.llm.labelled import fold
+from weftline.llm.language import predict_language, train_language
 from weftline.llm.licenses import scan_licenses
+from weftline.llm.quality import score_quality, train_quality
+from weftline.llm.secrets import KINDS, scan_secrets
+from weftline.llm.toxicity import score_toxicity, train_toxicity
 from weftline.llm.urls import judge_urls
 from weftline.session import configure
 
@@ -39,12 +45,40 @@ def op2(spark, table):
     return judged.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+@query("op3_structural_secrets")
+def op3(spark, table):
+    found = scan_secrets(table("documents"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(listed(of(*KINDS[:3])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op4_toxic_segments")
+def op4(spark, table):
+    docs, part = table("documents"), fold("doc_id", 5)
+    scored = score_toxicity(docs, train_toxicity(docs, table("labels"), part != 0))
+    return scored.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op5_rare_token_licenses")
 def op5(spark, table):
     found = scan_licenses(table("documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+@query("op6_ppm_language")
+def op6(spark, table):
+    docs, part = table("documents"), fold("doc_id", 3)
+    scored = predict_language(docs, train_language(docs, part != 1))
+    return scored.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query("op7_host_reputation", sql.URLS)
 def op7(spark, table):
     return judge_urls(table("pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -55,6 +89,26 @@ def op8(spark, table):
     return jaccard_components(table("documents"))
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query("op1_embedding_grid_join")
 def op1(spark, table):
     return embedding_links(table("embeddings"))
+
+
+@query("op9_bpe_round_trip")
+def op9(spark, table):
+    coded = bpe(table("documents"), tokenizer_path())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op10_naive_bayes_support_vectors")
+def op10(spark, table):
+    docs, part = table("documents"), fold("doc_id", 4)
+    scored = score_quality(docs, train_quality(docs, table("labels"), part != 2))
+    return scored.select("doc_id", (part == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
