@@ -26,15 +26,17 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Labelled documents and tokens that the model is made of, at most.
 MOST_LABELLED, MOST_TOKENS = 20_000, 50_000
 #: Letters of the word beginnings that stand for rare words.
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 8)
 #: Pseudo-counts of the prior: one part for every token alike, one in proportion to its frequency.
 FLAT_PRIOR, SHARED_PRIOR = 0.5, 100.0
-#: Standard deviations from zero that a token's log-odds must have, and its largest score.
-LEAST_Z, MOST_SCORE = 3.3, 6.0
+#: What a token's log-odds must reach, in standard deviations and as such, and its largest score.
+LEAST_Z, LEAST_SCORE, MOST_SCORE = 3.3, 1.5, 6.0
 #: Score of every other token.
 GAP = -0.2
 #: Segments below this are chance.
 LEAST_SEGMENT = 1.0
+#: Beyond this evidence the calibration curve stays level.
+MOST_EVIDENCE = 25.0
 
 
 def words_of(text: str | None) -> list[str]:
@@ -101,14 +103,26 @@ class Model:
         self.opening = shortest
         self.rate, self.chance = 1.0, 1.0
         self.slope, self.offset = 1.0, 0.0
+        self.known: dict[str, float] = {}
 
     def score(self, word: str) -> float:
-        return next((self.scores[n] for n in sorted(names_of(word), key=len, reverse=True) if n in self.scores), 0.0)
+        """The score of the word itself, else of its longest beginning that has one, else 0."""
+        if (known := self.known.get(word)) is None:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            known = self.scores.get(word) or next((self.scores[n] for n in reversed(names_of(word)[1:]) if n in self.scores), 0.0)
+            self.known[word] = known
+        return known
 
     def passages(self, words: list[str]) -> list[tuple[float, int, int]]:
         openings, n = self.openings, self.opening
         places = [i for i, w in enumerate(words) if w[:n] in openings]
-        marked = [(i, s) for i in places if (s := self.score(words[i])) > 0]
+        # A word said again and again tells little more than said once: its k-th occurrence counts 1 / k^2.
+        marked, times = [], Counter()
+        for i in places:
+            if (s := self.score(words[i])) > 0:
+                times[words[i]] += 1
+                marked.append((i, s / times[words[i]] ** 2))
         return [s for s in segments([m[0] for m in marked], [m[1] for m in marked]) if s[0] >= LEAST_SEGMENT] if marked else []
 
     def evidence(self, words: list[str], passages: list[tuple[float, int, int]]) -> float:
@@ -120,7 +134,7 @@ class Model:
             if total > r:
                 log_p = -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r)
                 best = max(best, -log_p - math.log(r + 1))
-        return best
+        return min(best, MOST_EVIDENCE)
 
 
 def _score(sent, wanted: bool):
@@ -157,7 +171,7 @@ def fit_toxicity(sample: DataFrame) -> Model:
     prior = FLAT_PRIOR + SHARED_PRIOR * (F.col("toxic") + F.col("clean")) / (toxic + clean) / 1000
     t, c = F.col("toxic") + prior, F.col("clean") + prior
     delta = F.log(t / (toxic + 2 * FLAT_PRIOR + 1 - F.col("toxic"))) - F.log(c / (clean + 2 * FLAT_PRIOR + 1 - F.col("clean")))
-    strong = counts.select("token", delta.alias("delta"), (delta / F.sqrt(1 / t + 1 / c)).alias("z")).where(F.col("z") >= LEAST_Z)
+    strong = counts.select("token", delta.alias("delta"), (delta / F.sqrt(1 / t + 1 / c)).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_SCORE))
     rows = strong.orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()
     model = Model({r["token"]: min(r["delta"], MOST_SCORE) for r in rows})
     if not rows:
@@ -180,7 +194,7 @@ def fit_toxicity(sample: DataFrame) -> Model:
     n, hits, total, found = seen.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in ("n", "hits", "total", "found"))).first()
     share = (hits + 0.5) / (n + 1.0)
     mean = (total + 0.5 * MOST_SCORE) / (hits + 0.5)
-    low, high = 1e-3, 5.0
+    low, high = 1e-3, 1.0  # of log-odds lambda is 1 at most
     for _ in range(60):
         mid = (low + high) / 2
         if share * math.exp(mid * mean) + (1 - share) * math.exp(mid * GAP) > 1:
