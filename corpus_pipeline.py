@@ -1,9 +1,99 @@
-"""A corpus pipeline over `documents`: each stage works on what its predecessor kept."""
+"""A corpus pipeline over `documents`: each stage works on all that its predecessor kept.
+
+1. toxicity          drops documents whose toxic-segment score is 0.5 or more
+2. near_duplicates   keeps one document of each group of near copies
+3. decontamination   drops documents that hold too much of a benchmark item
+4. secrets           replaces every secret by its kind; no document goes
+5. tokens            encodes the texts, and decodes them again as a check
+
+All but the last return the columns they got, the last (doc_id, n_tokens, ids,
+decoded_sha256).  Rows with a null text pass through as empty texts do; a row whose
+doc_id is null is kept by stage 2 unless another document holds its text; rows that
+repeat a doc_id are one document for stage 2, of which one row stays.  An empty
+table gives an empty result at each stage, and extra columns are carried along.
+"""
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm.bpe import bpe
+from weftline.llm.common import cut
+from weftline.llm.decontaminate import contamination
+from weftline.llm.jaccard import jaccard_components
+from weftline.llm.queries import tokenizer_path
+from weftline.llm.secrets import redact, scan_secrets
+from weftline.llm.toxicity import score_toxicity, train_toxicity
+from weftline.session import configure, shared_folder
+
+#: Ids up to which a list of documents to drop is broadcast (16 bytes each); a longer one is joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not among `dropped` (one bigint column)."""
+    dropped = cut(dropped)
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return score_toxicity(docs, model, keep=rest).where("score < 0.5").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard_components(docs)
+    kept = _without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
+    copies = kept.where("doc_id is null and text is not null")
+    if copies.limit(1).count():
+        known = docs.where("doc_id is not null").select(F.xxhash64("text").alias("h"), F.length("text").alias("l")).distinct()
+        alone = copies.withColumns({"h": F.xxhash64("text"), "l": F.length("text")}).join(known, ["h", "l"], "left_anti").select(*docs.columns)
+        kept = kept.where("doc_id is not null or text is null").unionByName(alone)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.limit(1).count():
+        one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = _without(kept, again).unionByName(one)
+    return kept.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, judged.where("contaminated and doc_id is not null").select("doc_id").distinct()).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    found = scan_secrets(docs, keep=rest)
+    changed = {"text": redact(F.col("text"), F.col("spans"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(changed).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = bpe(docs, tokenizer_path())
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens),
+]
+
+#: Trained scores, components of similarity and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages on documents; what each keeps is written to the shared folder as Parquet."""
+    configure(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = shared_folder(spark, f"pipeline-{uuid.uuid4().hex}")
+    for name, stage in STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
