@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from weftline import sources as src
 from weftline.operators import filter_split
-from weftline.sources.database import WRITE_MODES, Connection, Slices, clean_query, fill_env
+from weftline.statements import bare_statement
+from weftline.sources.database import WRITE_MODES, Connection, Slices, from_environment
 from weftline.streaming import run_available
 
 
@@ -105,7 +106,7 @@ def test_connection_options(monkeypatch):
     for bad in (Connection("custom"), Connection("dbase")):
         with pytest.raises(ValueError):
             bad.options()
-    assert clean_query(" select 1 ; ") == "select 1" and fill_env("") == ""
+    assert bare_statement(" select 1 ; ;\n;") == "select 1" and from_environment("") == ""
     assert Slices("id", "0", "9", 4).options() == {
         "partitionColumn": "id", "lowerBound": "0", "upperBound": "9", "numPartitions": "4",
     }

@@ -5,6 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftline.functions.base import as_col, operand
+from weftline.types import as_double
 
 
 def is_null(x: Column | str) -> Column:
@@ -30,7 +31,7 @@ def to_string(x: Column | str) -> Column:
 
 def to_number(x: Column | str) -> Column:
     """Double, null where the text is no number."""
-    return as_col(x).try_cast("double")
+    return as_double(as_col(x))
 
 
 def to_int(x: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftline.functions.base import operand
+from weftline.types import as_double
 
 _COMPARE = {
     "==": operator.eq, "=": operator.eq, "!=": operator.ne, "<>": operator.ne,
@@ -22,7 +23,7 @@ def compare(left, op: str, right, numeric: bool = False) -> Column:
     """
     a, b = operand(left), operand(right)
     if numeric:
-        a, b = a.try_cast("double"), b.try_cast("double")
+        a, b = as_double(a), as_double(b)
     return _COMPARE[op](a, b)
 
 

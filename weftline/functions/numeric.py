@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 from weftline.functions.base import as_col, operand
 
 
-def add(a, b) -> Column:
-    return operand(a) + operand(b)
+def add(a, b, text: bool = False) -> Column:
+    """Sum; with `text` the two joined as text, null when either is."""
+    return F.concat(operand(a).cast("string"), operand(b).cast("string")) if text else operand(a) + operand(b)
 
 
 def subtract(a, b) -> Column:
@@ -62,17 +63,34 @@ def round_(x: Column | str, decimals: int = 0, half_even: bool = False) -> Colum
 
 
 def floor(x: Column | str, like: T.DataType | str | None = None) -> Column:
-    """Floor; Spark gives bigint, `like` names the input type to cast back to."""
-    out = F.floor(as_col(x))
-    return out if like is None else out.cast(like)
+    """Floor; bigint, null where it cannot hold the value.  `like` names the input type to cast back to."""
+    return _whole(F.floor, as_col(x), like)
 
 
 def ceil(x: Column | str, like: T.DataType | str | None = None) -> Column:
-    out = F.ceil(as_col(x))
+    """Ceiling, with the types of `floor`."""
+    return _whole(F.ceil, as_col(x), like)
+
+
+def _whole(step, x: Column, like: T.DataType | str | None) -> Column:
+    wide = x.cast("double")
+    if like in ("double", "float", T.DoubleType(), T.FloatType()):
+        # NaN, infinities and numbers without a fractional part in this type are their own floor.
+        return F.when(F.isnan(wide) | (F.abs(wide) >= float(2**53)), x).otherwise(step(x).cast(like))
+    out = F.when(~(F.isnan(wide) | (F.abs(wide) > float(2**63))), step(x))
     return out if like is None else out.cast(like)
 
 
 def pow_(a, b, like: T.DataType | str | None = None) -> Column:
+    """Power as double.  A whole type in `like` multiplies exactly, null where the product overflows."""
+    if like in ("bigint", "int", T.LongType(), T.IntegerType()):
+        base, times = operand(a).cast("bigint"), operand(b).cast("int")
+        # Beyond 1 a product leaves bigint before the 64th power; up to 1 only the exponent's parity matters.
+        small = F.when(base.between(-1, 1), times % 2 + F.when(times >= 2, 2).otherwise(0)).otherwise(F.least(times, F.lit(64)))
+        steps = F.sequence(F.lit(1), F.greatest(small, F.lit(1)))
+        exact = F.aggregate(steps, F.lit(1).cast("bigint"), lambda acc, _: F.try_multiply(acc, base))
+        exact = F.when(times == 0, F.lit(1).cast("bigint")).otherwise(exact)
+        return F.when(times >= 0, exact).otherwise(F.pow(operand(a), operand(b)).try_cast("bigint")).try_cast(like)
     out = F.pow(operand(a), operand(b))
     return out if like is None else out.cast(like)
 

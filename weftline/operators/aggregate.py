@@ -57,6 +57,8 @@ def aggregate_column(df: DataFrame, field: str, func: str, order_by: OrderBy | N
             nan = F.max(F.when(F.isnan(col), col))
             return F.coalesce(pick(F.when(~F.isnan(col), col)), nan)
         return pick(col)
+    if func in ("mean", "median") and isinstance(dtype, T.BooleanType):
+        col = col.cast("int")
     if func == "mean":
         return F.avg(col)
     if func == "median":
@@ -137,7 +139,7 @@ def exact_median(df: DataFrame, group_by: Sequence[str], field: str, output: str
     """
     keys = [f"g{i}" for i in range(len(group_by))]
     values = df.select(
-        *[name_ref(g).alias(k) for g, k in zip(group_by, keys)], name_ref(field).alias("v")
+        *[name_ref(g).alias(k) for g, k in zip(group_by, keys)], (name_ref(field).cast("int") if isinstance(fields_of(df)[field], T.BooleanType) else name_ref(field)).alias("v")
     ).where(F.col("v").isNotNull())
     histogram = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
     bounds = even_bounds(values, F.col("v"), ranges)
@@ -167,7 +169,8 @@ def exact_median(df: DataFrame, group_by: Sequence[str], field: str, output: str
     in_part = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = near.withColumn("start", F.col("before") + F.sum("n").over(in_part) - F.col("n"))
     picked = placed.groupBy(*keys).agg(
-        ((F.max(F.when(holds(low, F.col("start"), F.col("n")), F.col("v")))
-          + F.max(F.when(holds(high, F.col("start"), F.col("n")), F.col("v")))) / 2).cast("double").alias("median")
+        # As doubles, since the sum of two large integers would overflow.
+        ((F.max(F.when(holds(low, F.col("start"), F.col("n")), F.col("v"))).cast("double")
+          + F.max(F.when(holds(high, F.col("start"), F.col("n")), F.col("v"))).cast("double")) / 2).alias("median")
     )
     return picked.select(*[F.col(k).alias(g) for g, k in zip(group_by, keys)], F.col("median").alias(output))

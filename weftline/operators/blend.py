@@ -61,17 +61,22 @@ def _all_equal(left: list[str], right: list[str], null_safe: bool = False) -> Co
 
 
 def inner_join(left: DataFrame, right: DataFrame, on: Pairs | str) -> DataFrame:
-    """Left columns, then right columns without the right keys; clashes get `_right`."""
+    """Left columns, then right columns without the right keys; clashes get `_right`, again until the name is free."""
     pairs = key_pairs(on)
     l, lnames = renamed_side(left, "l")
     r, rnames = renamed_side(right, "r")
     cond = _all_equal([lnames[a] for a, _ in pairs], [rnames[b] for _, b in pairs])
     right_keys = {b for _, b in pairs}
     out = [F.col(n).alias(c) for c, n in lnames.items()]
-    out += [
-        F.col(n).alias(f"{c}_right" if c in lnames else c)
-        for c, n in rnames.items() if c not in right_keys
-    ]
+    kept = [c for c in rnames if c not in right_keys]
+    taken = {*lnames, *(c for c in kept if c not in lnames)}
+    for c in kept:
+        name = c
+        if c in lnames:
+            while name in taken:
+                name += "_right"
+            taken.add(name)
+        out.append(F.col(rnames[c]).alias(name))
     return l.join(r, cond, "inner").select(*out)
 
 

@@ -61,17 +61,35 @@ def duplicate_rows(
     hot = hot_keys(df, fields, hot_rows)
     if hot is None:
         return later(df)
+    # Internal names from here on, so that none can meet a column of the caller's.
+    names = {c: f"u{i}" for i, c in enumerate(df.columns)}
+    spare = _hot_duplicates(
+        df.select(*[name_ref(c).alias(n) for c, n in names.items()]), [names[f] for f in fields],
+        [(names[n], "desc" if d else "asc") for n, d in require_order(order_by, "unique on some of the fields")], hot,
+    )
+    return spare.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def _hot_duplicates(df: DataFrame, fields: Sequence[str], order_by: OrderBy, hot: DataFrame) -> DataFrame:
+    columns = [name_ref(c) for c in df.columns]
+    place = fresh_name("place", df.columns)
+    rank = _place(df, fields, order_by)
+
+    def later(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(place, rank).where(name_ref(place) > 1).drop(place)
+
     table = F.broadcast(hot.drop("rows"))
     cold = df.join(table, same_keys(fields), "left_anti")
     heavy = df.join(table, same_keys(fields), "left_semi")
     items = require_order(order_by, "unique on some of the fields")
     ranked = F.struct(order_struct(df, items).alias("o"), F.struct(*columns).alias("row"))
     first = fresh_name("first", df.columns)
-    # One row per hot key, combined before the shuffle: as small as the table of hot keys.
+    # One row per hot key, combined before the shuffle.  A row may be wide, so AQE decides by its size
+    # whether to broadcast; if not, it splits the hot partitions of the join.
     heads = heavy.groupBy(*[name_ref(f).alias(f"hot{i}") for i, f in enumerate(fields)]).agg(
         F.min(ranked)["row"].alias(first)
     )
-    paired = heavy.join(F.broadcast(heads), same_keys(fields))
+    paired = heavy.join(heads, same_keys(fields))
     is_head = F.struct(*columns).eqNullSafe(name_ref(first))
     others = paired.where(~is_head).select(*columns)
     return later(cold).unionByName(others).unionByName(_spare_copies(paired.where(is_head).select(*columns)))

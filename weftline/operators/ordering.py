@@ -69,6 +69,10 @@ def _ascending(col: Column, dtype: T.DataType, descending: bool) -> Column:
         return F.when(col.isNotNull(), F.struct(~F.isnan(col), -col))
     if isinstance(dtype, T.DecimalType):
         return -col
+    if isinstance(dtype, T.DayTimeIntervalType):
+        return -col
+    if isinstance(dtype, T.TimeType):
+        return -F.time_diff(F.lit("MICROSECOND"), F.lit("00:00:00").cast("time"), col)
     if isinstance(dtype, T.DateType):
         return -F.unix_date(col)
     if isinstance(dtype, T.TimestampType):
@@ -297,5 +301,14 @@ class OrderedBuckets:
 
     def positions(self, name: str) -> DataFrame:
         """All rows with their 0-based position in the row order."""
-        spans = self._spans(self.df, False)
-        return spans.withColumnRenamed(self.start, name).drop(self.copies)
+        spans = self._spans(self.df, self.collapse)
+        if not self.collapse:
+            return spans.withColumnRenamed(self.start, name).drop(self.copies)
+        # Copies of one row were ranked as one; their positions follow each other.
+        keep = [name_ref(c) for c in self.source.columns]
+        chunk, size = fresh_name("chunk", spans.columns), F.lit(CHUNK_OF_COPIES).cast("bigint")
+        start, copies = name_ref(self.start), name_ref(self.copies)
+        chunks = spans.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((copies - 1) / size))).alias(chunk))
+        low = start + name_ref(chunk) * size
+        spread = chunks.repartition(name_ref(chunk), start)
+        return spread.select(*keep, F.explode(F.sequence(low, F.least(low + size, start + copies) - 1)).alias(name))

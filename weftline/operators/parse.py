@@ -195,7 +195,10 @@ def _to_ddl(found: str) -> str:
         token = m.group(0)
         if token.startswith("`"):
             return token
-        return "STRUCT" if token == "OBJECT" else "DOUBLE" if token.startswith("DECIMAL") else "STRING"
+        if token.startswith("DECIMAL"):
+            # Without decimal places it is a whole number too large for bigint: no double could hold its digits.
+            return token if re.search(r",\s*0\)$", token) else "DOUBLE"
+        return "STRUCT" if token == "OBJECT" else "STRING"
 
     return _SCHEMA_TOKEN.sub(swap, found)
 

@@ -6,6 +6,8 @@ import threading
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from weftline.statements import bare_statement
+
 _VIEWS = threading.Lock()
 
 
@@ -13,23 +15,29 @@ def sql_inputs(query: str, *inputs: DataFrame, **named: DataFrame) -> DataFrame:
     """Run one query over tables called `input1`, `input2`, ... or by keyword name.
 
     The inputs stay lazy: Catalyst plans them together with the query.  The
-    names exist only while the query is analysed.
+    names exist only while the query is analysed; a view of the caller's that
+    has such a name is put back afterwards.
     """
-    text = query.strip().rstrip(";").strip()
+    text = bare_statement(query)
     if not text:
-        raise ValueError("no SQL query")
+        raise ValueError("the query is empty")
     tables = {f"input{i}": df for i, df in enumerate(inputs, 1)} | named
     if not tables:
         raise ValueError("the query has no input tables")
     spark = next(iter(tables.values())).sparkSession
     with _VIEWS:
+        own = {v.name for v in spark.catalog.listTables() if v.isTemporary and not v.namespace}
+        kept = {n: spark.table(n) for n in tables if n in own}
         try:
             for name, df in tables.items():
                 df.createOrReplaceTempView(name)
             return spark.sql(text)
         finally:
             for name in tables:
-                spark.catalog.dropTempView(name)
+                if name in kept:
+                    kept[name].createOrReplaceTempView(name)
+                else:
+                    spark.catalog.dropTempView(name)
 
 
 def sql_schema(query: str, *inputs: DataFrame, **named: DataFrame) -> StructType:

@@ -13,13 +13,13 @@ from weftline.types import align, common_type, fields_of, fresh_name, name_ref,
 CROSSTAB_FUNCS = ("sum", "mean", "min", "max", "first", "last", "count")
 
 
-def _width_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+def _width_limit(df: DataFrame, most: int | None) -> int:
+    return most if most is not None else int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
 
 
-def header_values(df: DataFrame, header: str) -> list[str | None]:
-    """Sorted distinct values that become columns; refuses more than Spark's pivot limit."""
-    limit = _width_limit(df)
+def header_values(df: DataFrame, header: str, most_columns: int | None = None) -> list[str | None]:
+    """Sorted distinct values that become columns; more than `most_columns` are an error (default: Spark's pivot limit)."""
+    limit = _width_limit(df, most_columns)
     found = df.select(name_ref(header).cast("string")).distinct().limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"{header!r} has more than {limit} values: too wide for a table")
@@ -34,23 +34,30 @@ def crosstab(
     aggregation: str = "sum",
     values: Sequence[str | None] | None = None,
     order_by: OrderBy | None = None,
+    most_columns: int | None = None,
 ) -> DataFrame:
     """Rows to columns: one column per header value, one row per key.
 
-    Give `values` to fix the columns and save the job that finds them.
+    Give `values` to fix the columns and save the job that finds them; with them
+    there is no limit.  A null header is the column `null`, or `null_` and so on
+    where that is a value as well.
     """
-    if not group_by or not header or not value:
-        raise ValueError("a cross tab needs group-by fields, a header and a value field")
+    missing = [what for what, given in (("group_by", group_by), ("header", header), ("value", value)) if not given]
+    if missing:
+        raise ValueError(f"crosstab got no {' and no '.join(missing)}")
     if aggregation not in CROSSTAB_FUNCS:
         raise ValueError(f"unknown aggregation {aggregation!r}")
     if values is None:
-        values = header_values(df, header)
+        values = header_values(df, header, most_columns)
     head, cell = fresh_name("header", df.columns), fresh_name("cell", df.columns)
     keys = [name_ref(k) for k in group_by]
     # `count` counts rows, so null values too.
     agg = F.count(F.lit(1)) if aggregation == "count" else aggregate_column(df, value, aggregation, order_by)
-    cells = df.groupBy(*keys, name_ref(header).cast("string").alias(head)).agg(agg.alias(cell))
-    return cells.groupBy(*keys).pivot(head, list(values)).agg(F.first(cell))
+    for_null = "null"
+    while for_null in values:
+        for_null += "_"
+    cells = df.groupBy(*keys, F.coalesce(name_ref(header).cast("string"), F.lit(for_null)).alias(head)).agg(agg.alias(cell))
+    return cells.groupBy(*keys).pivot(head, [for_null if v is None else v for v in values]).agg(F.first(cell))
 
 
 def unpivot(
@@ -83,14 +90,15 @@ def transpose(
     include_names: bool = True,
     names_to: str = "column",
     order_by: OrderBy | None = None,
+    most_columns: int | None = None,
 ) -> DataFrame:
     """Rows become columns and columns rows, for small (aggregated) tables.
 
     The result has one column per input row, named by `header_column` or
-    `column_0`, `column_1`, ... in `order_by`.  Wider than Spark's pivot limit
-    is an error.
+    `column_0`, `column_1`, ... in `order_by`.  More than `most_columns` rows are an
+    error (default: Spark's pivot limit).
     """
-    limit = _width_limit(df)
+    limit = _width_limit(df, most_columns)
     if df.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} rows: too wide to transpose")
     names_to = names_to or "column"

@@ -15,16 +15,23 @@ from weftline.operators.windows import HOT_ROWS
 from weftline.types import fresh_name, name_ref
 
 # Up to here a result is a plain top-k, which one task merges; beyond it the
-# rows are picked range by range without ever gathering them.
+# rows are picked range by range and sorted without ever gathering them.
 TOP_K_LIMIT = 1_000
 
 HASH_DIGITS = 4  # 65,536 prefixes
 
 
 def sort_rows(df: DataFrame, keys: OrderBy) -> DataFrame:
-    """Sort by several keys, nulls first in both directions; no keys: unchanged."""
+    """Sort by several keys, nulls first in both directions; no keys: unchanged.
+
+    A hash of the row breaks ties, so that rows of one common key value are sorted
+    by more than one task.
+    """
     items = [(n, d) for n, d in order_items(keys) if n]
-    return df.orderBy(*sort_columns(items)) if items else df
+    if not items:
+        return df
+    hashed = [name_ref(f.name) for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return df.orderBy(*sort_columns(items), F.xxhash64(*hashed))
 
 
 def top_k(df: DataFrame, keys: OrderBy, n: int) -> DataFrame:
@@ -41,7 +48,8 @@ def sample_first(df: DataFrame, n: int, order_by: OrderBy, rows_per_bucket: int
     items = require_order(order_by, "first n")
     if n <= TOP_K_LIMIT:
         return df.orderBy(*sort_columns(_tie_broken(df, items))).limit(max(0, n))
-    return OrderedBuckets(df, items_to_order(items), rows_per_bucket).between(0, n)
+    rows = OrderedBuckets(df, items_to_order(items), rows_per_bucket).between(0, n)
+    return rows.orderBy(*sort_columns(_tie_broken(df, items)))
 
 
 def sample_last(df: DataFrame, n: int, order_by: OrderBy, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -51,7 +59,7 @@ def sample_last(df: DataFrame, n: int, order_by: OrderBy, rows_per_bucket: int =
         tail = df.orderBy(*sort_columns(tied, reverse=True)).limit(max(0, n))
         return tail.orderBy(*sort_columns(tied))
     rows = OrderedBuckets(df, items_to_order(items), rows_per_bucket)
-    return rows.between(max(0, rows.total - n), rows.total)
+    return rows.between(max(0, rows.total - n), rows.total).orderBy(*sort_columns(_tie_broken(df, items)))
 
 
 def items_to_order(items: list[tuple[str, bool]]) -> list[tuple[str, str]]:

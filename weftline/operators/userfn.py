@@ -10,7 +10,6 @@ from pyspark.sql.types import StructType
 
 from weftline.types import name_ref
 
-GROUP_ROWS_LIMIT = 5_000_000
 STATE_ROWS = 100_000
 
 
@@ -23,7 +22,7 @@ def python_frames(fn: Callable[..., object], *inputs: DataFrame | None) -> tuple
     results = out if isinstance(out, (tuple, list)) else (out,)
     for r in results:
         if r is not None and not isinstance(r, DataFrame):
-            raise ValueError(f"outputs must be DataFrames, got {type(r).__name__}")
+            raise ValueError(f"the code returned a {type(r).__name__} where a DataFrame belongs")
     known = [d for d in (*results, *inputs) if d is not None]
     if not known:
         raise ValueError("no table to work with")
@@ -42,17 +41,17 @@ def python_batches(df: DataFrame, fn: Callable, schema, arrow: bool = False) ->
 
 
 def python_groups(
-    df: DataFrame, keys: Sequence[str], fn: Callable, schema, max_group_rows: int = GROUP_ROWS_LIMIT
+    df: DataFrame, keys: Sequence[str], fn: Callable, schema, max_group_rows: int | None = None
 ) -> DataFrame:
     """Apply `fn` to each whole group as one pandas frame.
 
-    The code sees all rows of a group at once, so a group has to fit one worker:
-    one counting job checks that and raises if a group is larger.  Use
-    `python_aggregate` for groups of any size.
+    The code sees all rows of a group at once, so a group has to fit one worker.
+    With `max_group_rows` a counting job first raises if a group is larger.  Use
+    `python_aggregate` for groups of any size.  Rows with null keys are groups too.
     """
     by = [name_ref(k) for k in keys]
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_group_rows:
+    largest = max_group_rows is not None and df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if max_group_rows is not None and largest > max_group_rows:
         raise ValueError(f"a group has {largest} rows, more than {max_group_rows}: use python_aggregate")
     return df.groupBy(*by).applyInPandas(fn, schema)
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +99,21 @@ def ordered_window(
     hot = hot_keys(df, partition_by, hot_rows)
     if hot is None:
         return df.withColumns(_plain(partition_by, items, columns))
+    # Internal names from here on, so that none can meet a column of the caller's.
+    names = {c: f"u{i}" for i, c in enumerate(df.columns)}
+    made = {c: f"w{i}" for i, c in enumerate(columns)}
+    renamed = {made[c]: replace(w, field=names[w.field] if w.field else "") for c, w in columns.items()}
+    done = _balanced(
+        df.select(*[name_ref(c).alias(n) for c, n in names.items()]), [names[k] for k in partition_by],
+        [(names[n], d) for n, d in items], renamed, hot_rows, hot,
+    )
+    return done.select(*[F.col(n).alias(c) for c, n in {**names, **made}.items()])
+
+
+def _balanced(
+    df: DataFrame, partition_by: Sequence[str], items: list[tuple[str, bool]], columns: Mapping[str, Win], hot_rows: int, hot: DataFrame
+) -> DataFrame:
+    """Window columns with the `hot` keys cut into order ranges."""
     tagged, part = split_hot_keys(df, partition_by, items, hot_rows, hot)
     own, done = list(df.columns), tagged
     framed = {n: w for n, w in columns.items() if w.frame}

@@ -23,12 +23,20 @@ def parquet_scan(t: Tables) -> DataFrame:
 
 
 @query("src_csv", """
-SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part""")
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice,
+  p_partkey + 1234567890123456789 AS wide,
+  CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'a' || chr(10) || '"b"' WHEN 3 THEN ' x ' ELSE '7' END AS odd,
+  CASE WHEN p_partkey % 150 = 149 THEN 'late' ELSE '1' END AS late
+FROM part""")
 def csv_scan(t: Tables) -> DataFrame:
     """Written without a header, read back with guessed types and our own names."""
     path = t.scratch("src_csv")
-    src.write_csv(t.part, path, delimiter="|", write_header=False)
-    return src.read_csv(t.spark, path, has_header=False, delimiter="|").toDF(*t.part.columns)
+    rest = F.col("p_size") % 5
+    odd = F.when(rest == 1, "").when(rest == 2, 'a\n"b"').when(rest == 3, " x ").when(rest == 4, "7")
+    late = F.when(F.col("p_partkey") % 150 == 149, "late").otherwise("1")
+    part = t.part.withColumns({"wide": F.col("p_partkey") + F.lit(1234567890123456789), "odd": odd, "late": late})
+    src.write_csv(part, path, delimiter="|", write_header=False)
+    return src.read_csv(t.spark, path, has_header=False, delimiter="|").toDF(*part.columns)
 
 
 @query("src_json", CUSTOMER_SQL)

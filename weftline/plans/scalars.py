@@ -31,10 +31,11 @@ def _null_if(column: str, value) -> Column:
 
 scalar("expr_arith", "part", {
     "plus": "p_size + 10", "minus": "p_retailprice - p_size", "times": "p_size * 3", "unknown": "p_size + nullif(p_size, 7)",
-    "joined": "p_name || '/' || p_brand",
+    "joined": "p_name || '/' || p_brand", "text": "p_name || CAST(nullif(p_size, 7) AS VARCHAR)",
 }, lambda: {
     "plus": fx.add("p_size", 10), "minus": fx.subtract("p_retailprice", "p_size"), "times": fx.multiply("p_size", 3),
     "unknown": fx.add("p_size", _null_if("p_size", 7)), "joined": fx.concat("p_name", F.lit("/"), "p_brand"),
+    "text": fx.add("p_name", _null_if("p_size", 7), text=True),
 })
 
 scalar("expr_divide", "part", {
@@ -133,14 +134,25 @@ scalar("fn_round", "orders", {
     "whole": fx.round_("o_totalprice"), "tenth": fx.round_("o_totalprice", 1), "hundreds": fx.round_("o_custkey", -2),
     "half": fx.round_(F.col("o_orderkey") + F.lit(0.5)),
 })
-scalar("fn_floor", "orders", {"low": "CAST(floor(o_totalprice) AS DOUBLE)", "below": "CAST(floor(-o_totalprice) AS DOUBLE)"}, lambda: {
+ODD_WHOLE = "CASE o_orderkey % 5 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE WHEN 3 THEN 1e30 END"
+
+
+def _odd_number() -> Column:
+    """NaN, both infinities, 1e30 and null in turn."""
+    k = F.col("o_orderkey") % 5
+    return F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).when(k == 3, 1e30)
+
+
+scalar("fn_floor", "orders", {"low": "CAST(floor(o_totalprice) AS DOUBLE)", "below": "CAST(floor(-o_totalprice) AS DOUBLE)", "odd": ODD_WHOLE}, lambda: {
     "low": fx.floor("o_totalprice", like="double"), "below": fx.floor(-F.col("o_totalprice"), like="double"),
+    "odd": fx.floor(_odd_number(), like="double"),
 })
-scalar("fn_ceil", "orders", {"high": "CAST(ceil(o_totalprice) AS DOUBLE)", "above": "CAST(ceil(-o_totalprice) AS DOUBLE)"}, lambda: {
+scalar("fn_ceil", "orders", {"high": "CAST(ceil(o_totalprice) AS DOUBLE)", "above": "CAST(ceil(-o_totalprice) AS DOUBLE)", "odd": ODD_WHOLE}, lambda: {
     "high": fx.ceil("o_totalprice", like="double"), "above": fx.ceil(-F.col("o_totalprice"), like="double"),
+    "odd": fx.ceil(_odd_number(), like="double"),
 })
-scalar("fn_pow", "part", {"square": "CAST(pow(p_size, 2) AS BIGINT)", "half": "round(pow(p_retailprice, 0.5), 8)"}, lambda: {
-    "square": fx.pow_("p_size", 2, like="bigint"), "half": F.round(fx.pow_("p_retailprice", 0.5), 8),
+scalar("fn_pow", "part", {"square": "CAST(pow(p_size, 2) AS BIGINT)", "large": "list_reduce(list_concat([1::BIGINT], list_transform(range(p_size % 40), lambda i: 3::BIGINT)), lambda a, b: a * b)", "half": "round(pow(p_retailprice, 0.5), 8)"}, lambda: {
+    "square": fx.pow_("p_size", 2, like="bigint"), "large": fx.pow_(F.lit(3), F.col("p_size") % 40, like="bigint"), "half": F.round(fx.pow_("p_retailprice", 0.5), 8),
 })
 scalar("fn_sqrt", "part", {"root": "round(sqrt(p_retailprice), 8)", "none": "p_size < 25"}, lambda: {
     "root": F.round(fx.sqrt("p_retailprice"), 8), "none": F.isnan(fx.sqrt(F.col("p_size") - 25)),
@@ -175,7 +187,8 @@ scalar("fn_tostring", "orders", {
 }, lambda: {
     "custkey": fx.to_string("o_custkey"), "price": fx.to_string("o_totalprice"), "day": fx.to_string(F.to_date("o_orderdate")),
 })
-scalar("fn_tonumber", "part", {"brand": "TRY_CAST(replace(p_brand, 'Brand#', '') AS DOUBLE)", "none": "TRY_CAST(p_name AS DOUBLE)"}, lambda: {
+scalar("fn_tonumber", "part", {"brand": "TRY_CAST(replace(p_brand, 'Brand#', '') AS DOUBLE)", "none": "TRY_CAST(p_name AS DOUBLE)", "suffix": "CASE WHEN p_size = 7 THEN 7.0::DOUBLE END"}, lambda: {
+    "suffix": fx.to_number(F.when(F.col("p_size") == 7, "7").when(F.col("p_size") % 2 == 0, F.concat("p_size", F.lit("d"))).otherwise("0x1p3")),
     "brand": fx.to_number(fx.replace("p_brand", "Brand#", "")), "none": fx.to_number("p_name"),
 })
 scalar("fn_toint", "part", {"cut": "CAST(trunc(p_retailprice) AS BIGINT)", "none": "TRY_CAST(p_name AS BIGINT)"}, lambda: {

@@ -32,23 +32,47 @@ def python_batches(t: Tables) -> DataFrame:
 
 
 @query("python_groups", """
-SELECT o_orderpriority, count(*) AS n, CAST(max(round(o_totalprice * 100)) - min(round(o_totalprice * 100)) AS BIGINT) AS spread
-FROM orders GROUP BY ALL""")
+SELECT nullif(o_custkey, 1) AS customer, max(streak) AS streak FROM (
+  SELECT o_custkey, count(*) AS streak FROM (
+    SELECT o_custkey, o_orderkey, sum(CASE WHEN o_totalprice > before THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run
+    FROM (SELECT *, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders))
+  GROUP BY o_custkey, run)
+GROUP BY ALL""")
 def python_groups(t: Tables) -> DataFrame:
-    """Per-group user code for groups of any size: combined in the tasks first."""
+    """Longest run of rising prices of each customer; customer 1 stands for a null key."""
+    def longest(orders: pd.DataFrame) -> pd.DataFrame:
+        prices = orders.sort_values("o_orderkey").o_totalprice
+        runs = (~(prices.diff() > 0)).cumsum()
+        return pd.DataFrame({"customer": orders.customer.iloc[:1], "streak": [int(runs.value_counts().max())]})
+
+    orders = t.orders.select(F.nullif("o_custkey", F.lit(1)).alias("customer"), "o_orderkey", "o_totalprice")
+    return op.python_groups(orders, ["customer"], longest, "customer bigint, streak bigint")
+
+
+@query("python_aggregate", """
+SELECT nullif(o_orderpriority, '2-HIGH') AS o_orderpriority, count(*) AS n,
+  CAST(max(cents) - min(cents) AS BIGINT) AS spread
+FROM (SELECT o_orderpriority, CASE WHEN o_orderkey % 10 > 0 AND o_orderpriority <> '5-LOW' THEN round(o_totalprice * 100) END AS cents FROM orders)
+GROUP BY ALL""")
+def python_aggregate(t: Tables) -> DataFrame:
+    """Per-group user code for groups of any size: combined in the tasks first.  One key is null, one has no price."""
     def partial(batch: pd.DataFrame) -> pd.DataFrame:
-        cents = (batch.o_totalprice * 100).round().astype("int64")
-        groups = cents.groupby(batch.o_orderpriority)
+        cents = (batch.price * 100).round().astype("Int64")
+        groups = cents.groupby(batch.o_orderpriority, dropna=False)
         return pd.DataFrame({"n": groups.size(), "low": groups.min(), "high": groups.max()}).rename_axis("o_orderpriority").reset_index()
 
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        return parts.groupby("o_orderpriority", as_index=False).agg({"n": "sum", "low": "min", "high": "max"})
+        parts = parts.astype({"low": "Int64", "high": "Int64"})
+        return parts.groupby("o_orderpriority", as_index=False, dropna=False).agg({"n": "sum", "low": "min", "high": "max"})
 
     def finish(merged: pd.DataFrame) -> pd.DataFrame:
         return merged.assign(spread=merged.high - merged.low)[["o_orderpriority", "n", "spread"]]
 
     return op.python_aggregate(
-        t.orders.select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], partial, merge, finish,
+        t.orders.select(
+            F.nullif("o_orderpriority", F.lit("2-HIGH")).alias("o_orderpriority"),
+            F.when((F.col("o_orderkey") % 10 > 0) & (F.col("o_orderpriority") != "5-LOW"), F.col("o_totalprice")).alias("price"),
+        ), ["o_orderpriority"], partial, merge, finish,
         "o_orderpriority string, n bigint, low bigint, high bigint", "o_orderpriority string, n bigint, spread bigint",
     )
 
@@ -63,7 +87,7 @@ def udf_scalar(t: Tables) -> DataFrame:
 
 
 @query("udaf", """
-SELECT l_suppkey, max(CASE WHEN r = 2 THEN cents END) AS second_price
+SELECT nullif(l_suppkey, 1) AS l_suppkey, max(CASE WHEN r = 2 THEN cents END) AS second_price
 FROM (SELECT l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
              dense_rank() OVER (PARTITION BY l_suppkey ORDER BY round(l_extendedprice * 100) DESC) AS r FROM lineitem)
 GROUP BY ALL""")
@@ -71,31 +95,35 @@ def udaf(t: Tables) -> DataFrame:
     """Second-highest distinct price per supplier: at most two partial rows per key and task."""
     def top_two(frame: pd.DataFrame) -> pd.DataFrame:
         ranked = frame.drop_duplicates().sort_values("cents", ascending=False)
-        return ranked.groupby("l_suppkey", sort=False).head(2)
+        return ranked.groupby("l_suppkey", sort=False, dropna=False).head(2)
 
     def partial(batch: pd.DataFrame) -> pd.DataFrame:
-        cents = (batch.l_extendedprice * 100).round().astype("int64")
+        cents = (batch.l_extendedprice * 100).round().astype("Int64")
         return top_two(pd.DataFrame({"l_suppkey": batch.l_suppkey, "cents": cents}))
 
     def finish(merged: pd.DataFrame) -> pd.DataFrame:
-        groups = merged.groupby("l_suppkey").cents
+        groups = merged.groupby("l_suppkey", dropna=False).cents
         second = groups.min().astype("Int64").where(groups.size() > 1)
         return second.rename("second_price").reset_index()
 
     return op.python_aggregate(
-        t.lineitem.select("l_suppkey", "l_extendedprice"), ["l_suppkey"], partial, top_two, finish,
+        t.lineitem.select(F.nullif("l_suppkey", F.lit(1)).alias("l_suppkey"), "l_extendedprice"), ["l_suppkey"], partial, top_two, finish,
         "l_suppkey bigint, cents bigint", "l_suppkey bigint, second_price bigint",
     )
 
 
 @query("udtf", """
 SELECT p_partkey, CAST(unnest(generate_series(1, len(w))) AS INTEGER) AS place, unnest(w) AS word
-FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)""")
+FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part WHERE p_size <> 7)
+UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_size = 7""")
 def udtf(t: Tables) -> DataFrame:
     @F.udtf(returnType="place int, word string", useArrow=True)
     class Words:
         def eval(self, text: str):
-            for place, word in enumerate(text.split(" "), 1):
-                yield place, word
+            if text is None:
+                yield None, None
+                return
+            yield from enumerate(text.split(" "), 1)
 
-    return t.part.select("p_partkey", "p_name").lateralJoin(Words(F.col("p_name").outer())).select("p_partkey", "place", "word")
+    named = t.part.select("p_partkey", F.when(F.col("p_size") != 7, F.col("p_name")).alias("p_name"))
+    return named.lateralJoin(Words(F.col("p_name").outer())).select("p_partkey", "place", "word")

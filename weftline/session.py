@@ -25,6 +25,7 @@ PLAN_CONF = {
     "spark.sql.shuffle.orderIndependentChecksum.enableFullRetryOnMismatch": "true",
 }
 
+INITIAL_PARTITIONS = 2_000
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 
@@ -53,6 +54,8 @@ def build_session(
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    else:  # start wide: AQE merges what proves small, but splits only the inputs of joins
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(INITIAL_PARTITIONS))
     for key, value in {**RESULT_CONF, **PLAN_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -62,9 +65,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder every executor can reach, private to this application.
 
     The cluster names the root in `spark.checkpoint.dir`; a temporary folder
-    stands in only when nothing is set, which is the case in local tests.
+    stands in only on a local master, as in tests.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "weftline-shared")
     return "/".join([root.rstrip("/"), "weftline", spark.sparkContext.applicationId, name])

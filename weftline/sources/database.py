@@ -5,35 +5,42 @@ Drivers are jars on Spark's class path (`spark.jars`).
 from __future__ import annotations
 
 import os
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
+from weftline.statements import bare_statement
 from weftline.types import logical_name
 
-# JDBC address per database, with the default port.
-ADDRESSES = {
-    "sqlserver": ("jdbc:sqlserver://{host}:{port};databaseName={database}", 1433),
-    "redshift": ("jdbc:redshift://{host}:{port}/{database}", 5439),
-    "oracle": ("jdbc:oracle:thin:@//{host}:{port}/{database}", 1521),
-    "postgresql": ("jdbc:postgresql://{host}:{port}/{database}", 5432),
-    "mysql": ("jdbc:mysql://{host}:{port}/{database}", 3306),
-    "sqlite": ("jdbc:sqlite:{database}", 0),
-}
+# Default port per database.
+PORTS = {"sqlserver": 1433, "redshift": 5439, "oracle": 1521, "postgresql": 5432, "mysql": 3306}
 
-WRITE_MODES = {"append": "append", "overwrite": "overwrite", "create": "errorifexists"}
 
-_ENV = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}")
+def jdbc_address(dialect: str, host: str, port: int, database: str) -> str:
+    """The JDBC address of a database on a server, or of a database file."""
+    if dialect == "sqlite":
+        return f"jdbc:sqlite:{database}"
+    if dialect not in PORTS:
+        raise ValueError(f"unknown database {dialect!r}")
+    server = f"{host}:{port or PORTS[dialect]}"
+    if dialect == "sqlserver":
+        return f"jdbc:sqlserver://{server};databaseName={database}"
+    if dialect == "oracle":
+        return f"jdbc:oracle:thin:@//{server}/{database}"
+    return f"jdbc:{dialect}://{server}/{database}"
 
 
-def fill_env(text: str) -> str:
-    """Replace ${NAME} by the environment variable, or nothing when unset."""
-    return _ENV.sub(lambda m: os.environ.get(m.group(1), ""), text or "")
+WRITE_MODES = {"append": "append", "overwrite": "overwrite", "create": "errorifexists"}
 
 
-def clean_query(query: str) -> str:
-    return query.strip().rstrip(";").strip()
+def from_environment(text: str) -> str:
+    """The text with the value of each ${NAME} in its place; an unset variable leaves nothing, other braces stay."""
+    first, *rest = text.split("${")
+    for part in rest:
+        name, brace, after = part.partition("}")
+        known = brace and name.isascii() and name.isidentifier()
+        first += os.environ.get(name, "") + after if known else "${" + part
+    return first
 
 
 @dataclass(frozen=True)
@@ -50,16 +57,12 @@ class Connection:
     driver: str = ""
 
     def options(self) -> dict[str, str]:
-        if self.uri.strip():
-            url = fill_env(self.uri.strip())
-        elif self.dialect == "custom":
+        own = self.uri.strip()
+        if not own and self.dialect == "custom":
             raise ValueError("the custom dialect needs a uri")
-        elif self.dialect in ADDRESSES:
-            pattern, port = ADDRESSES[self.dialect]
-            url = pattern.format(host=fill_env(self.host), port=self.port or port, database=fill_env(self.database))
-        else:
-            raise ValueError(f"unknown database {self.dialect!r}")
-        out = {"url": url, "user": fill_env(self.user), "password": fill_env(self.password), "driver": self.driver}
+        host, database, user, password = map(from_environment, (self.host, self.database, self.user, self.password))
+        url = from_environment(own) if own else jdbc_address(self.dialect, host, self.port, database)
+        out = {"url": url, "user": user, "password": password, "driver": self.driver}
         return {k: v for k, v in out.items() if v}
 
 
@@ -83,7 +86,7 @@ class Slices:
 
 
 def _reader(spark: SparkSession, connection: Connection, query: str, slices: Slices | None, fetch_size: int) -> DataFrameReader:
-    text = clean_query(query)
+    text = bare_statement(query)
     if not text:
         raise ValueError("no SQL query")
     reader = spark.read.format("jdbc").options(**connection.options()).option("fetchsize", fetch_size)

@@ -7,14 +7,16 @@ from pyspark.sql import types as T
 
 from weftline.types import TEXT_TIMES, name_ref
 
-INFER_ROWS = 100
-
 # What counts as a number or boolean when a CSV column type is guessed.
-_INT = r"^[+-]?\d{1,18}$"
+_INT = r"^[+-]?\d{1,19}$"
 _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^(NaN|inf|-inf)$"
 _BOOL = r"^(true|false)$"
 
 
+# Spark would take a quoted empty cell for null as well if the mark for null were the empty text.
+NO_CELL = "\x00"
+
+
 def _all_match(name: str, pattern: str) -> Column:
     """True when every filled cell fits; false when no cell is filled."""
     return F.coalesce(F.bool_and(name_ref(name).rlike(pattern)), F.lit(False))
@@ -23,7 +25,8 @@ def _all_match(name: str, pattern: str) -> Column:
 def _guess_types(sample: DataFrame) -> list[T.DataType]:
     checks = []
     for c in sample.columns:
-        checks.append(F.array(*[_all_match(c, p) for p in (_INT, _FLOAT, _BOOL)]).alias(c))
+        fits = _all_match(c, _INT) & F.coalesce(F.bool_and(name_ref(c).try_cast("bigint").isNotNull() | name_ref(c).isNull()), F.lit(False))
+        checks.append(F.array(fits, *[_all_match(c, p) for p in (_FLOAT, _BOOL)]).alias(c))
     found = sample.agg(*checks).first()
     order = (T.LongType(), T.DoubleType(), T.BooleanType())
     return [next((t for t, ok in zip(order, flags) if ok), T.StringType()) for flags in found]
@@ -35,22 +38,28 @@ def read_csv(
     has_header: bool = True,
     delimiter: str = ",",
     schema: T.StructType | str | None = None,
-    infer_rows: int = INFER_ROWS,
     mode: str = "FAILFAST",
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """CSV with typed columns.
 
-    Without a `schema`, types come from the first `infer_rows` rows only, so
-    guessing never scans the data; a later value that does not fit fails the job
-    (`mode="PERMISSIVE"` makes it null).  Dates stay text.  `multiline` allows
-    line breaks inside quotes at the price of unsplittable files.
+    Without a `schema`, one aggregate job over all rows finds the types: whole
+    numbers that fit 64 bits, numbers, true / false, else text; dates stay text.  A
+    value that does not fit a given schema fails the job (`mode="PERMISSIVE"` makes
+    it null).  An empty cell is null, a quoted empty one is the empty text.
+
+    `multiline` allows line breaks inside quotes at the price of unsplittable
+    files; None looks for a line with an odd number of quotes first, which costs a
+    pass over the text.
     """
-    options = dict(header=has_header, sep=delimiter, quote='"', escape='"', multiLine=multiline)
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+    options = dict(header=has_header, sep=delimiter, quote='"', escape='"', multiLine=multiline, nullValue=NO_CELL, emptyValue="")
     if schema is None:
         raw = spark.read.csv(path, **options)
         names = raw.columns if has_header else [f"column_{i + 1}" for i in range(len(raw.columns))]
-        types = _guess_types(raw.toDF(*names).limit(infer_rows))
+        types = _guess_types(raw.toDF(*names))
         schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
     return spark.read.csv(path, schema=schema, mode=mode, nanValue="NaN", positiveInf="inf", negativeInf="-inf", **options)
 
@@ -76,7 +85,8 @@ def read_json(
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", write_header: bool = True) -> DataFrame:
     """Write a folder of CSV files, replacing what is there; returns the input."""
-    df.write.mode("overwrite").options(**TEXT_TIMES).csv(path, sep=delimiter, header=write_header, quote='"', escape='"')
+    options = dict(quote='"', escape='"', nullValue="", emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df.write.mode("overwrite").options(**TEXT_TIMES).csv(path, sep=delimiter, header=write_header, **options)
     return df
 
 

@@ -67,10 +67,18 @@ def logical_name(dtype: T.DataType) -> str:
     return "string"
 
 
+def as_double(col: Column) -> Column:
+    """Double, null where a value is no number: the suffixes and hexadecimal forms that Spark's cast takes are none."""
+    foreign = col.cast("string").rlike(r"(?i)[0-9.]\s*[df]\s*$|^\s*[+-]?0x")
+    return F.when(foreign.isNull() | ~foreign, col.try_cast("double"))
+
+
 def lenient_cast(col: Column, logical: str) -> Column:
     """Cast that gives null where a value does not convert."""
     target = spark_type(logical)
     bits = UNSIGNED_BITS.get(logical)
+    if isinstance(target, (T.FloatType, T.DoubleType)):
+        return as_double(col).cast(target)
     if bits is None:
         return col.try_cast(target)
     # Spark has no unsigned integers: hold them one size up and check the range.
