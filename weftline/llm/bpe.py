@@ -18,16 +18,18 @@ from weftline.llm.common import slices
 
 #: White space in the sense of Unicode, which is what the tokenizer's \s means.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters beyond the basic plane.
+WIDE = re.compile("[\U00010000-\U0010FFFF]")
 #: Distinct words whose encoding a task remembers; the memory starts anew beyond that.
 REMEMBERED = 200_000
 
 
 @cache
-def characters(category: str) -> str:
-    """The characters of a general category, as ranges for a character class."""
+def characters(category: str, last: int) -> str:
+    """The characters of a general category up to `last`, as ranges for a character class."""
     out, start = [], None
-    for i in range(sys.maxunicode + 2):
-        inside = i <= sys.maxunicode and unicodedata.category(chr(i))[0] == category
+    for i in range(last + 2):
+        inside = i <= last and unicodedata.category(chr(i))[0] == category
         if inside and start is None:
             start = i
         elif not inside and start is not None:
@@ -36,9 +38,12 @@ def characters(category: str) -> str:
     return "".join(out)
 
 
-def own_pattern(pattern: str) -> re.Pattern:
-    """A pattern with \\p{L}, \\p{N} and \\s spelled out, in and outside of classes."""
-    for name, members in ((r"\p{L}", characters("L")), (r"\p{N}", characters("N")), (r"\s", SPACE)):
+def own_pattern(pattern: str, last: int = sys.maxunicode) -> re.Pattern:
+    """A pattern with \\p{L}, \\p{N} and \\s spelled out, in and outside of classes, for texts with characters up to `last`.
+
+    Classes within the basic plane are looked up in a table, others are searched range by range.
+    """
+    for name, members in ((r"\p{L}", characters("L", last)), (r"\p{N}", characters("N", last)), (r"\s", SPACE)):
         parts = pattern.split(name)
         done = parts[0]
         for part in parts[1:]:
@@ -67,7 +72,7 @@ class Tokenizer:
         self.vocab: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.end = model["end_of_word_suffix"] or ""
-        self.pattern = own_pattern(split["pattern"]["Regex"])
+        self.pattern, self.wide_pattern = (own_pattern(split["pattern"]["Regex"], last) for last in (0xFFFF, sys.maxunicode))
         self.space = re.compile(f"[{SPACE}]+")
         self.symbols = byte_symbols()
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -120,7 +125,8 @@ class Tokenizer:
             if not part.isascii():
                 # One letter at a time: str.lower() would turn a capital sigma at a word's end into another letter.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            words = self.pattern.findall(self.space.sub(" ", part).lower())
+            pattern = self.wide_pattern if WIDE.search(part) else self.pattern
+            words = pattern.findall(self.space.sub(" ", part).lower())
             known = self.known
             try:
                 out += [known[w] for w in words]
