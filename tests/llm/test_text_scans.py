@@ -9,7 +9,7 @@ import pytest
 from llm_tools import alnum_words
 
 from weftline.llm import licenses, urls
-from weftline.llm.bpe import Tokenizer, bpe, read_tokenizer
+from weftline.llm.bpe import Tokenizer, bpe, byte_symbols, read_tokenizer
 from weftline.llm.queries import tokenizer_path
 from weftline.llm.secrets import redact, scan_secrets
 
@@ -134,8 +134,11 @@ def test_bpe_equals_the_library(spark):
 
 
 def test_merges_skip_stale_entries():
-    own = Tokenizer(read_tokenizer(tokenizer_path()))
-    own.ranks = {("a", "b"): 0, ("b", "c"): 1, ("ab", "c"): 2, ("a", "a"): 3}
-    assert own.merge(list("abcaaab")) == ["abc", "aa", "ab"]
+    spec = read_tokenizer(tokenizer_path())
+    bytes_only = [c + e for e in ("", "</w>") for c in byte_symbols()]
+    model = {**spec["model"], "vocab": {t: i for i, t in enumerate([*bytes_only, "ab", "bc", "abc", "aa"])}, "merges": [["a", "b"], ["b", "c"], ["ab", "c"], ["a", "a"]]}
+    own = Tokenizer({**spec, "model": model, "added_tokens": []})
+    ids = [model["vocab"][c] for c in "abcaaab"]
+    assert [own.strings[i] for i in own.merge(ids)] == ["abc", "aa", "ab"]
     with pytest.raises(ValueError):
         Tokenizer({**read_tokenizer(tokenizer_path()), "decoder": {"type": "x"}})

@@ -4,6 +4,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -20,8 +21,10 @@ from weftline.llm.common import slices
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters beyond the basic plane.
 WIDE = re.compile("[\U00010000-\U0010FFFF]")
-#: Distinct words whose encoding a task remembers; the memory starts anew beyond that.
-REMEMBERED = 200_000
+#: Distinct words whose encoding a task remembers, in each of two generations.
+REMEMBERED = 150_000
+ID_BITS = 20
+ID_MASK = (1 << ID_BITS) - 1
 
 
 @cache
@@ -69,51 +72,81 @@ class Tokenizer:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or not split["invert"] or split["behavior"] != "Removed" or spec["decoder"]:
             raise ValueError("this tokenizer file asks for steps that are not supported")
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
-        self.end = model["end_of_word_suffix"] or ""
+        vocab: dict[str, int] = model["vocab"]
+        end = model["end_of_word_suffix"] or ""
+        symbols = byte_symbols()
+        if max(vocab.values()) > ID_MASK or any(c + e not in vocab for c in symbols for e in ("", end)):
+            raise ValueError("this vocabulary is too large or lacks single bytes")
+        self.byte_ids = [vocab[c] for c in symbols], [vocab[c + end] for c in symbols]
+        # Pair of ids -> rank and id of what it merges to.
+        self.pairs: dict[int, int] = {}
+        for rank, merge in enumerate(model["merges"]):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            self.pairs[vocab[left] << ID_BITS | vocab[right]] = rank << ID_BITS | vocab[left + right]
         self.pattern, self.wide_pattern = (own_pattern(split["pattern"]["Regex"], last) for last in (0xFFFF, sys.maxunicode))
         self.space = re.compile(f"[{SPACE}]+")
-        self.symbols = byte_symbols()
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.strings = {i: s for s, i in (self.vocab | added).items()}
+        self.strings = {i: s for s, i in (vocab | added).items()}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def merge(self, symbols: list[str]) -> list[str]:
+    def merge(self, symbols: list[int]) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until no pair has one.
 
-        The symbols are a doubly linked list; a queue holds (rank, place) of every
-        adjacent pair as it arises.  An entry whose pair has changed since is
-        skipped when it comes up.
+        The symbols are a doubly linked list; a queue holds rank and place of every
+        adjacent pair as it arises, in one number.  An entry whose place no longer
+        holds a pair of its rank is stale and skipped when it comes up.
         """
         n = len(symbols)
-        text: list[str | None] = list(symbols)
+        symbol = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self.ranks
-        queue = [(r, i, text[i], text[i + 1]) for i in range(n - 1) if (r := ranks.get((text[i], text[i + 1]))) is not None]
+        pairs = self.pairs
+        queue = []
+        for i in range(n - 1):
+            if (pair := pairs.get(symbol[i] << ID_BITS | symbol[i + 1])) is not None:
+                queue.append(pair >> ID_BITS << 32 | i)
         heapq.heapify(queue)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if text[i] != left or j >= n or text[j] != right:
+            if symbol[i] < 0 or j >= n:
                 continue
-            text[i], text[j] = left + right, None
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := ranks.get((text[a], text[b]))) is not None:
-                    heapq.heappush(queue, (r, a, text[a], text[b]))
-        return [t for t in text if t is not None]
+            pair = pairs.get(symbol[i] << ID_BITS | symbol[j])
+            if pair is None or pair >> ID_BITS != entry >> 32:
+                continue
+            symbol[i], symbol[j] = pair & ID_MASK, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (pair := pairs.get(symbol[i] << ID_BITS | symbol[k])) is not None:
+                    heapq.heappush(queue, pair >> ID_BITS << 32 | i)
+            h = before[i]
+            if h >= 0 and (pair := pairs.get(symbol[h] << ID_BITS | symbol[i])) is not None:
+                heapq.heappush(queue, pair >> ID_BITS << 32 | h)
+        return [x for x in symbol if x >= 0]
 
     def word(self, word: str) -> bytes:
         """The ids of one word as little-endian unsigned 32-bit integers."""
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.end
-        ids = [self.vocab[t] for t in self.merge(symbols) if t in self.vocab]
-        return np.array(ids, "<u4").tobytes()
+        inner, last = self.byte_ids
+        raw = word.encode()
+        ids = [inner[b] for b in raw[:-1]]
+        ids.append(last[raw[-1]])
+        ids = self.merge(ids) if len(ids) > 1 else ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def remembered(self, word: str) -> bytes:
+        """The ids of a word, from one of two generations of remembered words."""
+        if (ids := self.known.get(word)) is None:
+            if (ids := self.older.get(word)) is None:
+                ids = self.word(word)
+            if len(word) <= 64:
+                if len(self.known) >= REMEMBERED:
+                    self.older, self.known = self.known, {}
+                self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         parts = self.added_pattern.split(text) if self.added_pattern and "<" in text else [text]
@@ -128,17 +161,7 @@ class Tokenizer:
             pattern = self.wide_pattern if WIDE.search(part) else self.pattern
             words = pattern.findall(self.space.sub(" ", part).lower())
             known = self.known
-            try:
-                out += [known[w] for w in words]
-            except KeyError:
-                for w in words:
-                    if (ids := known.get(w)) is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        ids = self.word(w)
-                        if len(w) <= 64:
-                            known[w] = ids
-                    out.append(ids)
+            out += [known.get(w) or self.remembered(w) for w in words]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
