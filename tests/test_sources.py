@@ -45,9 +45,10 @@ def test_csv_quotes_header_delimiter(spark, tmp_path):
 def test_csv_value_that_does_not_fit_fails(spark, tmp_path):
     file = tmp_path / "late.csv"
     file.write_text("n\n" + "1\n" * 150 + "oops\n")
+    assert dict(src.read_csv(spark, str(file)).dtypes) == {"n": "string"}
     with pytest.raises(Exception):
-        src.read_csv(spark, str(file)).collect()
-    kept = src.read_csv(spark, str(file), mode="PERMISSIVE")
+        src.read_csv(spark, str(file), schema="n bigint").collect()
+    kept = src.read_csv(spark, str(file), schema="n bigint", mode="PERMISSIVE")
     assert kept.where("n is null").count() == 1 and kept.count() == 151
 
 
@@ -136,3 +137,22 @@ def test_stateless_stream_equals_batch(spark, customers, tmp_path):
     customers.where("id > 4").write.mode("append").parquet(inbox)
     run_available(spark.readStream.schema(customers.schema).parquet(inbox), active, out, state)
     assert rows_of(spark.read.parquet(out)) == rows_of(active(customers))
+
+
+def test_arrow_folders(spark, tmp_path):
+    base = str(tmp_path / "deep")
+    src.write_arrow(spark.createDataFrame([(1, "a")], "id int, name string").coalesce(1), f"{base}/x=1")
+    src.write_arrow(spark.createDataFrame([(2**40, 1.5)], "id bigint, score double").coalesce(1), f"{base}/y/z")
+    src.write_arrow(spark.range(3), f"{base}/_hidden")
+    both = src.read_arrow(spark, base)
+    assert dict(both.dtypes) == {"id": "bigint", "name": "string", "score": "double"}
+    assert rows_of(both.select("id", "name", "score")) == [(1, "a", None), (2**40, None, 1.5)]
+    assert rows_of(src.read_arrow(spark, f"{base}/*/*.arrow")) == [(1, "a")]
+    assert src.read_arrow(spark, f"{base}/[xy]*").count() == 2
+    empty = str(tmp_path / "empty")
+    src.write_arrow(both.limit(0), empty)
+    back = src.read_arrow(spark, empty)
+    assert back.count() == 0 and back.dtypes == both.dtypes
+    src.write_arrow(both, empty)
+    src.write_arrow(both.limit(0), empty)
+    assert src.read_arrow(spark, empty).count() == 0

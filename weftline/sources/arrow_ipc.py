@@ -7,10 +7,12 @@ visible only when the whole job commits.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -18,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
 )
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 FORMAT = "arrow_ipc"
 SPLIT_BYTES = 512 * 1024 * 1024
 DRIVER_THREADS = 32
+WILD = re.compile(r"[*?\[]")
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -33,26 +36,47 @@ def _qualified(spark: SparkSession, path: str) -> str:
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and its own path: local, or any URI Arrow knows (hdfs, s3, gs)."""
+    """File system and its own path: local, or any URI Arrow knows (hdfs, s3, gs; s3a and s3n are s3)."""
     if "://" in path:
-        return pafs.FileSystem.from_uri(path)
+        return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
     if path.startswith("file:"):
         path = path[len("file:"):]
     return pafs.LocalFileSystem(), os.path.abspath(path)
 
 
+def _fixed_part(path: str) -> str:
+    """The folder above the first part of a path that holds a wildcard."""
+    parts = path.split("/")
+    return "/".join(parts[:next(i for i, p in enumerate(parts) if WILD.search(p))])
+
+
 def _data_files(path: str) -> tuple[pafs.FileSystem, list[pafs.FileInfo]]:
-    system, base = _filesystem(path)
+    """A file, the files of a folder and the folders in it, or those that fit a path with wildcards.
+
+    Names that start with _ or . are passed over.  A wildcard stays within one
+    level; a folder that fits stands for all files below it.
+    """
+    glob = WILD.search(path.split("://")[-1])
+    system, base = _filesystem(_fixed_part(path) if glob else path)
     info = system.get_file_info(base)
     if info.type == pafs.FileType.File:
         return system, [info]
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
-    found = system.get_file_info(pafs.FileSelector(base, recursive=False))
-    files = [f for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))]
+    found = system.get_file_info(pafs.FileSelector(base, recursive=True))
+    below = [(f, f.path[len(base):].strip("/").split("/")) for f in found if f.type == pafs.FileType.File]
+    if glob:
+        levels = path[len(_fixed_part(path)):].strip("/").split("/")
+        below = [(f, parts) for f, parts in below if len(parts) >= len(levels) and all(map(fnmatchcase, parts, levels))]
+    files = [f for f, parts in below if not any(p.startswith(("_", ".")) for p in parts)]
     return system, sorted(files, key=lambda f: f.path)
 
 
+def _footer(system: pafs.FileSystem, file: pafs.FileInfo) -> pa.Schema:
+    with system.open_input_file(file.path) as source:
+        return pa.ipc.open_file(source).schema
+
+
 @dataclass
 class _Batches(InputPartition):
     file: str
@@ -62,7 +86,7 @@ class _Batches(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, schema: StructType, split_bytes: int):
-        self.path, self.names, self.split_bytes = path, schema.names, split_bytes
+        self.path, self.schema, self.names, self.split_bytes = path, schema, schema.names, split_bytes
 
     def partitions(self) -> list[InputPartition]:
         system, files = _data_files(self.path)
@@ -80,13 +104,23 @@ class _Reader(DataSourceReader):
             return [part for parts in pool.map(parts_of, files) for part in parts]
 
     def read(self, part: _Batches) -> Iterator[pa.RecordBatch]:
-        system, _ = _filesystem(self.path)
+        system, _ = _filesystem(_fixed_part(self.path) if WILD.search(self.path.split("://")[-1]) else self.path)
+        want = to_arrow_schema(self.schema)
         with system.open_input_file(part.file) as source:
             whole = pa.ipc.open_file(source).schema
-            wanted = pa.ipc.IpcReadOptions(included_fields=sorted(whole.get_field_index(n) for n in self.names))
-            reader = pa.ipc.open_file(source, options=wanted)
+            own = [n for n in self.names if whole.get_field_index(n) >= 0]
+            wanted = pa.ipc.IpcReadOptions(included_fields=sorted(whole.get_field_index(n) for n in own))
+            reader = pa.ipc.open_file(source, options=wanted) if own else pa.ipc.open_file(source)
             for i in range(part.first, reader.num_record_batches if part.last is None else part.last):
-                yield reader.get_batch(i).select(self.names)
+                batch = reader.get_batch(i)
+                # A column that this file lacks is null, one of a narrower type is widened.
+                columns = [self._widened(batch.column(f.name), f.type) if f.name in own else pa.nulls(batch.num_rows, f.type) for f in want]
+                yield pa.RecordBatch.from_arrays(columns, names=self.names)
+
+    @staticmethod
+    def _widened(column: pa.Array, kind: pa.DataType) -> pa.Array:
+        plain = pa.types.is_integer(column.type) or pa.types.is_floating(column.type) or pa.types.is_null(column.type)
+        return column.cast(kind) if plain and column.type != kind else column
 
 
 @dataclass
@@ -95,8 +129,8 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, schema: StructType, overwrite: bool):
+        self.path, self.schema, self.overwrite = path, schema, overwrite
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -119,9 +153,15 @@ class _Writer(DataSourceArrowWriter):
         old = _data_files(self.path)[1] if self.overwrite else []
         # Retried tasks may have left files behind: only reported ones move in.
         names = [m.file for m in messages if m is not None and m.file]
+        if not names:  # an empty table is a file without rows, which keeps the columns
+            names = [f"part-{uuid.uuid4().hex}.arrow"]
+            system.create_dir(f"{base}/{self.staging}", recursive=True)
+            with system.open_output_stream(f"{base}/{self.staging}/{names[0]}") as sink, pa.ipc.new_file(sink, to_arrow_schema(self.schema)):
+                pass
+        # The old files go first: a driver lost in between leaves too little, which shows, but never old rows among new ones.
         with ThreadPoolExecutor(DRIVER_THREADS) as pool:
-            list(pool.map(lambda n: system.move(f"{base}/{self.staging}/{n}", f"{base}/{n}"), names))
             list(pool.map(lambda f: system.delete_file(f.path), old))
+            list(pool.map(lambda n: system.move(f"{base}/{self.staging}/{n}", f"{base}/{n}"), names))
         self._drop_staging(system, base)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -142,9 +182,10 @@ class ArrowIpcSource(DataSource):
         system, files = _data_files(self.options["path"])
         if not files:
             raise FileNotFoundError(f"no Arrow files in {self.options['path']}")
-        with system.open_input_file(files[0].path) as source:
-            found = pa.ipc.open_file(source).schema
-        whole = from_arrow_schema(found, prefer_timestamp_ntz=True)
+        with ThreadPoolExecutor(DRIVER_THREADS) as pool:
+            found = list(pool.map(lambda f: _footer(system, f), files))
+        merged = pa.unify_schemas([s.remove_metadata() for s in found], promote_options="permissive")
+        whole = from_arrow_schema(merged, prefer_timestamp_ntz=True)
         wanted = self.options.get("columns")
         if not wanted:
             return whole
@@ -154,11 +195,14 @@ class ArrowIpcSource(DataSource):
         return _Reader(self.options["path"], schema, int(self.options.get("splitbytes", SPLIT_BYTES)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], overwrite)
+        return _Writer(self.options["path"], schema, overwrite)
 
 
 def read_arrow(spark: SparkSession, path: str, columns: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Arrow IPC file or folder; files above `split_bytes` are shared among tasks.
+    """Arrow IPC file, folder with its subfolders, or path with wildcards.
+
+    Files above `split_bytes` are shared among tasks.  The columns of all files are
+    taken together: one that a file lacks is null there, numbers widen.
 
     Spark cannot push a projection into a Python source, so name the `columns`
     a query needs to read only those.
