@@ -27,6 +27,8 @@ OrderBy = Sequence["str | tuple[str, str]"]
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 32_768
 SAMPLES_PER_BUCKET = 8
+# So much of a text is sampled and sent as a cut, however long the texts are.
+SAMPLED_WIDTH = 64
 CHUNK_OF_COPIES = 65_536
 SKETCH_GROUPS = 256
 
@@ -86,12 +88,18 @@ def _ascending(col: Column, dtype: T.DataType, descending: bool) -> Column:
     raise TypeError(f"cannot sort {dtype.simpleString()} in descending order here")
 
 
-def order_struct(df: DataFrame, items: list[tuple[str, bool]]) -> Column:
-    """One struct whose ascending order is the row order: usable in min, max and <=."""
+def order_struct(df: DataFrame, items: list[tuple[str, bool]], width: int | None = None) -> Column:
+    """One struct whose ascending order is the row order: usable in min, max and <=.
+
+    With `width` only so much of each text counts: rows that differ beyond are equal.
+    """
     types = fields_of(df)
-    return F.struct(
-        *[_ascending(name_ref(n), types[n], d).alias(f"k{i}") for i, (n, d) in enumerate(items)]
-    )
+
+    def key(name: str) -> Column:
+        cut = width and isinstance(types[name], (T.StringType, T.BinaryType))
+        return F.substring(name_ref(name), 1, width) if cut else name_ref(name)
+
+    return F.struct(*[_ascending(key(n), types[n], d).alias(f"k{i}") for i, (n, d) in enumerate(items)])
 
 
 @dataclass(frozen=True)
@@ -169,7 +177,7 @@ class OrderRanges:
         """Cuts from a sample of a few rows per range; `total` is the row count."""
         n_ranges = min(n_ranges, MAX_BUCKETS)
         fraction = min(1.0, n_ranges * SAMPLES_PER_BUCKET / max(1, total))
-        keys = df.select(order_struct(df, items).alias("k")).sample(fraction, seed=17)
+        keys = df.select(order_struct(df, items, SAMPLED_WIDTH).alias("k")).sample(fraction, seed=17)
         ranked = keys.agg(F.sort_array(F.collect_list("k")).alias("ks"))
         picks = F.transform(
             F.sequence(F.lit(1), F.lit(n_ranges - 1)),
@@ -179,7 +187,7 @@ class OrderRanges:
 
     def number(self, df: DataFrame) -> Column:
         """The range number of each row; rows of equal order share a range."""
-        return self.bounds.bucket_of(order_struct(df, self.items))
+        return self.bounds.bucket_of(order_struct(df, self.items, SAMPLED_WIDTH))
 
 
 class OrderedBuckets:

@@ -1,6 +1,10 @@
 """Reading and writing files, and typing text."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +45,17 @@ def csv_scan(t: Tables) -> DataFrame:
 
 @query("src_json", CUSTOMER_SQL)
 def json_scan(t: Tables) -> DataFrame:
-    """Array documents of at most 100,000 customers each."""
+    """Array documents of one Arrow batch of customers each."""
     path = t.scratch("src_json")
     customers = t.customer
-    documents = customers.groupBy(F.floor(F.col("c_custkey") / 100_000).alias("chunk")).agg(
-        F.to_json(F.collect_list(F.struct("*"))).alias("value")
-    )
+
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            yield pd.DataFrame({"chunk": [f"{part}-{k}"], "value": ["[" + ",".join(batch["row"]) + "]"]})
+
+    rows = customers.select(F.to_json(F.struct("*")).alias("row"))
+    documents = rows.mapInPandas(arrays, "chunk string, value string")
     documents.write.mode("overwrite").partitionBy("chunk").text(path)
     return src.read_json(t.spark, path, schema=customers.schema).drop("chunk")
 
