@@ -27,7 +27,7 @@ QUERIES = [
     "join_inner", "join_left_only", "join_right_only", "agg_count_distinct", "agg_median", "agg_first", "agg_last", "agg_global",
     "asof_join", "sql_cross_theta", "crosstab_first", "sample_first", "sample_last", "sample_every_n", "sample_random_n",
     "sample_random_pct", "unique_rows", "duplicate_rows", "sql_outer_join", "sql_semi_anti", "sql_set_ops", "sql_subquery",
-    "sql_window_frame", "sql_window_rank", "sql_window_analytic", "qualify", "python_groups", "udaf",
+    "sql_window_frame", "sql_window_rank", "sql_window_analytic", "qualify", "python_groups", "python_aggregate", "udaf",
 ]
 
 
