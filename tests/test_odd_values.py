@@ -135,3 +135,15 @@ def test_scratch_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         shared_folder(Elsewhere, "x")
+
+
+def test_groups_of_every_match():
+    from weftline.operators.parse import certain_groups
+
+    assert certain_groups(r"(a)(b)?(c(d)*)(?:(e)|f)(?=(g))(?!(h))[(](i)\((j|k){0,2}(l){2}") == {1, 3, 6, 8, 10}
+    assert certain_groups("(a)|(b)") == set() and certain_groups(r"\Q(\E(x*)") == {1}
+
+
+def test_empty_group_is_kept(spark):
+    df = spark.createDataFrame([("ab",), ("b",), ("x",)], "t string")
+    assert rows_of(op.regex_parse(df, "t", r"^(a*)(c)?b")) == [("ab", "a", None), ("b", "", None), ("x", None, None)]

@@ -57,18 +57,42 @@ def pattern_groups(pattern: str) -> tuple[str, list[str]]:
     return _NAMED_GROUP.sub(r"\1(", pattern), [names.get(i, str(i)) for i in range(1, probe.groups + 1)]
 
 
+_PATTERN_PIECE = re.compile(r"\\Q.*?(?:\\E|$)|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?:\?(?:<?[=!]|[^:)]*[:)]|>))?|\)(?:[?*]|\{0)?|\||.", re.S)
+
+
+def certain_groups(java: str) -> set[int]:
+    """Numbers of the groups that take part in every match: none under `?`, `*`, `{0,` or beside a `|`."""
+    number, open_groups = 0, [{"own": 0, "inner": set(), "choice": False, "refused": False}]
+    for piece in _PATTERN_PIECE.findall(java):
+        if piece == "|":
+            open_groups[-1]["choice"] = True
+        elif piece.startswith("(") and not piece.endswith(")"):
+            number += piece == "("
+            open_groups.append({"own": number if piece == "(" else 0, "inner": set(), "choice": False, "refused": piece.endswith("!")})
+        elif piece.startswith(")") and len(open_groups) > 1:
+            group = open_groups.pop()
+            sure = set() if group["choice"] else group["inner"]
+            if group["own"]:
+                sure = sure | {group["own"]}
+            if piece == ")" and not group["refused"]:
+                open_groups[-1]["inner"] |= sure
+    return set() if open_groups[0]["choice"] else open_groups[0]["inner"]
+
+
 def regex_parse(df: DataFrame, field: str, pattern: str) -> DataFrame:
     """Capture groups of the first match as columns; null without a match.
 
-    A group that took part in no match is null; Spark cannot tell it from one
-    that matched the empty text, so that is null too.
+    A group that took no part in the match is null.  Spark cannot tell it from one
+    that matched the empty text, so an optional group is null in both cases; a group
+    that is part of every match keeps the empty text.
     """
     if not field or not pattern:
         return df
     java, names = pattern_groups(pattern)
-    text = as_text(field)
+    text, sure = as_text(field), certain_groups(java)
+    found = {n: F.regexp_extract(text, java, i) for i, n in enumerate(names, 1)}
     return df.withColumns({
-        n: F.nullif(F.regexp_extract(text, java, i), F.lit("")) for i, n in enumerate(names, 1)
+        n: F.when(text.rlike(java), found[n]) if i in sure else F.nullif(found[n], F.lit("")) for i, n in enumerate(names, 1)
     })
 
 

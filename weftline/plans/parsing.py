@@ -25,11 +25,11 @@ def split_to_rows(t: Tables) -> DataFrame:
 @query("regex_parse", r"""
 SELECT page_id, url, CASE WHEN m THEN regexp_extract(url, p, 1) END AS scheme,
        CASE WHEN m THEN regexp_extract(url, p, 2) END AS host,
-       nullif(CASE WHEN m THEN regexp_extract(url, p, 3) END, '') AS "3"
+       nullif(CASE WHEN m THEN regexp_extract(url, p, 3) END, '') AS "3", CASE WHEN m THEN regexp_extract(url, p, 4) END AS "4"
 FROM (SELECT *, regexp_matches(url, p) AS m
-      FROM (SELECT page_id, url, '^(https?)://([^/]+\.com)(?:/([a-z]{2})/)?' AS p FROM pages))""")
+      FROM (SELECT page_id, url, '^(https?)://([^/]+\.com)(?:/([a-z]{2})/)?([0-3]*)' AS p FROM pages))""")
 def regex_parse(t: Tables) -> DataFrame:
-    return op.regex_parse(t.pages.select("page_id", "url"), "url", r"^(?<scheme>https?)://(?P<host>[^/]+\.com)(?:/([a-z]{2})/)?")
+    return op.regex_parse(t.pages.select("page_id", "url"), "url", r"^(?<scheme>https?)://(?P<host>[^/]+\.com)(?:/([a-z]{2})/)?([0-3]*)")
 
 
 @query("regex_match", r"SELECT doc_id, regexp_matches(text, '[0-9]{3,}') AS numbers FROM documents")
