@@ -27,6 +27,7 @@ from weftline.llm.queries import tokenizer_path
 from weftline.llm.secrets import redact, scan_secrets
 from weftline.llm.toxicity import score_toxicity, train_toxicity
 from weftline.session import configure, shared_folder
+from weftline.types import name_ref
 
 #: Ids up to which a list of documents to drop is broadcast (16 bytes each); a longer one is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -39,10 +40,21 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with names that no operator's own columns have (but for doc_id), and the map to them."""
+    names = {c: c if c == "doc_id" else f"column{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(name_ref(c).alias(n) for c, n in names.items())), names
+
+
+def _back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return score_toxicity(docs, model, keep=rest).where("score < 0.5").select(*docs.columns)
+    plain, names = _apart(docs)
+    scored = score_toxicity(plain, model, text_col=names["text"], keep=tuple(n for n in names.values() if n != "doc_id"))
+    return _back(scored.where("score < 0.5"), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,28 +62,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = _without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
     copies = kept.where("doc_id is null and text is not null")
     if copies.limit(1).count():
-        known = docs.where("doc_id is not null").select(F.xxhash64("text").alias("h"), F.length("text").alias("l")).distinct()
-        alone = copies.withColumns({"h": F.xxhash64("text"), "l": F.length("text")}).join(known, ["h", "l"], "left_anti").select(*docs.columns)
+        known = docs.where("doc_id is not null").select(F.col("text").alias("known_text")).distinct()
+        alone = copies.join(known, F.col("text") == F.col("known_text"), "left_anti")
         kept = kept.where("doc_id is not null or text is null").unionByName(alone)
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.limit(1).count():
         one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         kept = _without(kept, again).unionByName(one)
-    return kept.select(*docs.columns)
+    return kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, judged.where("contaminated and doc_id is not null").select("doc_id").distinct()).select(*docs.columns)
+    return _without(docs, judged.where("contaminated and doc_id is not null").select("doc_id").distinct())
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    found = scan_secrets(docs, keep=rest)
-    changed = {"text": redact(F.col("text"), F.col("spans"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.size("spans") > 0, F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(changed).select(*docs.columns)
+    plain, names = _apart(docs)
+    text = names["text"]
+    found = scan_secrets(plain, text_col=text, keep=tuple(n for n in names.values() if n != "doc_id"))
+    found = found.withColumn("hit", F.size("spans") > 0).withColumn(text, redact(F.col(text), F.col("spans")))
+    if "n_chars" in names:
+        size = F.length(text).cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn(names["n_chars"], F.when(F.col("hit"), size).otherwise(F.col(names["n_chars"])))
+    return _back(found, names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,10 +62,12 @@ def test_stages_with_odd_rows(spark, prose, tmp_path):
     """Nulls, repeated ids and an extra column go through every stage; an empty table stays empty."""
     folder(spark, prose, tmp_path)
     rows = [(1, prose(1, 30), "a"), (1, prose(1, 30), "b"), (None, prose(2, 30), "c"), (2, prose(2, 30), "d"), (None, None, "e"), (None, prose(4, 9), "f"), (3, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id bigint, text string, score string, spans int, `column1` int, `a.b` int")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+        before = docs.columns
         docs = stage(spark, docs, str(tmp_path))
+        assert name == "tokens" or docs.columns == before
         if name == "near_duplicates":
             kept = sorted((r["doc_id"], r["score"]) for r in docs.collect() if r["doc_id"] is not None and r["text"])
             assert kept in ([(1, "a"), (2, "d")], [(1, "b"), (2, "d")]) and docs.where("doc_id is null").count() == 2

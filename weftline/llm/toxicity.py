@@ -166,16 +166,18 @@ def fit_toxicity(sample: DataFrame) -> Model:
     totals = sample.groupBy("label").count().collect()
     by = {r["label"]: r["count"] for r in totals}
     toxic, clean = float(by.get(1, 0)), float(by.get(0, 0))
+    bare = Model({})  # without a token to go by, every text gets the share of toxic labels, or less than half without labels
+    bare.slope, bare.offset = 0.0, math.log((toxic + 0.5) / (clean + 1.0))
     if not toxic or not clean:
-        return Model({})
+        return bare
     prior = FLAT_PRIOR + SHARED_PRIOR * (F.col("toxic") + F.col("clean")) / (toxic + clean) / 1000
     t, c = F.col("toxic") + prior, F.col("clean") + prior
     delta = F.log(t / (toxic + 2 * FLAT_PRIOR + 1 - F.col("toxic"))) - F.log(c / (clean + 2 * FLAT_PRIOR + 1 - F.col("clean")))
     strong = counts.select("token", delta.alias("delta"), (delta / F.sqrt(1 / t + 1 / c)).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_SCORE))
     rows = strong.orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()
-    model = Model({r["token"]: min(r["delta"], MOST_SCORE) for r in rows})
     if not rows:
-        return model
+        return bare
+    model = Model({r["token"]: min(r["delta"], MOST_SCORE) for r in rows})
     # Chance constants from the clean texts: lambda makes the mean of exp(lambda s) one, K follows from what exceeds LEAST_SEGMENT.
     sent = spark.sparkContext.broadcast(model)
 
