@@ -3,7 +3,7 @@ import random
 from llm_tools import LOWER, SPACED, components
 
 from weftline.llm import jaccard
-from weftline.llm.components import connected_components, forest
+from weftline.llm.components import connected_components, forest, partial_components
 
 
 def brute(rows):
@@ -68,3 +68,16 @@ def test_connected_components(spark):
     import numpy as np
     node, root = forest(*(np.array(c) for c in zip(*plain)))
     assert dict(zip(node.tolist(), root.tolist())) == want
+
+
+def test_partial_components_keep_every_link(spark):
+    """A chain and a tree with random ids over many partitions: the rows left by two rounds have the true components."""
+    rng = random.Random(3)
+    ids = rng.sample(range(10 ** 6), 320)
+    chain, tree = ids[:120], ids[120:]
+    edges = list(zip(chain, chain[1:])) + [(tree[(i - 1) // 2], tree[i]) for i in range(1, len(tree))]
+    rng.shuffle(edges)
+    labels, rows = partial_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(40), 2)
+    want = {i: min(chain) for i in chain} | {i: min(tree) for i in tree}
+    assert {r["id"]: r["component"] for r in connected_components(rows).collect()} == want
+    assert all(want[r["component"]] == want[r["id"]] for r in labels.collect())

@@ -62,31 +62,21 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in flush()], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Rows (id, component) for every node of `edges`; component is the smallest id reached.
+def _plain(edges: DataFrame) -> DataFrame:
+    first, second = edges.columns[:2]
+    return edges.select(F.col(first).cast("bigint").alias("a"), F.col(second).cast("bigint").alias("b")).dropna()
 
-    Edges are two bigint columns; self loops, repeats and both directions are
-    fine, and rows with a null are ignored.  Each task first replaces its edges
-    by a forest, then large-star and small-star rounds hang every node below its
-    smallest neighbour until nothing changes.  A round costs two shuffles of at
-    most one row for each node, hubs are joined under AQE's skew splitting, and
-    each round is cut into the shared checkpoint folder.
 
-    With `rounds` the work stops after so many: nodes with one component are then
-    connected for certain, but a true component may still be in several parts.
-    """
-    first, second = edges.columns[:2]
-    plain = edges.select(F.col(first).cast("bigint").alias("a"), F.col(second).cast("bigint").alias("b")).dropna()
-    loops = plain.where("a = b").select(F.col("a").alias("id"))
-    forest_rows = plain.where("a <> b").mapInArrow(_shrink, "a bigint, b bigint")
-    now = cut(forest_rows)
+def _hung(plain: DataFrame, rounds: int | None) -> DataFrame:
+    """Rows (a, b) with the components of `plain`, after so many rounds or when nothing changes."""
+    now = cut(plain.where("a <> b").mapInArrow(_shrink, "a bigint, b bigint"))
     mark = None
     for turn in range(MOST_ROUNDS):
         if turn == rounds:
-            break
+            return now
         stats = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if stats[0] == 0 or tuple(stats) == mark:
-            break
+            return now
         mark = tuple(stats)
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
@@ -96,9 +86,37 @@ def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFra
         small = large.join(down, F.col("a") == F.col("k"))
         moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(moved.union(down.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
-    else:
-        raise RuntimeError("components did not settle")
+    raise RuntimeError("components did not settle")
+
+
+def _labels(now: DataFrame, plain: DataFrame) -> DataFrame:
     rows = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    alone = loops.select("id", F.col("id").alias("component"))
+    alone = plain.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
     return rows.union(roots).union(alone).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Rows (id, component) for every node of `edges`; component is the smallest id reached.
+
+    Edges are two bigint columns; self loops, repeats and both directions are
+    fine, and rows with a null are ignored.  Each task first replaces its edges
+    by a forest, then large-star and small-star rounds hang every node below its
+    smallest neighbour until nothing changes.  A round costs two shuffles of at
+    most one row for each node, hubs are joined under AQE's skew splitting, and
+    each round is cut into the shared checkpoint folder.
+    """
+    plain = _plain(edges)
+    return _labels(_hung(plain, None), plain)
+
+
+def partial_components(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Labels (id, component) after so many rounds, and the rows (a, b) that have the components of `edges`.
+
+    Nodes with one label are connected for certain, but a true component may still
+    have several.  Labels alone have lost links: a node may hang below several
+    others, and its label names one.  Who goes on must go on from the rows.
+    """
+    plain = _plain(edges)
+    now = _hung(plain, rounds)
+    return _labels(now, plain), now

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import LOWER, SPACE_WORD, cut, mix, slices, text_bytes, width, word_hashes
-from weftline.llm.components import connected_components
+from weftline.llm.components import connected_components, partial_components
 
 #: Shingles gathered by a task before they are dealt out.
 BATCH_SHINGLES = 2_000_000
@@ -409,7 +409,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ]
     tried = cut(hubs[0].union(hubs[1]).distinct())
     links = cut(_linked(tried, sets, percent))
-    component = cut(connected_components(links, rounds=2))
+    # Labels only tell which pairs need no look; the components come from the rows that hold every link.
+    labels, linked = partial_components(links, rounds=2)
+    component = cut(labels)
 
     def place() -> DataFrame:
         named = component.withColumnRenamed("id", "node")
@@ -436,7 +438,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         found = cut(_linked(fresh, sets, percent))
         tried = tried.union(fresh)
-        component = cut(connected_components(component.select("id", "component").union(found), rounds=2))
+        labels, linked = partial_components(linked.union(found), rounds=2)
+        component = cut(labels)
         placed = place()
 
     # Lists of much the same nodes go to one bucket, so that a pair comes out of few of them.
@@ -448,7 +451,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = rest.join(sets.select("node", "bins"), "node")
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("kin", "lo", "hi"), F.lit(4 * width(spark))))
     more = rest.groupBy("bucket").applyInArrow(_pairs(percent), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
-    final = component.select("id", "component").union(cut(_linked(more, sets, percent)))
+    final = linked.union(cut(_linked(more, sets, percent)))
 
     nodes = members.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     tree = nodes.join(connected_components(final).withColumnRenamed("id", "node"), "node", "left")
