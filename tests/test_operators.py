@@ -219,6 +219,20 @@ def test_bounds_become_one_shared_literal(spark):
     assert tagged.selectExpr("bool_and(r >= 0)").first()[0]
 
 
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_ranges_of_texts_with_one_beginning(spark, direction):
+    """Texts that differ behind the sampled width, and a number that runs the other way, keep their positions."""
+    from weftline.operators.ordering import OrderedBuckets
+    same = "https://example.org/" + "p" * 44
+    rows = [(same + f"{i:03d}" if i % 5 else same, 200 - i) for i in range(120)]
+    df = spark.createDataFrame(rows, "t string, id int").repartition(4)
+    buckets = OrderedBuckets(df, [("t", direction), "id"], rows_per_bucket=5)
+    want = sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: r[0], reverse=direction == "desc")
+    assert [(r["t"], r["id"]) for r in sorted(buckets.positions("at").collect(), key=lambda r: r["at"])] == want
+    assert sorted(map(tuple, buckets.between(0, 13).collect())) == sorted(want[:13])
+    assert max(buckets.counts) <= 40
+
+
 def test_unpivot_odd_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], "`a.b` int, `c d` int, kept_0 int")
     assert rows_of(op.unpivot(df, ["a.b", "kept_0"], ["c d", "a.b"])) == [(1, 3, "a.b", 1), (1, 3, "c d", 2)]

@@ -29,6 +29,8 @@ MAX_BUCKETS = 32_768
 SAMPLES_PER_BUCKET = 8
 # So much of a text is sampled and sent as a cut, however long the texts are.
 SAMPLED_WIDTH = 64
+# Longer ones, with fewer ranges, for texts that share so much.
+WIDER = (1024, 16384)
 CHUNK_OF_COPIES = 65_536
 SKETCH_GROUPS = 256
 
@@ -91,7 +93,8 @@ def _ascending(col: Column, dtype: T.DataType, descending: bool) -> Column:
 def order_struct(df: DataFrame, items: list[tuple[str, bool]], width: int | None = None) -> Column:
     """One struct whose ascending order is the row order: usable in min, max and <=.
 
-    With `width` only so much of each text counts: rows that differ beyond are equal.
+    With `width` only so much of each text counts.  Structs cut to one width do not
+    follow the row order: beyond a text that is cut, the next key decides.
     """
     types = fields_of(df)
 
@@ -171,23 +174,31 @@ class OrderRanges:
 
     items: list[tuple[str, bool]]
     bounds: Bounds
+    width: int = SAMPLED_WIDTH
 
     @staticmethod
-    def sampled(df: DataFrame, items: list[tuple[str, bool]], n_ranges: int, total: int) -> OrderRanges:
-        """Cuts from a sample of a few rows per range; `total` is the row count."""
-        n_ranges = min(n_ranges, MAX_BUCKETS)
+    def sampled(df: DataFrame, items: list[tuple[str, bool]], n_ranges: int, total: int, width: int = SAMPLED_WIDTH) -> OrderRanges:
+        """Cuts from a sample of a few rows per range; `total` is the row count.
+
+        The wider the sampled texts, the fewer the ranges.
+        """
+        n_ranges = min(n_ranges, MAX_BUCKETS * SAMPLED_WIDTH // width)
         fraction = min(1.0, n_ranges * SAMPLES_PER_BUCKET / max(1, total))
-        keys = df.select(order_struct(df, items, SAMPLED_WIDTH).alias("k")).sample(fraction, seed=17)
+        keys = df.select(order_struct(df, items, width).alias("k")).sample(fraction, seed=17)
         ranked = keys.agg(F.sort_array(F.collect_list("k")).alias("ks"))
         picks = F.transform(
             F.sequence(F.lit(1), F.lit(n_ranges - 1)),
             lambda i: F.get(F.col("ks"), F.floor(i * F.size("ks") / n_ranges).cast("int")),
         )
-        return OrderRanges(items, Bounds.collected(ranked.select(F.array_distinct(F.array_compact(picks)).alias("bounds"))))
+        return OrderRanges(items, Bounds.collected(ranked.select(F.array_distinct(F.array_compact(picks)).alias("bounds"))), width)
 
     def number(self, df: DataFrame) -> Column:
-        """The range number of each row; rows of equal order share a range."""
-        return self.bounds.bucket_of(order_struct(df, self.items, SAMPLED_WIDTH))
+        """The range number of each row; rows of equal order share a range.
+
+        A bound has at most `width` of each text, so one more character of the row's
+        text compares with it as the whole text does, and the numbers follow the row order.
+        """
+        return self.bounds.bucket_of(order_struct(df, self.items, self.width + 1))
 
 
 class OrderedBuckets:
@@ -209,18 +220,24 @@ class OrderedBuckets:
             # and if copies of one row still fill a range, rank them as one row.
             if len(self.items) > len(items):
                 self._build(self.items, n_buckets, total)
+            for width in WIDER:
+                # Texts that share a long beginning fall into one range until the cuts are longer.
+                if not self._oversized(rows_per_bucket):
+                    break
+                if any(isinstance(f.dataType, (T.StringType, T.BinaryType)) for f in df.schema.fields):
+                    self._build(self.items, n_buckets, total, width)
             self.collapse = self._oversized(rows_per_bucket)
 
     def _oversized(self, rows_per_bucket: int) -> bool:
         return max(self.counts) > 8 * max(rows_per_bucket, sum(self.counts) // len(self.counts))
 
-    def _build(self, items: list[tuple[str, bool]], n_buckets: int, total: int) -> None:
+    def _build(self, items: list[tuple[str, bool]], n_buckets: int, total: int, width: int = SAMPLED_WIDTH) -> None:
         df = self.source
         if n_buckets == 1:
             self.df = df.withColumn(self.bucket, F.lit(0))
             self.counts = [total]
             return
-        ranges = OrderRanges.sampled(df, items, n_buckets, total)
+        ranges = OrderRanges.sampled(df, items, n_buckets, total, width)
         self.df = df.withColumn(self.bucket, ranges.number(df))
         found = {r[0]: r[1] for r in self.df.groupBy(self.bucket).count().collect()}
         self.counts = [found.get(b, 0) for b in range(ranges.bounds.count + 1)]
