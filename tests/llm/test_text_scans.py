@@ -92,6 +92,16 @@ def test_licenses(spark, prose):
     assert licenses.scan_licenses(df).count() == len(rows) and licenses.scan_licenses(df.limit(0)).collect() == []
 
 
+def test_licenses_of_a_notice_file(spark, prose):
+    """Each of four notices in one text keeps its label, whatever license words stand around them."""
+    notices = {t[0]: t[1] for t in licenses.TEMPLATES if t[0] in ("apache-2", "gpl-3", "bsd-3")} | {"mit": licenses.TEMPLATES[0][1]}
+    both = " ".join(prose(60 + i, 40) + " " + t for i, t in enumerate(notices.values()))
+    rows = [(1, both), (2, notices["gpl-3"] + " " + " ".join(licenses.VOCABULARY))] + [(10 + i, prose(80 + i, 30)) for i in range(30)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1]["labels"] == sorted(notices) and "gpl-3" in got[2]["labels"]
+    assert all(r["labels"] == [] for i, r in got.items() if i >= 10)
+
+
 def test_urls(spark):
     cases = {
         "http://A.Example.ORG/es/x?q#f": ("a.example.org", "/es/x", "example.org/es/", "block"), "https://x.org": ("x.org", "", None, None), "https://x.org/": ("x.org", "/", "org/", "allow"),

@@ -1,10 +1,11 @@
 """License scan by a positional index of rare license words, with DataFrame functions only.
 
 The index holds, for every word of the license texts below, where it stands in
-which of them.  Of a document only the license words that are rarest in the corpus
-are looked up.  Looked-up words that keep their distance within a license text vote
-for one and the same shift; a shift with enough weight proposes the license, and
-one of its mandatory phrases must then stand in the document.
+which of them.  All license words of a document are looked up, so that the words of
+one license never push out another's.  Looked-up words that keep their distance
+within a license text vote for one and the same shift; a shift with enough of the
+weight of the license's rarest words proposes the license, and its mandatory phrase
+must then stand in the document.
 """
 from __future__ import annotations
 
@@ -38,8 +39,8 @@ TEMPLATES = (
 )
 #: Words that say nothing of a license.
 COMMON = frozenset("a and any are as at be by for in into is it of on or that the this to under use used with without you may not v 0 1 2 3 4".split())
-#: License words looked up in one document, and the share of a license's weight that a shift must gather.
-LOOKED_UP, LEAST_SHARE = 12, 0.6
+#: A license weighs what so many of its rarest words weigh; the share of that weight that a shift must gather.
+RAREST, LEAST_SHARE = 12, 0.6
 
 
 def tokens_of(text: str) -> list[str]:
@@ -95,25 +96,22 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     weights = word_weights(docs, text_col)
-    full = {t: sum(sorted((weights[w] for w, x, _ in POSTINGS if x == t), reverse=True)[:LOOKED_UP]) for t in range(len(TEMPLATES))}
+    full = {t: sum(sorted((weights[w] for w, x, _ in POSTINGS if x == t), reverse=True)[:RAREST]) for t in range(len(TEMPLATES))}
     postings = spark.createDataFrame([(w, t, at, weights[w] / full[t]) for w, t, at in POSTINGS], "word string, template int, at int, share double")
 
     base = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), words(F.col(text_col)).alias("w"))
     base = base.withColumn("present", F.array_intersect(F.col("w"), _strings(VOCABULARY))).withColumn("n", F.size("w"))
     some = F.size("present") > 0
-    weight = F.create_map(*(x for w in VOCABULARY for x in (F.lit(w), F.lit(weights[w]))))
-    rarest = F.slice(F.sort_array(F.transform("present", lambda x: F.struct(F.element_at(weight, x).alias("weight"), x.alias("word"))), asc=False), 1, LOOKED_UP)
-    base = base.withColumn("looked_up", F.when(some, F.transform(rarest, lambda s: s["word"])))
     joined = F.when(some, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
     base = base.withColumn("joined", joined)
     for i, (phrase, _) in enumerate(BASE_PHRASES):
         base = base.withColumn(f"base{i}", F.when(F.col("joined").contains(f" {phrase} "), _places(F.col("w"), phrase)))
     phrases = sorted({t[2] for t in TEMPLATES})
     base = base.withColumn("phrases", F.when(some, F.array_compact(F.array(*(F.when(F.col("joined").contains(f" {p} "), F.lit(p)) for p in phrases)))))
-    marks = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("place"), x.alias("word"))), lambda s: F.array_contains(F.col("looked_up"), s["word"]))
+    marks = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("place"), x.alias("word"))), lambda s: F.array_contains(F.col("present"), s["word"]))
     itself = F.struct(F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("word"))
     marks = F.when(F.size("phrases") > 0, F.concat(F.array(itself), marks)).otherwise(F.array(itself))
-    # Each document goes on as one row for itself and one for each looked-up word, all to one task.
+    # Each document goes on as one row for itself and one for each license word, all to one task.
     rows = base.select("doc", "key", "n", "base0", "base1", "base2", "phrases", F.explode_outer(marks).alias("mark"))
     rows = rows.withColumn("word", F.col("mark.word")).join(F.broadcast(postings), "word", "left").where("word is null or template is not null")
     own = F.col("word").isNull()
