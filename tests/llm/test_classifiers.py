@@ -124,6 +124,21 @@ def test_code_lengths_are_exact():
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than 64, and one with few but very long documents."""
+    rng = random.Random(4)
+    words = {f"l{j:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for j in range(70)}
+    rows = [(i, " ".join(rng.choices(words[name], k=30)), name) for i, name in enumerate([*words] * 2)]
+    long = ["zyx", "wvu", "tsr"]
+    rows += [(1000 + i, " ".join(rng.choices(long, k=40_000)), "long") for i in range(2)]
+    monkeypatch.setattr(language, "MOST_BYTES", 4000)
+    monkeypatch.setattr(language, "COSTS_HELD", 10_000)
+    model = language.train_language(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    fresh = [(name, " ".join(rng.choices(own, k=20))) for name, own in [*words.items(), ("long", long)]]
+    got = language.predict_language(spark.createDataFrame(fresh, "doc_id string, text string"), model).collect()
+    assert len(got) == 71 and all(r["lang_pred"] == r["doc_id"] for r in got)
+
+
 def test_dual_descent_reaches_the_primal_optimum():
     rng = np.random.default_rng(2)
     rows = [np.unique(rng.integers(0, 12, 5)).astype(np.int32) for _ in range(60)]

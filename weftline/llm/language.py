@@ -23,8 +23,8 @@ from weftline.llm.common import LOWER, slices, text_bytes
 ORDER = 4
 #: Documents, and bytes of text, that a language's tree is counted on, at most (the first of each text's bytes while learning).
 MOST_DOCS, MOST_BYTES = 1_500, 3_000_000
-#: The largest number of languages, those with most documents.
-MOST_LANGUAGES = 64
+#: Costs of grams in languages that are held at one time.
+COSTS_HELD = 1 << 22
 #: Bits for which a code difference counts as one unit of log-odds.
 SOFTNESS = 8.0
 LETTER = re.compile(r"[^\W\d_]")
@@ -43,39 +43,57 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Sparse:
+    """For sorted keys the languages that have them, with a number each; one language after another goes in."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        own = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
+        self.keys, at = np.unique(own, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        self.who = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])[order]
+        self.value = np.concatenate([v for _, v in parts]).astype(np.float32)[order] if parts else np.zeros(0, np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(self.keys)))])
+        self.languages = len(parts)
+
+    def dense(self, wanted: np.ndarray) -> np.ndarray:
+        """One row for each wanted key, one column for each language, zero without a number."""
+        out = np.zeros((len(wanted), self.languages), np.float32)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        n = (self.starts[at + 1] - self.starts[at]) * (self.keys[at] == wanted)
+        row = np.repeat(np.arange(len(wanted)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.starts[at][row]
+        out[row, self.who[place]] = self.value[place]
+        return out
+
+
 class Model:
-    """Per order the contexts and grams that any language has seen, with each language's counts."""
+    """Per order the grams with their counts, and the contexts with how many bytes and kinds of bytes follow, of each language."""
 
     def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
         self.languages = languages
         self.levels = []
         for k in range(ORDER + 1):
             mask = np.uint64((1 << (8 * (k + 1))) - 1)
-            cut = [np.unique(g & mask, return_inverse=True) for g, _ in counts]
-            every = np.unique(np.concatenate([c[0] for c in cut])) if cut else np.zeros(0, np.uint64)
-            seen = np.zeros((len(every), len(languages)), np.float32)
-            for j, ((own, back), (_, n)) in enumerate(zip(cut, counts)):
-                seen[np.searchsorted(every, own), j] = np.bincount(back, n, len(own))
-            contexts, first = np.unique(every >> np.uint64(8), return_index=True)
-            total = np.add.reduceat(seen, first, axis=0) if len(every) else seen
-            kinds = np.add.reduceat((seen > 0).astype(np.float32), first, axis=0) if len(every) else seen
-            self.levels.append((every, seen, contexts, total, kinds))
+            seen, total, kinds = [], [], []
+            for g, n in counts:
+                own, back = np.unique(g & mask, return_inverse=True)
+                times = np.bincount(back, n, len(own))
+                contexts, at = np.unique(own >> np.uint64(8), return_inverse=True)
+                seen.append((own, times))
+                total.append((contexts, np.bincount(at, times, len(contexts))))
+                kinds.append((contexts, np.bincount(at, minlength=len(contexts))))
+            self.levels.append((_Sparse(seen), _Sparse(total), _Sparse(kinds)))
 
     def costs(self, wanted: np.ndarray) -> np.ndarray:
         """Bits that each language needs for the last byte of each gram."""
         bits = np.zeros((len(wanted), len(self.languages)))
         open_ = np.ones(bits.shape, bool)
         for k in range(ORDER, -1, -1):
-            every, seen, contexts, total, kinds = self.levels[k]
-            if not len(every):
+            seen, total, kinds = self.levels[k]
+            if not len(seen.keys):
                 continue
-            mask = np.uint64((1 << (8 * (k + 1))) - 1)
-            gram = wanted & mask
-            at = np.minimum(np.searchsorted(contexts, gram >> np.uint64(8)), len(contexts) - 1)
-            known = (contexts[at] == gram >> np.uint64(8))[:, None]
-            n, d = total[at] * known, kinds[at] * known
-            at = np.minimum(np.searchsorted(every, gram), len(every) - 1)
-            c = seen[at] * (every[at] == gram)[:, None]
+            gram = wanted & np.uint64((1 << (8 * (k + 1))) - 1)
+            n, d, c = total.dense(gram >> np.uint64(8)), kinds.dense(gram >> np.uint64(8)), seen.dense(gram)
             here = open_ & (n > 0)
             with np.errstate(divide="ignore"):
                 code = np.log2(n + d) - np.log2(np.where(c > 0, c, np.maximum(d, 1)))
@@ -96,41 +114,61 @@ class Model:
         keyed = keyed[new]
         owner = (keyed >> np.uint64(8 * (ORDER + 1))).astype(np.int64)
         distinct, back = np.unique(keyed & np.uint64((1 << (8 * (ORDER + 1))) - 1), return_inverse=True)
-        bits = self.costs(distinct)
-        for j in range(len(self.languages)):
-            out[:, j] = np.bincount(owner, bits[back, j] * times, texts)
+        # So many grams at a time that their costs in all languages fit into memory.
+        step = max(1, COSTS_HELD // max(1, len(self.languages)))
+        order = np.argsort(back, kind="stable") if len(distinct) > step else np.arange(len(back))
+        ends = np.searchsorted(back[order], np.arange(0, len(distinct) + step, step)) if len(distinct) > step else np.array([0, len(back)])
+        for i in range(0, len(distinct), step):
+            bits = self.costs(distinct[i:i + step])
+            part = order[ends[i // step]:ends[i // step + 1]]
+            for j in range(len(self.languages)):
+                out[:, j] += np.bincount(owner[part], bits[back[part] - i, j] * times[part], texts)
         return out
 
 
 def train_language(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Count the trees on at most MOST_DOCS documents and about MOST_BYTES bytes of each language.
+    """Count the trees on at most MOST_DOCS documents and about MOST_BYTES bytes of every language.
 
-    A language's documents are drawn by a hash of their id, at a rate that its number
-    of documents gives; null languages and null texts do not count.
+    Of each language the first documents by a hash of id and text are taken until one
+    of the two bounds is reached, one at least, and MOST_BYTES characters of a text;
+    equal rows are taken together.  Null languages and null texts do not count.
     """
-    known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"), F.avg(F.octet_length(text_col)).alias("mean"))
-    found = sorted(found.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect(), key=lambda r: r["lang"])
+    spark = docs.sparkSession
+    lang = F.col(lang_col).cast("string")
+    known = docs.where(usable & lang.isNotNull() & F.col(text_col).isNotNull())
+    known = known.select(lang.alias("lang"), F.shiftrightunsigned(F.xxhash64(id_col, text_col), 1).alias("drawn"), F.col(text_col).cast("string").alias("text"))
+    found = sorted(known.groupBy("lang").agg(F.count("*").alias("n"), F.min("drawn").alias("least")).collect(), key=lambda r: r["lang"])
     if not found:
         return Model([], [])
-    rate = F.create_map(*(x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, MOST_DOCS / r["n"], MOST_BYTES / max(1.0, r["n"] * r["mean"]))))))
-    lang = F.col(lang_col).cast("string")
-    drawn = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < F.element_at(rate, lang) * (1 << 20))
-    rows = drawn.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+
+    def up_to(lasts: list[int]) -> DataFrame:
+        table = spark.createDataFrame([(r["lang"], j, x) for j, (r, x) in enumerate(zip(found, lasts))], "lang string, language int, last bigint")
+        return known.join(F.broadcast(table), "lang").where("drawn <= last")
+
+    # Twice as many documents as are wanted hold the first MOST_DOCS; their sizes say where a language's bounds are.
+    most = (1 << 63) - 1
+    some = up_to([max(r["least"], min(most, most * 2 * MOST_DOCS // r["n"])) for r in found])
+    sizes = some.select("language", "drawn", F.least(F.octet_length("text"), F.lit(MOST_BYTES)).alias("size")).toPandas().sort_values(["language", "drawn"])
+    lasts = []
+    for _, own in sizes.groupby("language"):
+        before = own["size"].to_numpy(np.int64).cumsum() - own["size"].to_numpy(np.int64)
+        lasts.append(int(own["drawn"].to_numpy()[:MOST_DOCS][before[:MOST_DOCS] < MOST_BYTES][-1]))
+    rows = up_to(lasts).select("language", F.substring("text", 1, MOST_BYTES).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            own = np.array(batch.column("lang").to_pylist(), object)
-            for name in sorted(set(own)):
+            own = np.array(batch.column("language"))
+            for name in np.unique(own):
                 raw, offsets = text_bytes(batch.column("text").take(pa.array(np.flatnonzero(own == name))))
                 gram, times = np.unique(grams(raw, offsets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(times)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), name), pa.int32()), pa.array(gram.view(np.int64)), pa.array(times)], names=["language", "gram", "n"])
 
-    counted = rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(run, "language int, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     got = counted.toPandas()  # at most MOST_BYTES grams of each language
-    names = [r["lang"] for r in found]
-    parts = [got[got["lang"] == n].sort_values("gram") for n in names]
-    return Model(names, [(p["gram"].to_numpy(np.int64).view(np.uint64), p["n"].to_numpy(float)) for p in parts])
+    got = got.sort_values(["language", "gram"])
+    ends = np.searchsorted(got["language"].to_numpy(), np.arange(len(found) + 1))
+    gram, n = got["gram"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(float)
+    return Model([r["lang"] for r in found], [(gram[a:b], n[a:b]) for a, b in zip(ends, ends[1:])])
 
 
 def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
