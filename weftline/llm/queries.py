@@ -15,6 +15,7 @@ from weftline.llm.labelled import fold
 from weftline.llm.language import predict_language, train_language
 from weftline.llm.licenses import scan_licenses
 from weftline.llm.quality import score_quality, train_quality
+from weftline.llm.runs import find_runs, with_planted_runs
 from weftline.llm.secrets import KINDS, scan_secrets
 from weftline.llm.toxicity import score_toxicity, train_toxicity
 from weftline.llm.urls import judge_urls
@@ -112,3 +113,15 @@ def op10(spark, table):
     docs, part = table("documents"), fold("doc_id", 4)
     scored = score_quality(docs, train_quality(docs, table("labels"), part != 2))
     return scored.select("doc_id", (part == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, table):
+    found = find_runs(with_planted_runs(table("documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    top = found.withColumn("best", best).withColumns({"start": F.col("best.start"), "length": -F.col("best.col1"), "period": F.col("best.period")})
+    return top.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "start", "length", "period", F.floor(F.lit(1000) * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
