@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, each over its whole table."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ from weftline.llm.runs import find_runs, with_planted_runs
 from weftline.llm.secrets import KINDS, scan_secrets
 from weftline.llm.toxicity import score_toxicity, train_toxicity
 from weftline.llm.urls import judge_urls
-from weftline.session import configure
+from weftline.llm.warc import assemble, payload, read_warc, write_warc
+from weftline.session import configure, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +117,25 @@ def op10(spark, table):
     return scored.select("doc_id", (part == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op11_warc_transactions", sql.WARC)
+def op11(spark, table):
+    pages = table("pages")
+    folder = shared_folder(spark, f"warc-{uuid.uuid4().hex}")
+    write_warc(pages, folder)
+    captures = assemble(read_warc(spark, folder))
+    told = F.col("metadata")[0]["block"].cast("string")
+    body = payload(F.col("response.block"))
+    stored = F.col("response.record_type") == "response"
+    kind = pages.schema["page_id"].dataType
+    named = lambda text: F.nullif(text, F.lit("")).cast(kind)
+    return captures.select(
+        named(F.regexp_extract(told, r"pageId: ([^\r\n]*)", 1)).alias("page_id"),
+        F.when(stored, F.octet_length(body)).otherwise(F.regexp_extract(told, r"payloadLength: (\d+)", 1)).cast("bigint").alias("payload_bytes"),
+        F.when(stored, F.sha1(body)).otherwise(F.substring_index("response.payload_digest", ":", -1)).alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        named(F.replace("response.refers_to", F.lit("urn:page:"), F.lit(""))).alias("refers_to"))
+
+
 @query("op12_periodic_runs")
 def op12(spark, table):
     found = find_runs(with_planted_runs(table("documents")))

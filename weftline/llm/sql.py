@@ -84,3 +84,12 @@ SELECT page_id, host, path, rule,
   coalesce(judged, CASE WHEN a / (a + b) - {urls.DEVIATIONS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {urls.BAD_RATE} THEN 'block' ELSE 'allow' END) AS verdict
 FROM post
 """
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest,
+  CASE WHEN strlen(t) >= 1000 THEN max(page_id) OVER (PARTITION BY t) END AS chosen FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM chosen AND chosen IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM chosen THEN chosen END AS refers_to
+FROM d
+"""
