@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import sql
 from weftline.llm.bpe import bpe
+from weftline.llm.conversations import damaged, fold_pieces, repair_conversations
 from weftline.llm.decontaminate import contamination
 from weftline.llm.embeddings import embedding_links
 from weftline.llm.jaccard import jaccard_components
@@ -146,3 +147,8 @@ def op12(spark, table):
     return top.select(
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "start", "length", "period", F.floor(F.lit(1000) * F.col("length") / F.col("period")).alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_conversation_repair")
+def op13(spark, table):
+    return fold_pieces(repair_conversations(damaged(table("conversations").select("conv_id", "turn", "role", "text"))))
