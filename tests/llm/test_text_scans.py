@@ -6,7 +6,8 @@ import re
 
 import numpy as np
 import pytest
-from llm_tools import alnum_words
+from llm_tools import LOWER, alnum_words
+from pyspark.sql import functions as F
 
 from weftline.llm import licenses, urls
 from weftline.llm.bpe import Tokenizer, bpe, byte_symbols, read_tokenizer
@@ -102,21 +103,52 @@ def test_licenses_of_a_notice_file(spark, prose):
     assert all(r["labels"] == [] for i, r in got.items() if i >= 10)
 
 
+RULES_AS_STATED = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def stated(url):
+    """(host, path, rule, verdict) by the rules as stated, read literally."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = re.split("[?#]", url.split("://", 1)[1], maxsplit=1)[0]
+    host, slash, tail = rest.partition("/")
+    host, path = host.translate(LOWER), slash + tail
+    fits = []
+    for verdict, rule in RULES_AS_STATED:
+        name, _, prefix = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + prefix):
+            fits.append((len(rule), rule, verdict))
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
 def test_urls(spark):
-    cases = {
-        "http://A.Example.ORG/es/x?q#f": ("a.example.org", "/es/x", "example.org/es/", "block"), "https://x.org": ("x.org", "", None, None), "https://x.org/": ("x.org", "/", "org/", "allow"),
-        "http://example.org/en/19": ("example.org", "/en/19", "example.org/en/1", "block"), "http://notexample.org/es/": ("notexample.org", "/es/", "org/", "allow"),
-        "http://a.com/fr": ("a.com", "/fr", "com/fr", "allow"), "x://b.com/deutsch#": ("b.com", "/deutsch", "com/de", "block"), "http://com/de": ("com", "/de", "com/de", "block"),
-        None: ("", "", None, None), "no scheme": ("", "", None, None), "a://b://c/d": ("b:", "//c/d", None, None), "://?x": ("", "", None, None), "http://h.net#a/b": ("h.net", "", None, None),
-    }
-    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)], "page_id bigint, url string, host string")
-    got = {r["page_id"]: r for r in urls.judge_urls(df).collect()}
-    for i, (host, path, rule, verdict) in enumerate(cases.values()):
-        r = got[i]
-        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in (verdict, "allow" if verdict is None else verdict, "block" if verdict is None else verdict)
+    """Rules, ties between rules, hosts and paths against a plain reading; pages without a rule by the rate of all labelled pages."""
+    hosts = ["org", "A.Example.ORG", "example.org", "notexample.org", "b.com", "com", "h.net", "", "x.example.org:80", "user@c.com", "10.0.0.1"]
+    paths = ["", "/", "/es/", "/es", "/ES/x", "/en/1", "/en/19", "/en/2", "/fr", "/fr/", "/free", "/fr/a/b", "/de", "/de/x", "/demo", "/deutsch", "//de/"]
+    urls_in = [f"{s}://{h}{p}{e}" for h in hosts for p in paths for s, e in (("http", ""), ("x", "?q=/de/"), ("http", "#/fr/"))]
+    urls_in += [None, "", "no scheme", "a://b://c/d", "://?x", "http://h.net#a/b", "http:/a.com/de/", "é://É.com/fr/é"]
+    rows = [(i, u, "h") for i, u in enumerate(urls_in)] + [(0, urls_in[0], "h"), (None, "http://a.com/de/x", "h"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, host string")
+    outcomes = spark.createDataFrame([("good.net", 0)], "host string, bad int")
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_urls(df, outcomes=outcomes).collect()), key=str)
+    want = [(i, *stated(u)) for i, u, _ in rows]
+    assert got == sorted(((*w[:4], w[4] or "allow") for w in want), key=str)
+    assert {w[3] for w in want} == {None, *(r for _, r in RULES_AS_STATED)} and stated("http://a.com/free")[2] is None and stated("http://b.com/demo")[2] is None
     assert urls.judge_urls(df.limit(0)).collect() == []
 
 
+def test_rules_of_equal_length_and_suffix_lists(spark):
+    """Of rules of equal length the first by verdict, host and prefix counts last; the longest suffix of the list is the suffix."""
+    df = spark.createDataFrame([("http://ab.c/de/f",), ("http://x.y.gov.uk/",), ("http://y.gov.uk",), ("http://gov.uk",), ("http://a.b.nhs.gov.uk",)], "url string")
+    host, path = urls.host_and_path(F.col("url"))
+    rules = (("allow", "c", "/de/f"), ("block", "ab.c", "/de"))
+    suffixes = ("gov.uk", "nhs.gov.uk", "co.uk")
+    names = [d.alias(n) for d, n in zip(urls.domain_levels(host, suffixes), ("domain", "suffix"))]
+    got = df.select(urls.matching_rule(host, path, rules).alias("hit"), *names).collect()
+    assert tuple(got[0].hit) == ("ab.c/de", "block") and got[1].hit is None
+    assert [(r.domain, r.suffix) for r in got] == [("ab.c", "c"), ("y.gov.uk", "gov.uk"), ("y.gov.uk", "gov.uk"), ("gov.uk", "gov.uk"), ("b.nhs.gov.uk", "nhs.gov.uk")]
+
+
 def test_reputation_shrinks(spark):
     """A host with many bad pages is blocked, one with a single bad page only if its domain is bad too."""
     bad = [("a.bad.net", 1)] * 60 + [("b.bad.net", 1)] * 3 + [("one.good.net", 1)] + [("two.good.net", 0)] * 60 + [("x.fine.net", 0)] * 60 + [(None, 1), ("", 1), ("q.net", None)]

