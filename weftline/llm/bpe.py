@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import slices, tidy
 
 #: White space in the sense of Unicode, which is what the tokenizer's \s means.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -200,4 +200,4 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                 names=["id", "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, n_tokens bigint, ids binary, decoded string").withColumnRenamed("id", id_col)

@@ -1,8 +1,10 @@
 """Helpers the operators of this subpackage share: lineage cuts, text buffers, word hashes."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,3 +110,36 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
         h[todo] = mix(h[todo] * np.uint64(0x9E3779B97F4A7C15) ^ part)
         todo, step = todo[left > 8], step + 8
     return h, np.searchsorted(starts, offsets)
+
+
+def give_back() -> None:
+    """Return what Arrow, numpy and Python have freed to the system: workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """The same function of batches; its memory is given back at its end."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable, least: int = 2 << 20) -> Callable:
+    """The same function of one group's table; memory is given back after groups of at least `least` bytes."""
+    def tidied(table: pa.Table) -> pa.Table:
+        size = table.nbytes
+        out = run(table)
+        del table
+        if size >= least:
+            give_back()
+        return out
+
+    return tidied

@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, SPACE_WORD, cut, mix, slices, text_bytes, width, word_hashes
+from weftline.llm.common import LOWER, SPACE_WORD, cut, mix, slices, text_bytes, tidy, tidy_group, width, word_hashes
 from weftline.llm.components import connected_components, partial_components
 
-#: Shingles gathered by a task before they are dealt out.
-BATCH_SHINGLES = 2_000_000
+#: Shingles gathered by a task before they are dealt out, and those of one bucket of the deal.
+BATCH_SHINGLES = 1_000_000
 #: A shingle may be hot if so many texts of one batch hold it.
 HOT_IN_BATCH = 16
 #: Rows of one posting list that meet in one task.
@@ -359,7 +359,7 @@ def _verify(percent: int):
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(tidy(_verify(percent)), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -379,7 +379,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(plain.mapInArrow(_sizes("text", k), "kind tinyint, id bigint, n bigint, node bigint"))
+    rows = cut(plain.mapInArrow(tidy(_sizes("text", k)), "kind tinyint, id bigint, n bigint, node bigint"))
     members = rows.where("kind = 0").drop("kind")
     texts, shingles = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least_hot = max(64, texts // 1000)  # at most shingles / least_hot of them: a thousand times a text's mean
@@ -389,10 +389,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sent = spark.sparkContext.broadcast((hot_values[order], np.array([r["n"] for r in hot], np.int64)[order]))
     buckets = max(width(spark), -(-shingles // BATCH_SHINGLES))
 
-    dealt = plain.select("text").mapInArrow(_deal("text", k, buckets, sent), PACKED)
-    shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets), PACKED)
-    sets = cut(shared.groupBy("bucket").applyInArrow(_sets(percent), "node bigint, n bigint, m bigint, shared binary, bins binary"))
-    postings = cut(sets.mapInArrow(_postings(percent), "shingle bigint, node bigint, n bigint, pos bigint"))
+    dealt = plain.select("text").mapInArrow(tidy(_deal("text", k, buckets, sent)), PACKED)
+    shared = dealt.groupBy("bucket").applyInArrow(tidy_group(_shared(buckets)), PACKED)
+    sets = cut(shared.groupBy("bucket").applyInArrow(tidy_group(_sets(percent)), "node bigint, n bigint, m bigint, shared binary, bins binary"))
+    postings = cut(sets.mapInArrow(tidy(_postings(percent)), "shingle bigint, node bigint, n bigint, pos bigint"))
 
     def passes(n, m, p, q):
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
@@ -450,7 +450,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = rest.select("kin", "shingle", "node", "n", "pos", "component", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
     rest = rest.join(sets.select("node", "bins"), "node")
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("kin", "lo", "hi"), F.lit(4 * width(spark))))
-    more = rest.groupBy("bucket").applyInArrow(_pairs(percent), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
+    more = rest.groupBy("bucket").applyInArrow(tidy_group(_pairs(percent)), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
     final = linked.union(cut(_linked(more, sets, percent)))
 
     nodes = members.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))

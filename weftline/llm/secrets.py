@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import slices, tidy
 
 #: Fixed patterns, in the order in which their kinds are listed.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -171,7 +171,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), *(F.col(n).alias(f"k{j}") for j, n in enumerate(names)))
     schema = ", ".join(f"k{j} {kind}" for j, kind in enumerate(kinds))
-    out = rows.mapInArrow(run, f"{schema}, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    out = rows.mapInArrow(tidy(run), f"{schema}, spans array<struct<kind: string, start: bigint, end: bigint>>")
     return out.select(*(F.col(f"k{j}").alias(n) for j, n in enumerate(names)), "spans")
 
 

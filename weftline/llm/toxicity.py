@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER_TABLE, slices
+from weftline.llm.common import LOWER_TABLE, slices, tidy
 from weftline.llm.labelled import fold, labelled_sample, logistic, sigmoid
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -162,7 +162,7 @@ SCORED = "score double, evidence double, passages array<struct<first_word: bigin
 def fit_toxicity(sample: DataFrame) -> Model:
     """A model from rows (text, label); tokens with their counts are filtered in Spark, at most MOST_TOKENS reach the driver."""
     spark = sample.sparkSession
-    counts = sample.mapInArrow(_count, "token string, toxic bigint, clean bigint").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(tidy(_count), "token string, toxic bigint, clean bigint").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = sample.groupBy("label").count().collect()
     by = {r["label"]: r["count"] for r in totals}
     toxic, clean = float(by.get(1, 0)), float(by.get(0, 0))
@@ -192,7 +192,7 @@ def fit_toxicity(sample: DataFrame) -> Model:
                 out.append((label, len(words), len(hits), sum(hits), len(found)))
             yield pa.RecordBatch.from_arrays([pa.array([float(o[i]) for o in out], pa.float64()) for i in range(5)], names=["label", "n", "hits", "total", "found"])
 
-    seen = sample.mapInArrow(chance, "label double, n double, hits double, total double, found double").where("label = 0")
+    seen = sample.mapInArrow(tidy(chance), "label double, n double, hits double, total double, found double").where("label = 0")
     n, hits, total, found = seen.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in ("n", "hits", "total", "found"))).first()
     share = (hits + 0.5) / (n + 1.0)
     mean = (total + 0.5 * MOST_SCORE) / (hits + 0.5)
@@ -206,7 +206,7 @@ def fit_toxicity(sample: DataFrame) -> Model:
     model.rate = low
     model.chance = (found + 0.5) / ((n + 1.0) * math.exp(-low * LEAST_SEGMENT))
     sent = spark.sparkContext.broadcast(model)
-    pairs = sample.mapInArrow(_score(sent, False), f"label int, {SCORED}").select("label", "evidence").collect()
+    pairs = sample.mapInArrow(tidy(_score(sent, False)), f"label int, {SCORED}").select("label", "evidence").collect()
     model.slope, model.offset = logistic(np.array([r["evidence"] for r in pairs]), np.array([r["label"] for r in pairs]))
     return model
 
@@ -224,7 +224,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     names = [id_col, *keep]
     rows = docs.select(*(F.col(n).alias(f"k{j}") for j, n in enumerate(names)), F.col(text_col).cast("string").alias("text"))
     kinds = ", ".join(f"k{j} {docs.schema[n].dataType.simpleString()}" for j, n in enumerate(names))
-    out = rows.mapInArrow(_score(sent, True), f"{kinds}, {SCORED}")
+    out = rows.mapInArrow(tidy(_score(sent, True)), f"{kinds}, {SCORED}")
     return out.select(*(F.col(f"k{j}").alias(n) for j, n in enumerate(names)), "score", "passages")
 
 
