@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 from weftline.plans import (  # noqa: F401
-    aggregation, files, joins, parsing, projection, reshaping, rows, scalars, sqltext, usercode,
+    aggregation, files, joins, parsing, preparation, projection, reshaping, rows, scalars, sqltext, usercode,
 )
 from weftline.plans.registry import ORACLES, QUERIES
 
