@@ -1,4 +1,5 @@
 """Fuzzy matching, recurrences, replacing, tiles, gap filling and profiles against plain versions."""
+import datetime as dt
 import random
 
 import pytest
@@ -6,7 +7,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from weftline import operators as op
-from weftline.operators import fuzzy
+from weftline.operators import fuzzy, gaps, replacing
 
 
 def largest_task(spark, run):
@@ -102,3 +103,101 @@ def test_recurrence_of_one_hot_key_is_worked_on_by_many_tasks(spark):
     assert op.recurrence(df.limit(0), [], ["id"], "y", "a", "b").collect() == []
     with pytest.raises(ValueError):
         op.recurrence(df, [], ["id"], "a", "a", "b")
+
+
+def plain_replace(text, entries):
+    if text is None:
+        return None
+    out, i = [], 0
+    while i < len(text):
+        fits = [f for f in entries if f and text.startswith(f, i)]
+        f = max(fits, key=len, default=None)
+        out.append(entries[f] if f else text[i])
+        i += len(f) if f else 1
+    return "".join(out)
+
+
+@pytest.mark.parametrize("limit", [replacing.BROADCAST_BYTES, 0])
+def test_find_replace_against_plain_replacing(spark, monkeypatch, limit):
+    monkeypatch.setattr(replacing, "BROADCAST_BYTES", limit)
+    rng = random.Random(6)
+    entries = {"".join(rng.choice("abé") for _ in range(rng.randrange(1, 6))): rng.choice(["", "X", "ab", "<é>"]) for _ in range(40)} | {"a.b": "dot", "$1": "\\1", "long " * 50: "L"}
+    rows = [*entries.items(), ("", "never"), (None, "never"), ("aab", None if "aab" in entries else "zz")]
+    entries.setdefault("aab", "zz")
+    entries = {f: min(v or "" for g, v in rows if g == f) for f in entries}
+    texts = ["".join(rng.choice("abé c") for _ in range(rng.randrange(30))) for _ in range(150)] + ["", None, "a.b$1 axb", "long " * 120, "ab" * 40_000, "abé", "abé"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "put int, text string, find string")
+    lookup = spark.createDataFrame(rows, "f string, text string")
+    got = op.find_replace(df, "text", lookup, "f", "text")
+    assert got.columns == df.columns
+    assert {r.put: r.text for r in got.collect()} == {i: plain_replace(t, entries) for i, t in enumerate(texts)}
+    whole = op.find_replace(df, "text", lookup, "f", "text", whole=True)
+    assert {r.put: r.text for r in whole.collect()} == {i: entries.get(t, t) for i, t in enumerate(texts)}
+    assert rows_of(op.find_replace(df, "text", lookup.limit(0), "f", "text")) == rows_of(df)
+    assert op.find_replace(df.limit(0), "text", lookup, "f", "text").collect() == []
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 20])
+def test_tiles_against_plain_sums(spark, hot_rows):
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["p", "q", None]), None if rng.random() < 0.1 else float("nan") if rng.random() < 0.05 else rng.randrange(-300, 3000) / 100) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, x double").repartition(6)
+    got = op.tile(df, 9, "c", order_by=["id"], hot_rows=hot_rows)
+    got = op.tile(got, 5, "s", "sum", "x", [("id", "desc")], ["k"], hot_rows)
+    got = op.tile(got, 6, "w", "width", "x", partition_by=["k"])
+    found = {r.id: (r.c, r.s, r.w) for r in got.collect()}
+    weight = lambda x: round(max(x, 0) * 10**6) if x is not None and x == x else 0
+    assert len(found) == 400
+    for key in ("p", "q", None):
+        mine = sorted((r for r in rows if r[1] == key), reverse=True)
+        total, upto = sum(weight(x) for *_, x in mine), 0
+        real = [x for *_, x in mine if x is not None and x == x]
+        for i, _, x in mine:
+            assert found[i][1] == min(5, 1 + upto * 5 // total)
+            upto += weight(x)
+            assert found[i][2] == (None if x is None or x != x else min(6, 1 + int((x - min(real)) * 6 / (max(real) - min(real)))))
+    assert [found[i][0] for i in range(400)] == sorted([1 + i % 9 for i in range(400)])
+    zero = spark.createDataFrame([(1, 0.0), (2, -5.0), (3, None)], "id int, x double")
+    assert rows_of(op.tile(op.tile(zero, 4, "s", "sum", "x", ["id"]), 3, "w", "width", "x").select("s", "w")) == [(1, None), (1, 1), (1, 3)]
+    assert op.tile(zero.limit(0), 4, "s", "sum", "x", ["id"]).collect() == []
+
+
+def plain_fill(rows, step):
+    """rows: (key, at, value); the last known value is carried."""
+    out = [(k, t, v, False) for k, t, v in rows if t is None]
+    for key in {r[0] for r in rows}:
+        mine = sorted(((t, (v is not None, v), v) for k, t, v in rows if k == key and t is not None))
+        known = None
+        for i, (t, _, v) in enumerate(mine):
+            known = v if v is not None else known
+            out.append((key, t, known, False))
+            at = t + step
+            while i + 1 < len(mine) and at < mine[i + 1][0]:
+                out.append((key, at, known, True))
+                at += step
+    return out
+
+
+@pytest.mark.parametrize(("hot_rows", "chunk"), [(10**6, 65_536), (15, 3)])
+def test_ts_fill_against_plain_loop(spark, monkeypatch, hot_rows, chunk):
+    monkeypatch.setattr(gaps, "CHUNK_OF_COPIES", chunk)
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "b", None]), None if rng.random() < 0.05 else rng.randrange(2000), None if rng.random() < 0.4 else rng.randrange(9)) for _ in range(120)] + [("one", 5, 1)]
+    df = spark.createDataFrame(rows, "k string, at bigint, v int").repartition(4)
+    got = op.ts_fill(df, ["k"], "at", 7, carried=["v"], filled="chunk", hot_rows=hot_rows)
+    assert rows_of(got) == rows_of(spark.createDataFrame(plain_fill(rows, 7), "k string, at bigint, v int, chunk boolean"))
+    day = dt.datetime(2024, 2, 28, 12)
+    stamps = spark.createDataFrame([(day, 1, "x"), (day + dt.timedelta(days=3), 2, "y")], "at timestamp_ntz, n int, s string")
+    filled = op.ts_fill(stamps, [], "at", (1, "day"), carried=["n"])
+    assert rows_of(filled) == [(day, 1, "x"), (day + dt.timedelta(days=1), 1, None), (day + dt.timedelta(days=2), 1, None), (day + dt.timedelta(days=3), 2, "y")]
+    assert op.ts_fill(stamps.selectExpr("cast(at as timestamp) as at"), [], "at", (12, "hour")).count() == 7
+    assert op.ts_fill(stamps.limit(0), [], "at", (1, "day")).collect() == []
+    with pytest.raises(ValueError):
+        op.ts_fill(stamps.selectExpr("cast(at as date) as d"), [], "d", (1, "hour"))
+
+
+def test_a_long_gap_is_filled_by_many_tasks(spark):
+    df = spark.createDataFrame([(0, 1), (10_000_001, None)], "at bigint, v int")
+    run = lambda: op.ts_fill(df, [], "at", 1, carried=["v"])
+    assert run().agg(F.count("*"), F.sum("v"), F.sum("at")).first()[:] == (10_000_002, 10_000_002, 10_000_001 * 10_000_002 // 2)
+    assert largest_task(spark, run) < 1_000_000

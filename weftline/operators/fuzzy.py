@@ -26,10 +26,15 @@ BROADCAST_GRAMS = 500_000
 HEAD, TAIL = "\u0001", "\u0002"
 
 
-def _grams(text: Column, q: int) -> Column:
-    """Positional q-grams of the padded text: structs (pos, gram), one more by q - 1 than characters."""
-    padded = F.concat(F.lit(HEAD * (q - 1)), text, F.lit(TAIL * (q - 1)))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + (q - 1)), lambda i: F.struct(i.alias("pos"), F.substring(padded, i, F.lit(q)).alias("gram")))
+def _letters(text: Column, q: int) -> Column:
+    """The characters of the padded text."""
+    ends = [F.array_repeat(F.lit(mark), q - 1) for mark in (HEAD, TAIL)]
+    return F.concat(ends[0], F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), ends[1])
+
+
+def _grams(letters: Column, q: int) -> Column:
+    """Positional q-grams: structs (pos, gram), one more by q - 1 than the text has characters."""
+    return F.transform(F.sequence(F.lit(0), F.size(letters) - q), lambda i: F.struct((i + 1).alias("pos"), F.concat(*(F.get(letters, i + j) for j in range(q))).alias("gram")))
 
 
 def _deletions(text: Column, k: int) -> Column:
@@ -46,7 +51,8 @@ def _deletions(text: Column, k: int) -> Column:
 
 def _postings(texts: DataFrame, k: int, q: int) -> DataFrame:
     """(text, sides, size, rest, gram, pos): the rarest k * q + 1 grams of each text, and all others that equal the last of them."""
-    grams = texts.select("text", "is_left", "is_right", F.explode(_grams(F.col("text"), q)).alias("g")).select("text", "is_left", "is_right", "g.*")
+    padded = texts.withColumn("letters", _letters(F.col("text"), q))
+    grams = padded.select("text", "is_left", "is_right", F.explode(_grams(F.col("letters"), q)).alias("g")).select("text", "is_left", "is_right", "g.*")
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     few = often.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
     counted = grams.join(F.broadcast(often) if few else often, "gram")

@@ -43,3 +43,61 @@ def multi_row_formula(t: Tables) -> DataFrame:
     rows = op.recurrence(rows, ["user_id"], order, "excess", "over", "zero", kind="max_plus")
     rows = op.recurrence(rows, ["user_id"], order, "level", "one", "v", reset="failed")
     return rows.select("event_id", "user_id", "balance", "excess", "level")
+
+
+_WORDS = "(SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)"
+
+
+@query("find_replace", f"""
+WITH f AS (SELECT DISTINCT unnest([w, left(w, 2), left(w, 3), right(w, 3), w || ' r']) AS find FROM {_WORDS}),
+pattern AS (SELECT '(' || string_agg(find, '|' ORDER BY length(find) DESC, find) || ')' AS p FROM f)
+SELECT p_partkey, p_brand, regexp_replace(nullif(p_name, 'red plate'), p, '[\\1]', 'g') AS p_name, CASE WHEN p_type IN (SELECT p_type FROM part WHERE p_size < 2) THEN 'found ' || p_type ELSE p_type END AS p_type
+FROM part, pattern""")
+def find_replace(t: Tables) -> DataFrame:
+    """Parts of names by overlapping entries (the longest wins), and whole types."""
+    word = t.part.select(F.explode(F.split("p_name", " ")).alias("w"))
+    finds = F.array("w", F.left("w", F.lit(2)), F.left("w", F.lit(3)), F.right("w", F.lit(3)), F.concat("w", F.lit(" r")))
+    entries = word.select(F.explode(finds).alias("find")).withColumn("put", F.concat(F.lit("["), "find", F.lit("]")))
+    types = t.part.where("p_size < 2").select("p_type", F.concat(F.lit("found "), "p_type").alias("put"))
+    rows = t.part.select("p_partkey", "p_brand", F.nullif("p_name", F.lit("red plate")).alias("p_name"), "p_type")
+    rows = op.find_replace(rows, "p_name", entries, "find", "put")
+    return op.find_replace(rows, "p_type", types, "p_type", "put", whole=True)
+
+
+_PRICED = "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS price FROM orders"
+
+
+@query("tile_bucket", f"""
+WITH o AS ({_PRICED}),
+w AS (SELECT *, CAST(coalesce(price, 0) AS DECIMAL(28, 6)) AS x FROM o),
+s AS (SELECT *, sum(x) OVER (ORDER BY price NULLS FIRST, o_orderkey, o_orderstatus ROWS UNBOUNDED PRECEDING) - x AS upto, sum(x) OVER () AS total,
+  sum(x) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - x AS upto_key, sum(x) OVER (PARTITION BY o_orderstatus) AS total_key, min(price) OVER () AS lo, max(price) OVER () AS hi FROM w)
+SELECT o_orderkey, o_orderstatus, price, CAST(ntile(7) OVER (ORDER BY price NULLS FIRST, o_orderkey) AS INTEGER) AS by_count,
+  CAST(least(10, 1 + CAST(upto * 1000000 AS HUGEINT) * 10 // CAST(total * 1000000 AS HUGEINT)) AS INTEGER) AS by_sum,
+  CAST(least(4, 1 + CAST(upto_key * 1000000 AS HUGEINT) * 4 // CAST(total_key * 1000000 AS HUGEINT)) AS INTEGER) AS by_sum_of_status,
+  CASE WHEN price IS NOT NULL THEN CAST(least(20, 1 + floor((price - lo) * 20 / (hi - lo))) AS INTEGER) END AS by_width
+FROM s""")
+def tile_bucket(t: Tables) -> DataFrame:
+    price = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice"))
+    rows = t.orders.select("o_orderkey", "o_orderstatus", price.alias("price"))
+    order = ["price", "o_orderkey"]
+    tiled = op.tile(rows, 7, "by_count", order_by=order)
+    tiled = op.tile(tiled, 10, "by_sum", "sum", "price", [*order, "o_orderstatus"])
+    tiled = op.tile(tiled, 4, "by_sum_of_status", "sum", "price", ["o_orderkey"], ["o_orderstatus"])
+    return op.tile(tiled, 20, "by_width", "width", "price")
+
+
+@query("ts_fill", """
+WITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day,
+  nullif(o_orderpriority, '1-URGENT') AS priority, o_totalprice AS price FROM orders),
+f AS (SELECT *, lead(day) OVER w AS following, last_value(priority IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS known FROM o WHERE day IS NOT NULL
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY day, o_orderkey)),
+g AS (SELECT *, unnest(generate_series(1, (following - day - 1) // 30)) AS k FROM f)
+SELECT o_orderkey, o_custkey, day, known AS priority, price, FALSE AS is_new FROM f
+UNION ALL SELECT *, FALSE FROM o WHERE day IS NULL
+UNION ALL SELECT NULL, o_custkey, day + CAST(30 * k AS INTEGER), known, NULL, TRUE FROM g""")
+def ts_fill(t: Tables) -> DataFrame:
+    """Every customer's orders, and a row for every thirty days without one, with the last known priority."""
+    day = F.when(~((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")), F.col("o_orderdate").cast("date"))
+    rows = t.orders.select("o_orderkey", "o_custkey", day.alias("day"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("priority"), F.col("o_totalprice").alias("price"))
+    return op.ts_fill(rows, ["o_custkey"], "day", (30, "day"), carried=["priority"], filled="is_new")
