@@ -201,3 +201,39 @@ def test_a_long_gap_is_filled_by_many_tasks(spark):
     run = lambda: op.ts_fill(df, [], "at", 1, carried=["v"])
     assert run().agg(F.count("*"), F.sum("v"), F.sum("at")).first()[:] == (10_000_002, 10_000_002, 10_000_001 * 10_000_002 // 2)
     assert largest_task(spark, run) < 1_000_000
+
+
+def test_column_profile_against_exact_values(spark):
+    rng = random.Random(9)
+    rows = [(i, None if rng.random() < 0.2 else int(rng.expovariate(0.3)), rng.gauss(0, 9) if rng.random() < 0.9 else float("nan"), rng.choice(["a", "b", None, "x" * 600, "x" * 600 + "y"]),
+             i % 7 == 0, [i % 3], bytes([i % 5])) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "id bigint, `a.b` int, x double, s string, f boolean, l array<int>, raw binary").repartition(7)
+    got = {r.name: r for r in op.column_profile(df, bins=8, top=3).collect()}
+    assert list(got) == df.columns and all(r.rows == 30_000 for r in got.values())
+    for i, name in enumerate(df.columns):
+        values = [r[i] for r in rows if r[i] is not None]
+        r = got[name]
+        assert r.nulls == 30_000 - len(values) and abs(r.null_pct - r.nulls / 30_000) < 1e-12
+        distinct = len({str(v) for v in values})
+        assert abs(r.distinct - distinct) <= 0.1 * distinct
+        if name not in ("id", "x"):
+            counts = sorted(([str(v) for v in values].count(k) for k in {str(v) for v in values}), reverse=True)
+            assert [f["count"] for f in r.frequent] == counts[:3]
+    for i in (0, 1, 2):
+        values = sorted(r[i] for r in rows if r[i] is not None and r[i] == r[i])
+        r = got[df.columns[i]]
+        assert abs(r.mean - sum(values) / len(values)) < 1e-6
+        for share, q in zip((0, 0.25, 0.5, 0.75, 1), r.quantiles):
+            below, upto = sum(v < q for v in values), sum(v <= q for v in values)
+            assert below - len(values) / 5000 <= share * len(values) <= upto + len(values) / 5000
+        edges = [b.low for b in r.histogram] + [r.histogram[-1].high]
+        assert (edges[0], edges[-1], len(edges)) == (values[0], values[-1], 9) and sum(b["count"] for b in r.histogram) == len(values)
+        assert [b["count"] for b in r.histogram] == [sum(min(7, int((v - edges[0]) / ((edges[-1] - edges[0]) / 8))) == j for v in values) for j in range(8)]
+    assert got["f"].min == "false" and got["s"].type == "string" and got["l"].type == "list"
+
+
+def test_column_profile_of_odd_tables(spark):
+    empty = op.column_profile(spark.createDataFrame([], "a int, b string")).collect()
+    assert [(r.name, r.rows, r.nulls, r.null_pct, r.distinct, r.min, r.quantiles, r.frequent, r.histogram) for r in empty] == [("a", 0, 0, None, 0, None, None, [], []), ("b", 0, 0, None, 0, None, None, [], [])]
+    same = op.column_profile(spark.createDataFrame([(5.0, None), (5.0, None), (float("inf"), None)], "x double, n int")).collect()
+    assert [tuple(b) for b in same[0].histogram] == [(5.0, float("inf"), 3)] and same[1].nulls == 3 and same[1].histogram == []

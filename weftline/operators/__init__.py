@@ -11,6 +11,7 @@ from weftline.operators.parse import (
     regex_replace, regex_tokenize, split_to_columns, split_to_rows,
 )
 from weftline.operators.preview import Preview, StepCounts, preview
+from weftline.operators.profile import column_profile
 from weftline.operators.project import Field, FilterSplit, filter_split, formula, select_fields
 from weftline.operators.query import sql_inputs, sql_schema
 from weftline.operators.recurrence import recurrence
@@ -29,7 +30,7 @@ from weftline.operators.windows import Win, ordered_window, qualify
 
 __all__ = [
     "Agg", "Field", "FilterSplit", "JoinSplit", "Preview", "StepCounts", "UniqueSplit", "Win",
-    "asof_join", "crosstab", "datetime_format", "datetime_parse", "duplicate_rows", "exact_median", "filter_split", "find_replace",
+    "asof_join", "column_profile", "crosstab", "datetime_format", "datetime_parse", "duplicate_rows", "exact_median", "filter_split", "find_replace",
     "formula", "fuzzy_match", "fuzzy_pairs", "infer_json_type", "inner_join", "join_split", "json_parse", "ordered_window",
     "preview", "python_aggregate", "python_batches", "python_frames", "python_groups", "qualify",
     "range_join", "recurrence", "regex_match", "regex_parse", "regex_replace", "regex_tokenize", "row_index",

@@ -101,3 +101,36 @@ def ts_fill(t: Tables) -> DataFrame:
     day = F.when(~((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")), F.col("o_orderdate").cast("date"))
     rows = t.orders.select("o_orderkey", "o_custkey", day.alias("day"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("priority"), F.col("o_totalprice").alias("price"))
     return op.ts_fill(rows, ["o_custkey"], "day", (30, "day"), carried=["priority"], filled="is_new")
+
+
+def _profiled(name: str, kind: str, col: str) -> str:
+    """One column's profile with exact sketches; doubles and counts are compared, errors only bounded."""
+    real = kind in ("int64", "float64")
+    mean = f"round(avg({col}), 4)" if real else "CAST(NULL AS DOUBLE)"
+    return f"""
+SELECT '{name}' AS name, '{kind}' AS type, count(*) AS rows, count(*) - count({col}) AS nulls, round(1 - count({col}) / count(*), 9) AS null_pct,
+  CAST(min({col}) AS VARCHAR) AS min, CAST(max({col}) AS VARCHAR) AS max, {mean} AS mean, TRUE AS distinct_close,
+  {'10' if real else '0'} AS bins, {f'count({col})' if real else '0'} AS in_bins, CASE WHEN count(DISTINCT {col}) <= 1000 THEN (SELECT max(n) FROM (SELECT count(*) AS n FROM p WHERE {col} IS NOT NULL GROUP BY {col})) END AS most
+FROM p"""
+
+
+_PROFILED = [("o_orderkey", "int64", "o_orderkey"), ("status", "string", "status"), ("price", "float64", "price"), ("day", "date", "day"), ("large", "bool", "large")]
+
+
+@query("column_profile", """
+WITH p AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status, CASE WHEN o_orderpriority <> '5-LOW' THEN round(o_totalprice) + 0.5 END AS price,
+  CAST(o_orderdate AS DATE) AS day, o_totalprice > 200000 AS large FROM orders)""" + " UNION ALL ".join(_profiled(*c) for c in _PROFILED))
+def column_profile(t: Tables) -> DataFrame:
+    """Exact figures of every column, and whether the sketches keep their bounds."""
+    rows = t.orders.select(
+        "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.when(F.col("o_orderpriority") != "5-LOW", F.round("o_totalprice") + 0.5).alias("price"),
+        F.col("o_orderdate").cast("date").alias("day"), (F.col("o_totalprice") > 200000).alias("large"))
+    exact = rows.agg(*(F.count_distinct(c).alias(c) for c in rows.columns))
+    told = exact.unpivot([], rows.columns, "of", "exactly")
+    found = op.column_profile(rows)
+    joined = found.join(F.broadcast(told), F.col("name") == F.col("of"))
+    close = F.abs(F.col("distinct") - F.col("exactly")) <= F.col("exactly") * 0.1
+    return joined.select(
+        "name", "type", "rows", "nulls", F.round("null_pct", 9).alias("null_pct"), "min", "max", F.round("mean", 4).alias("mean"), close.alias("distinct_close"),
+        F.size("histogram").cast("int").alias("bins"), F.aggregate("histogram", F.lit(0).cast("bigint"), lambda acc, b: acc + b["count"]).alias("in_bins"),
+        F.when(F.col("exactly") <= 1000, F.get("frequent", F.lit(0))["count"]).alias("most"))
