@@ -1,10 +1,11 @@
-"""Fuzzy matching, recurrences, replacing, tiles, gap filling, profiles."""
+"""Fuzzy matching, recurrences, replacing, tiles, gap filling, profiles, ordered texts, class sizes, bad cells, partitions."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline import operators as op
+from weftline import sources as src
 from weftline.plans.registry import Tables, query
 
 
@@ -134,3 +135,71 @@ def column_profile(t: Tables) -> DataFrame:
         "name", "type", "rows", "nulls", F.round("null_pct", 9).alias("null_pct"), "min", "max", F.round("mean", 4).alias("mean"), close.alias("distinct_close"),
         F.size("histogram").cast("int").alias("bins"), F.aggregate("histogram", F.lit(0).cast("bigint"), lambda acc, b: acc + b["count"]).alias("in_bins"),
         F.when(F.col("exactly") <= 1000, F.get("frequent", F.lit(0))["count"]).alias("most"))
+
+
+@query("agg_concat", """
+WITH o AS (SELECT *, CASE WHEN o_orderkey % 5 > 0 AND o_custkey % 7 > 0 THEN o_orderpriority END AS p, nullif(o_orderstatus, 'P') AS s FROM orders)
+SELECT 'customer' AS of, CAST(o_custkey AS VARCHAR) AS "group", string_agg(p, '; ' ORDER BY o_orderdate DESC NULLS FIRST, p) AS texts FROM o GROUP BY o_custkey
+UNION ALL
+SELECT 'status', s, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY p NULLS FIRST, o_totalprice DESC NULLS FIRST, CAST(o_orderkey AS VARCHAR)) FROM o GROUP BY s""")
+def agg_concat(t: Tables) -> DataFrame:
+    """Priorities per customer, and all order keys per status, each as one text."""
+    priority = F.when((F.col("o_orderkey") % 5 > 0) & (F.col("o_custkey") % 7 > 0), F.col("o_orderpriority"))
+    rows = t.orders.withColumn("p", priority).withColumn("s", F.nullif("o_orderstatus", F.lit("P")))
+    small = op.concat_text(rows, ["o_custkey"], "p", [("o_orderdate", "desc")], "texts", "; ")
+    large = op.concat_text(rows, ["s"], "o_orderkey", ["p", ("o_totalprice", "desc")], "texts", ",")
+    small = small.select(F.lit("customer").alias("of"), F.col("o_custkey").cast("string").alias("group"), "texts")
+    return small.unionByName(large.select(F.lit("status").alias("of"), F.col("s").alias("group"), "texts"))
+
+
+_SIZES = {"R": 100, "A": 4000, None: 2500}
+
+
+@query("over_undersample", """
+WITH l AS (SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS flag, l_linestatus AS mode FROM lineitem),
+n AS (SELECT *, CAST(CASE flag WHEN 'R' THEN 100 WHEN 'A' THEN 4000 ELSE 2500 END AS BIGINT) AS size, count(*) OVER (PARTITION BY flag) AS total,
+  row_number() OVER (PARTITION BY flag ORDER BY md5(concat_ws('|', '9', l_orderkey, l_linenumber))) AS place FROM l)
+SELECT l_orderkey, l_linenumber, flag, mode FROM (SELECT *, unnest(range(size // total + CASE WHEN place <= size % total THEN 1 ELSE 0 END)) FROM n)""")
+def over_undersample(t: Tables) -> DataFrame:
+    """Return flags at sizes of their own: some classes shrink, others (on small tables) grow."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.col("l_linestatus").alias("mode"))
+    return op.resample_classes(rows, "flag", _SIZES, seed=9, keys=["l_orderkey", "l_linenumber"])
+
+
+@query("bad_data_policy", """
+WITH c AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'n/a' WHEN o_orderpriority = '5-LOW' THEN '  ' ELSE 'fine' END AS price, o_totalprice,
+  CASE WHEN o_orderstatus = 'P' THEN '?' WHEN o_orderstatus = 'F' THEN NULL ELSE 'yes' END AS open FROM orders),
+r AS (SELECT *, CASE WHEN price = 'fine' THEN o_totalprice END AS value, concat_ws('; ', CASE WHEN price = 'n/a' THEN 'price float64 n/a' END, CASE WHEN open = '?' THEN 'open bool ?' END) AS reason FROM c)
+SELECT 'null' AS policy, o_orderkey, value AS price, CASE WHEN open = 'yes' THEN TRUE END AS open, CAST(NULL AS VARCHAR) AS reason FROM r
+UNION ALL SELECT 'drop', o_orderkey, value, CASE WHEN open = 'yes' THEN TRUE END, NULL FROM r WHERE reason = ''
+UNION ALL SELECT 'rejected', o_orderkey, NULL, NULL, reason FROM r WHERE reason <> ''""")
+def bad_data_policy(t: Tables) -> DataFrame:
+    """Typed rows with bad cells null, typed rows without bad cells, and the rejected rows with their reasons."""
+    cells = t.orders.select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "n/a").when(F.col("o_orderpriority") == "5-LOW", "  ").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.when(F.col("o_orderstatus") == "P", "?").when(F.col("o_orderstatus") != "F", "yes").alias("open"))
+    types = {"o_orderkey": "int64", "price": "float64", "open": "bool"}
+    kept, dropped = (src.checked_text(cells, types, p) for p in ("null", "drop"))
+    out = [c.good.select(F.lit(p).alias("policy"), "*", F.lit(None).cast("string").alias("reason")) for p, c in (("null", kept), ("drop", dropped))]
+    told = F.array_join(F.transform("reasons", lambda r: F.concat_ws(" ", r["column"], r["type"], r["value"])), "; ")
+    none = {c: F.lit(None).cast(k) for c, k in (("price", "double"), ("open", "boolean"))}
+    rejected = dropped.rejected.select(F.lit("rejected").alias("policy"), F.col("o_orderkey").cast("bigint").alias("o_orderkey"), *[v.alias(c) for c, v in none.items()], told.alias("reason"))
+    return out[0].unionByName(out[1]).unionByName(rejected)
+
+
+@query("src_partitioned", """
+WITH o AS (SELECT o_orderkey, o_totalprice, nullif(o_orderstatus, 'P') AS status, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders),
+named AS (SELECT year FROM o GROUP BY year HAVING count(*) % 2 = 0 OR year = (SELECT min(year) FROM o))
+SELECT o_orderkey, CASE WHEN status = 'F' AND year % 2 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, status, year
+FROM o WHERE year IN (SELECT year FROM named)""")
+def src_partitioned(t: Tables) -> DataFrame:
+    """Orders by status and year: some partitions replaced, then only the years that a joined table names are read."""
+    rows = t.orders.select("o_orderkey", "o_totalprice", F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.year("o_orderdate").alias("year"))
+    path = t.scratch("src_partitioned")
+    src.write_partitioned(rows, path, ["status", "year"])
+    changed = rows.where("status = 'F' and year % 2 = 0").withColumn("o_totalprice", -F.col("o_totalprice"))
+    src.write_partitioned(changed, path, ["status", "year"], mode="replace")
+    named = rows.groupBy("year").agg(F.count("*").alias("n"))
+    named = named.crossJoin(F.broadcast(rows.agg(F.min("year").alias("least")))).where("n % 2 = 0 or year = least").select("year")
+    return src.read_partitioned(t.spark, path).join(named, "year", "left_semi").select("o_orderkey", "o_totalprice", "status", "year")
