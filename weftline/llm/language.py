@@ -27,7 +27,13 @@ MOST_DOCS, MOST_BYTES = 1_500, 3_000_000
 COSTS_HELD = 1 << 22
 #: Bits for which a code difference counts as one unit of log-odds.
 SOFTNESS = 8.0
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and some numerals that Python counts as word characters.
+WORD_CHARACTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a character of a letter category (numerals such as \u00bd or \u2160 are none)."""
+    return bool(text) and any(m[0].isalpha() for m in WORD_CHARACTER.finditer(text))
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -186,7 +192,7 @@ def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in slices(batches, "text"):
-            letter = np.array([bool(t and LETTER.search(t)) for t in batch.column("text").to_pylist()])
+            letter = np.array([has_letter(t) for t in batch.column("text").to_pylist()])
             if own.languages:
                 bits = own.lengths(*text_bytes(batch.column("text")))
                 best = bits.argmin(axis=1)
