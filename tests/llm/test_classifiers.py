@@ -84,6 +84,67 @@ def test_segments_against_brute_force():
         assert [(round(s, 6), a, b) for s, a, b in got] == want
 
 
+def test_segments_of_a_million_scattered_hits():
+    places = list(range(0, 20_000_000, 20))
+    assert toxicity.segments(places, [1.5] * len(places)) == [(pytest.approx(1.5, abs=1e-6), i, i) for i in places]
+    close = toxicity.segments(list(range(1_000_000)), [1.5] * 1_000_000)
+    assert len(close) == 1 and close[0][1:] == (0, 999_999)
+    # Every segment starts lower than the one before it, and then higher again.
+    rng = random.Random(8)
+    mixed = toxicity.segments(places, [rng.choice([0.5, 3.0, 4.5]) for _ in places])
+    assert sum(s for s, _, _ in mixed) > 0 and all(a[2] < b[1] for a, b in zip(mixed, mixed[1:]))
+
+
+def test_passages_and_their_evidence():
+    model = toxicity.Model({"vile": 3.0, "foul": 2.0, "badl|": 1.6})
+    model.rate, model.chance = 1.0, 0.004
+    words = ["calm"] * 500
+    for i in range(0, 500, 50):
+        words[i] = "vile"
+    words[101], words[103] = "foul", "badly"
+    found = model.passages(words)
+    assert len(found) == 10  # each use of a word is a passage, however often it was said before
+    assert found[2] == (pytest.approx(3.0 + 2.0 - 0.2 + 1.6), 100, 103)
+    # As evidence the k-th use of a word counts 1 / k^2, and what then falls below the least segment nothing.
+    kept = [3.0, 3.0 / 9 + 2.0 - 0.2 + 1.6]
+    assert model.weights(words) == [pytest.approx(k) for k in kept]
+    best, total = 0.0, 0.0
+    for r, s in enumerate(sorted(kept, reverse=True), 1):
+        total += s - math.log(0.004 * 500)
+        if total > r:
+            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - math.log(r + 1))
+    assert model.evidence(words) == pytest.approx(best) and best > 0
+    assert model.evidence([]) == 0.0
+    many = model.passages(["vile", *["calm"] * 50] * 300)
+    assert len(many) == 300
+
+
+def test_token_scores_against_a_plain_count(spark):
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice(["sun", "rain", "wind", "vile", "foul"] if label else ["sun", "rain", "wind", "cloud"]) for _ in range(30)), label) for label in [0, 1] * 150]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "text string, label int").repartition(3))
+    has = {label: [set(t.split()) for t, y in rows if y == label] for label in (0, 1)}
+    want = {}
+    for word in ("sun", "rain", "wind", "cloud", "vile", "foul"):
+        for name in toxicity.names_of(word):
+            toxic, clean = (sum(any(name in toxicity.names_of(w) for w in ws) for ws in has[y]) for y in (1, 0))
+            prior = 0.5 + 100.0 * (toxic + clean) / 300 / 1000
+            t, c = toxic + prior, clean + prior
+            delta = math.log(t / (150 + 2 - toxic)) - math.log(c / (150 + 2 - clean))
+            if delta >= 1.5 and delta / math.sqrt(1 / t + 1 / c) >= 3.3:
+                want[name] = pytest.approx(min(delta, 6.0))
+    assert set(want) == {"vile", "vile|", "foul", "foul|"} and model.scores == want
+    # lambda: the mean of exp(lambda * score) over the words of clean texts is one, or lambda is one.
+    assert 0 < model.rate <= 1.0 and model.slope > 0
+
+
+def test_letters():
+    for text in ("", None, "12 34", "\u00bd \u00b2", "\u2460 \u2160", "_ _", "\u0660", "+ \u20ac"):
+        assert not language.has_letter(text)
+    for text in ("a", "\u00bd\u00e9", "\u4e2d", "\u02b0", "1\u01c5"):
+        assert language.has_letter(text)
+
+
 def plain_cost(counts, text, order):
     """Bits of a text under one language's counts, byte by byte."""
     bits = 0.0

@@ -52,27 +52,30 @@ def segments(places: list[int], scores: list[float], gap: float = GAP) -> list[t
     """All maximal scoring segments (score, first place, last place), after Ruzzo and Tompa.
 
     Given are the places of the tokens with a positive score; every token between
-    them scores `gap`.  Each candidate keeps the running total before and after it;
-    a new one is joined to the nearest earlier candidate that starts lower, if that
-    one ends lower too.
+    them scores `gap`.  Each candidate keeps the running total before and after it
+    and the nearest earlier candidate that starts lower; a new one is joined to that
+    candidate if it ends lower too.  Once no candidate starts lower all earlier ones are
+    final.  Candidates that a search has passed over are never met again, so the time is linear.
     """
-    kept: list[tuple[float, float, int, int]] = []
+    final: list[tuple[float, float, int, int, int]] = []
+    kept: list[tuple[float, float, int, int, int]] = []
     total, last = 0.0, -1
     for place, score in zip(places, scores):
         total += gap * (place - last - 1)
         low, first = total, place
         total, last = total + score, place
-        high = total
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= low:
-                j -= 1
-            if j < 0 or kept[j][1] >= high:
-                kept.append((low, high, first, place))
-                break
-            low, first = kept[j][0], kept[j][2]
+        j = len(kept) - 1
+        while j >= 0 and kept[j][0] >= low:
+            j = kept[j][4]
+        while j >= 0 and kept[j][1] < total:
+            low, _, first, _, lower = kept[j]
             del kept[j:]
-    return [(high - low, first, end) for low, high, first, end in kept]
+            j = lower
+        if j < 0:
+            final += kept
+            kept.clear()
+        kept.append((low, total, first, place, j))
+    return [(high - low, first, end) for low, high, first, end, _ in final + kept]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,22 +117,34 @@ class Model:
             self.known[word] = known
         return known
 
-    def passages(self, words: list[str]) -> list[tuple[float, int, int]]:
+    def hits(self, words: list[str]) -> list[tuple[int, float]]:
+        """Places and scores of the words with a positive score."""
         openings, n = self.openings, self.opening
-        places = [i for i, w in enumerate(words) if w[:n] in openings]
-        # A word said again and again tells little more than said once: its k-th occurrence counts 1 / k^2.
-        marked, times = [], Counter()
-        for i in places:
-            if (s := self.score(words[i])) > 0:
-                times[words[i]] += 1
-                marked.append((i, s / times[words[i]] ** 2))
-        return [s for s in segments([m[0] for m in marked], [m[1] for m in marked]) if s[0] >= LEAST_SEGMENT] if marked else []
-
-    def evidence(self, words: list[str], passages: list[tuple[float, int, int]]) -> float:
+        return [(i, s) for i, w in enumerate(words) if w[:n] in openings and (s := self.score(w)) > 0]
+
+    def passages(self, words: list[str]) -> list[tuple[float, int, int]]:
+        """Every maximal segment of at least LEAST_SEGMENT."""
+        hits = self.hits(words)
+        return [s for s in segments([i for i, _ in hits], [s for _, s in hits]) if s[0] >= LEAST_SEGMENT]
+
+    def weights(self, words: list[str]) -> list[float]:
+        """The segments that count as evidence for the text as a whole.
+
+        A word said again and again tells little more than said once, so here, not in the
+        passages, its k-th use in the text scores 1 / k^2.
+        """
+        times: Counter = Counter()
+        marked = []
+        for i, s in self.hits(words):
+            times[words[i]] += 1
+            marked.append((i, s / times[words[i]] ** 2))
+        return [s for s, _, _ in segments([i for i, _ in marked], [s for _, s in marked]) if s >= LEAST_SEGMENT]
+
+    def evidence(self, words: list[str]) -> float:
         """-log p of the sum of the best segments' scores above chance; the best number of segments counts."""
         best, total = 0.0, 0.0
         chance = math.log(max(self.chance * len(words), 1e-12)) if words else 0.0
-        for r, (s, _, _) in enumerate(sorted(passages, reverse=True)[:50], 1):
+        for r, s in enumerate(sorted(self.weights(words), reverse=True), 1):
             total += self.rate * s - chance
             if total > r:
                 log_p = -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r)
@@ -145,9 +160,8 @@ def _score(sent, wanted: bool):
             evidence, passages = [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                found = model.passages(words)
-                evidence.append(model.evidence(words, found))
-                passages.append([{"first_word": a, "last_word": b, "score": s} for s, a, b in found] if wanted else [])
+                evidence.append(model.evidence(words))
+                passages.append([{"first_word": a, "last_word": b, "score": s} for s, a, b in model.passages(words)] if wanted else [])
             score = sigmoid(model.slope * np.array(evidence) + model.offset)
             rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(score), pa.array(evidence, pa.float64()), pa.array(passages, kind)],
@@ -187,8 +201,8 @@ def fit_toxicity(sample: DataFrame) -> Model:
             out = []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 words = words_of(text)
-                hits = [s for w in words if w[:own.opening] in own.openings and (s := own.score(w)) > 0]
-                found = own.passages(words)
+                hits = [s for _, s in own.hits(words)]
+                found = own.weights(words)
                 out.append((label, len(words), len(hits), sum(hits), len(found)))
             yield pa.RecordBatch.from_arrays([pa.array([float(o[i]) for o in out], pa.float64()) for i in range(5)], names=["label", "n", "hits", "total", "found"])
 
