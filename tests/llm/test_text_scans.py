@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftline.llm import licenses, urls
 from weftline.llm.bpe import Tokenizer, bpe, byte_symbols, read_tokenizer
 from weftline.llm.queries import tokenizer_path
-from weftline.llm.secrets import redact, scan_secrets
+from weftline.llm.secrets import find_armoured, redact, scan_secrets
 
 
 def der(tag, body):
@@ -51,6 +51,24 @@ def test_structures_are_confirmed(spark):
     assert scan_secrets(df).count() == len(rows) and scan_secrets(df.limit(0)).collect() == []
 
 
+def test_armour_between_unended_headers():
+    header = "-----BEGIN RSA PRIVATE KEY-----\n"
+    many = header * 100_000
+    assert find_armoured(many) == []
+    assert find_armoured(many + ARMOURED + "\n" + many) == [(len(many), 3, len(many) + len(ARMOURED))]
+    assert find_armoured(ARMOURED.replace("END RSA", "END EC")) == []
+    assert find_armoured(ARMOURED + ARMOURED) == [(0, 3, len(ARMOURED)), (len(ARMOURED), 3, 2 * len(ARMOURED))]
+    assert find_armoured(header[:-1] + "END RSA PRIVATE KEY-----") == []
+
+
+def test_escaped_line_ends_and_upper_case_hex(spark):
+    escaped, upper = ARMOURED.replace("\n", "\\n"), rsa_like().hex().upper()
+    rows = spark.createDataFrame([(1, f"{{'key': '{escaped}'}}"), (2, f"x {upper} y"), (3, upper[:-2])], "doc_id bigint, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in scan_secrets(rows).collect()}
+    assert ("armour", 9, 9 + len(escaped)) in got[1] and ("der", 2, 2 + len(upper)) in got[2]
+    assert "der" not in [s[0] for s in got[3]]
+
+
 def test_base_patterns_against_plain_search(spark):
     rng = random.Random(3)
     parts = ["password", "Passwd", "SECRET", "token", "apikey", "api_key", "=", ":", " ", "'", '"', "abc", "DEF123", "a/b+c=", "AKIA", "ABCD1234", "0af", "deadbeef" * 4, "ſecret", "K", "\n", "é"]

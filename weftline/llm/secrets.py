@@ -22,7 +22,11 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: What may be encoded: runs of base64 or base64url characters, dotted tokens, and armoured blocks.
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)(?=-----)")
+ARMOURED = re.compile(r"[A-Za-z0-9+/=\s:,-]*(?:\\[nr][A-Za-z0-9+/=\s:,-]*)*")
+HEADER_LINE = re.compile(r"(?m)^[A-Za-z-]+:.*$")
+#: Hex digits of either case, long enough for a key.
+HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}")
 #: Base kinds, then those that a decoded structure confirms.
 KINDS = ("assign", "access", "hex", "armour", "der", "ssh", "jwt")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -114,9 +118,9 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
             found.append((start, 5, end))
 
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
-    for m in HEX.finditer(text):
-        found.append((m.start(), 2, m.end()))
-        if len(m[0]) >= 40 and len(m[0]) % 2 == 0:
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    for m in HEX_KEY.finditer(text):
+        if len(m[0]) % 2 == 0:
             confirm(bytes.fromhex(m[0]), m.start(), m.end())
     for m in ENCODED.finditer(text):
         if data := decoded(m[0]):
@@ -130,10 +134,19 @@ def find_armoured(text: str) -> list[tuple[int, int, int]]:
     found = []
     if "-----BEGIN " not in text:
         return found
-    for m in ARMOUR.finditer(text):
-        body = decoded("".join(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2]).split()))
-        if body and (is_der_key(body) or is_ssh_key(body) or m[1].startswith("ENCRYPTED") and der_parts(body, 0, len(body))):
-            found.append((m.start(), 3, m.end()))
+    opened = None
+    for m in MARK.finditer(text):
+        if m[1] == "BEGIN":
+            opened = m
+            continue
+        # A key holds neither headers nor ends, so only the nearest header counts, and no text is looked at twice.
+        begin, opened = opened, None
+        if begin is None or begin[2] != m[2] or begin.end() + 5 > m.start() or not ARMOURED.fullmatch(text, begin.end() + 5, m.start()):
+            continue
+        lines = text[begin.end() + 5:m.start()].replace("\\n", "\n").replace("\\r", "\n")
+        body = decoded("".join(HEADER_LINE.sub("", lines).split()))
+        if body and (is_der_key(body) or is_ssh_key(body) or m[2].startswith("ENCRYPTED") and der_parts(body, 0, len(body))):
+            found.append((begin.start(), 3, m.end() + 5))
     return found
 
 
