@@ -45,7 +45,7 @@ def test_components_against_brute_force(spark, prose, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute(rows)
     assert sorted(map(tuple, jaccard.jaccard_components(df).collect())) == want
-    for name, value in (("LONG_LIST", 4), ("HUBS", 2), ("BLOCK_ROWS", 3), ("BATCH_SHINGLES", 500)):
+    for name, value in (("LONG_LIST", 4), ("HUBS", 2), ("BLOCK_ROWS", 3), ("GROUP_ROWS", 4), ("BATCH_SHINGLES", 500)):
         monkeypatch.setattr(jaccard, name, value)
     assert sorted(map(tuple, jaccard.jaccard_components(df).collect())) == want
 

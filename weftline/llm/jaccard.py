@@ -40,6 +40,8 @@ BATCH_SHINGLES = 1_000_000
 HOT_IN_BATCH = 16
 #: Rows of one posting list that meet in one task.
 BLOCK_ROWS = 512
+#: Rows of the posting lists of much the same nodes that meet in one group, and the mean rows of a bucket of groups.
+GROUP_ROWS = 2048
 #: Posting lists above this length go through HUB_ROUNDS rounds of HUBS drawn nodes before pairs are listed.
 LONG_LIST, HUBS, HUB_ROUNDS = 64, 48, 1
 #: Parts of the counts that travel with the nodes of long lists, and the count that stands for any larger one.
@@ -374,8 +376,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component.  Rows that repeat an id come out as often as they go in and share
     the smaller component.  A null id counts as no id: the row comes out with
     the component of its text's other copies, null without any.  Other columns are ignored and may have any
-    name.  An empty table gives an empty result.  Shingles and sets are known by
-    64-bit hashes.
+    name.  An empty table gives an empty result.  Sets are known by 64-bit
+    digests, shingles by 48 bits of their hash within their bucket.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -442,14 +444,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         component = cut(labels)
         placed = place()
 
-    # Lists of much the same nodes go to one bucket, so that a pair comes out of few of them.
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
-    rest = placed.join(open_lists(placed).select("shingle", "kin", blocks.alias("blocks")), "shingle")
+    # Lists of much the same nodes go to one bucket, so that a pair comes out of few of them; where that
+    # would be too many rows, the lists are dealt to several.
+    lists = open_lists(placed).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
+    kins = lists.groupBy("kin").agg(F.ceil(F.sum("rows") / GROUP_ROWS).alias("salts"))
+    lists = cut(lists.join(kins, "kin").select("shingle", "kin", "rows", "blocks", F.pmod(F.xxhash64("shingle"), "salts").alias("salt")))
+    dealt_rows = lists.agg(F.coalesce(F.sum(F.col("rows") * F.col("blocks")), F.lit(0))).first()[0]
+    rest = placed.join(lists.drop("rows"), "shingle")
     rest = rest.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rest = rest.select("kin", "shingle", "node", "n", "pos", "component", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    rest = rest.select("kin", "salt", "shingle", "node", "n", "pos", "component", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk")
     rest = rest.join(sets.select("node", "bins"), "node")
-    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("kin", "lo", "hi"), F.lit(4 * width(spark))))
+    groups = max(4 * width(spark), -(-dealt_rows // GROUP_ROWS))
+    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("kin", "salt", "lo", "hi"), F.lit(groups)))
     more = rest.groupBy("bucket").applyInArrow(tidy_group(_pairs(percent)), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
     final = linked.union(cut(_linked(more, sets, percent)))
 
