@@ -42,3 +42,30 @@ def test_tree_skips_only_distant_leaves(spark):
     cells = embeddings.embedding_links(df, threshold=0.9995).collect()
     single = [(i, np.array(v, np.float32).tolist()) for i, v in rows]
     assert sorted(map(tuple, cells)) == brute(single, 0.9995)
+
+
+def test_many_blocks_and_a_dense_group(spark, monkeypatch):
+    """Blocks of a few leaves, half of the vectors near copies of one: no link is lost between blocks."""
+    monkeypatch.setattr(embeddings, "BLOCK_VALUES", 16 * 600)
+    rng = np.random.default_rng(11)
+    rows = np.concatenate([rng.normal(size=(1200, 16)), rng.normal(size=16) + rng.normal(size=(1300, 16)) * 0.1])
+    rows = [(int(i), rows[k].astype(np.float32).tolist()) for i, k in enumerate(rng.permutation(len(rows)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    unit = np.array([v for _, v in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    label = np.array([i for i, _ in rows])
+    while (low := np.where(near, label, len(rows)).min(axis=1)).tolist() != label.tolist():
+        label = low
+    want = sorted((i, int(n) - 1, int(c), i == c) for (i, _), n, c in zip(rows, near.sum(axis=1), label))
+    assert sorted(map(tuple, embeddings.embedding_links(df).collect())) == want
+
+
+def test_report_of_skipped_pairs(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 64)))]
+    told = embeddings.join_report(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).first()
+    assert told["vectors"] == 3000 and told["pairs"] == 3000 * 3001 // 2
+    assert 3000 <= told["compared"] and told["skipped_share"] > 0.9
+    none = embeddings.join_report(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).first()
+    assert tuple(none) == (0, 0, 0, 1.0)
