@@ -113,3 +113,18 @@ def test_sql_inputs(spark, customers, regions):
         op.sql_inputs("SELECT 1")
     with pytest.raises(Exception):
         op.sql_schema("SELECT nothing FROM input1", customers)
+
+
+def test_range_join_of_long_intervals(spark):
+    """Intervals of every length, to infinity: each goes to a few bins only."""
+    points = [(i, x) for i, x in enumerate([None, -9e15, -3.0, 0.0, 9.5, 10.0, 77.0, 4e9, 3.9e12, 4e12, 1e17])]
+    spans = [(j, lo, hi) for j, (lo, hi) in enumerate([
+        (0.0, 4e12), (-1e16, 1e16), (9.5, 10.0), (10.0, 10.0), (-3.0, 77.0), (5.0, 4.0), (None, 3.0), (3.0, None), (7.0, float("inf")), (float("-inf"), float("inf")), (0.0, 2.0 ** 33)])]
+    p = spark.createDataFrame(points, "i int, x double")
+    s = spark.createDataFrame(spans, "j int, lo double, hi double")
+    for closed in (False, True):
+        got = sorted((r["i"], r["j"]) for r in op.range_join(p, s, "x", "lo", "hi", bin_width=10.0, closed=closed).collect())
+        assert got == sorted((i, j) for i, x in points for j, lo, hi in spans
+                             if None not in (x, lo, hi) and lo <= x and (x <= hi if closed else x < hi))
+    whole = spark.createDataFrame([(0, 4_000_000_000_000)], "lo bigint, hi bigint")
+    assert op.range_join(spark.range(1000), whole, "id", "lo", "hi", bin_width=10).count() == 1000

@@ -26,7 +26,7 @@ def sql_inputs(query: str, *inputs: DataFrame, **named: DataFrame) -> DataFrame:
         raise ValueError("the query has no input tables")
     spark = next(iter(tables.values())).sparkSession
     with _VIEWS:
-        own = {v.name for v in spark.catalog.listTables() if v.isTemporary and not v.namespace}
+        own = {v.name for v in spark.catalog.listTables(pattern="|".join(tables)) if v.isTemporary and not v.namespace}
         kept = {n: spark.table(n) for n in tables if n in own}
         try:
             for name, df in tables.items():

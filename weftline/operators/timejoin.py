@@ -99,6 +99,10 @@ def _latest_by_ranges(
     return matched.join(offers, to_offer).select(*[f"m{k}" for k in keys], "mt", "row")
 
 
+#: The widest bins of an interval join hold 2 ** LAST_LEVEL of the narrowest; four of them cover all bin numbers.
+LAST_LEVEL = 62
+
+
 def range_join(
     left: DataFrame,
     right: DataFrame,
@@ -112,8 +116,12 @@ def range_join(
     """Left rows paired with the right intervals that hold their point.
 
     low <= point < high, or <= high when `closed`.  Points and intervals meet in
-    bins of `bin_width`, so this is an equality join, never all pairs; choose
-    the width near the usual interval length.
+    bins, so this is an equality join, never all pairs.  Bins have `bin_width` or
+    a power of two times it: an interval goes to the narrowest bins of which four at
+    most cover it, whatever its length, and a point to one bin of every width
+    in use (found in a pass over the intervals).  Choose the width near the usual
+    interval length.  Rows with a null point, low or high join with nothing;
+    infinite ends are allowed.
     """
     l, lnames = renamed_side(left, "l")
     r, rnames = renamed_side(right, "r")
@@ -122,9 +130,18 @@ def range_join(
     def bin_number(col: Column) -> Column:
         return F.floor(col / F.lit(bin_width))
 
-    l = l.withColumn("lbin", bin_number(point_col))
-    r = r.where(low_col <= high_col).withColumn("rbin", F.explode(F.sequence(bin_number(low_col), bin_number(high_col))))
-    cond = (F.col("lbin") == F.col("rbin")) & (low_col <= point_col)
+    def shifted(col: Column, level: Column) -> Column:
+        return F.call_function("shiftright", col, level)
+
+    first, last = bin_number(low_col), bin_number(high_col)
+    steps = F.try_subtract(last, first)
+    level = F.when(steps.isNull(), F.lit(LAST_LEVEL)).when(steps < 2, F.lit(0)).otherwise(F.least(F.length(F.bin(steps - 1)), F.lit(LAST_LEVEL)))
+    r = r.where(low_col <= high_col).withColumn("level", level.cast("int"))
+    in_use = r.agg(F.collect_set("level").alias("levels"))
+    r = r.withColumn("rbin", F.explode(F.sequence(shifted(first, F.col("level")), shifted(last, F.col("level")))))
+    l = l.where(point_col.isNotNull()).crossJoin(F.broadcast(in_use)).withColumn("llevel", F.explode("levels")).drop("levels")
+    l = l.withColumn("lbin", shifted(bin_number(point_col), F.col("llevel")))
+    cond = (F.col("lbin") == F.col("rbin")) & (F.col("llevel") == F.col("level")) & (low_col <= point_col)
     cond = cond & ((point_col <= high_col) if closed else (point_col < high_col))
     if on:
         for a, b in key_pairs(on):
