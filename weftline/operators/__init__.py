@@ -8,6 +8,7 @@ from weftline.operators.concat import concat_text
 from weftline.operators.dedup import UniqueSplit, duplicate_rows, unique_rows, unique_split
 from weftline.operators.fuzzy import fuzzy_match, fuzzy_pairs
 from weftline.operators.gaps import ts_fill
+from weftline.operators.markup import infer_xml_type, xml_parse
 from weftline.operators.parse import (
     datetime_format, datetime_parse, infer_json_type, json_parse, regex_match, regex_parse,
     regex_replace, regex_tokenize, split_to_columns, split_to_rows,
@@ -33,12 +34,12 @@ from weftline.operators.windows import Win, ordered_window, qualify
 __all__ = [
     "Agg", "Field", "FilterSplit", "JoinSplit", "Preview", "StepCounts", "UniqueSplit", "Win",
     "asof_join", "column_profile", "concat_text", "crosstab", "datetime_format", "datetime_parse", "duplicate_rows", "exact_median", "filter_split", "find_replace",
-    "formula", "fuzzy_match", "fuzzy_pairs", "infer_json_type", "inner_join", "join_split", "json_parse", "ordered_window",
+    "formula", "fuzzy_match", "fuzzy_pairs", "infer_json_type", "infer_xml_type", "inner_join", "join_split", "json_parse", "ordered_window",
     "preview", "python_aggregate", "python_batches", "python_frames", "python_groups", "qualify",
     "range_join", "recurrence", "regex_match", "regex_parse", "regex_replace", "regex_tokenize",
     "resample_classes", "row_index",
     "sample_every_n", "sample_first", "sample_last", "sample_random_n", "sample_random_pct",
     "select_fields", "sort_rows", "split_to_columns", "split_to_rows", "sql_inputs", "sql_schema",
     "summarize", "tile", "top_k", "transpose", "ts_fill", "union_by_name", "union_by_position", "unique_rows",
-    "unique_split", "unmatched", "unpivot",
+    "unique_split", "unmatched", "unpivot", "xml_parse",
 ]

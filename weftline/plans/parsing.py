@@ -98,3 +98,26 @@ def json_parse_nonobject(t: Tables) -> DataFrame:
     )
     parsed = op.json_parse(lists, "pair")
     return parsed.select("event_id", F.get("pair_parsed", F.lit(0)).alias("first"), F.get("pair_parsed", F.lit(1)).alias("second"))
+
+
+@query("xml_parse", """
+WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus <> 'P' AND o_orderkey % 17 <> 0 AS fine FROM orders)
+SELECT o_orderkey, CASE WHEN fine THEN o_custkey END AS customer, CASE WHEN fine AND o_custkey % 3 <> 0 THEN o_totalprice END AS total,
+  CASE WHEN fine THEN o_orderpriority END AS first_tag, CASE WHEN fine THEN 1 + o_custkey % 2 END AS tags,
+  CASE WHEN fine AND o_custkey % 5 = 0 THEN 'a & b <' || o_orderkey || '>' END AS note, CASE WHEN fine AND o_custkey % 5 = 0 THEN o_orderkey % 10 END AS rank,
+  CASE WHEN fine THEN o_custkey % 2 = 0 END AS open FROM o""")
+def xml_parse(t: Tables) -> DataFrame:
+    """Orders as XML texts with attributes, repeated elements and left-out ones, some null, some broken, to columns again."""
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    text = F.concat(
+        F.lit('<order customer="'), customer, F.lit('">'),
+        F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("<total>"), F.col("o_totalprice").cast("string"), F.lit("</total>"))).otherwise(""),
+        F.lit("<tag>"), F.col("o_orderpriority"), F.lit("</tag>"), F.when(F.col("o_custkey") % 2 == 1, "<tag>again</tag>").otherwise(""),
+        F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit('<note rank="'), (F.col("o_orderkey") % 10).cast("string"), F.lit('">a &amp; b &lt;'), key, F.lit("&gt;</note>"))).otherwise(""),
+        F.lit("<open>"), (F.col("o_custkey") % 2 == 0).cast("string"), F.lit("</open>"), F.when(F.col("o_orderkey") % 17 == 0, "<order>").otherwise("</order>"))
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", text).alias("text"))
+    out = op.xml_parse(rows, "text", on_error="null")
+    tags = F.col("tag")
+    return out.select(
+        "o_orderkey", F.col("_customer").alias("customer"), "total", tags[0].alias("first_tag"), F.when(tags.isNotNull(), F.size(tags)).cast("bigint").alias("tags"),
+        F.col("note._VALUE").alias("note"), F.col("note._rank").alias("rank"), "open")
