@@ -8,15 +8,16 @@
 
 All but the last return the columns they got, the last (doc_id, n_tokens, ids,
 decoded_sha256).  Rows with a null text pass through as empty texts do; a row whose
-doc_id is null is kept by stage 2 unless another document holds its text; rows that
-repeat a doc_id are one document for stage 2, of which one row stays.  An empty
+doc_id is null is a document of its own, judged as any other, and gives way to near copies
+with an id (unless ids reach 2 ** 62: then it is the one that stays); rows that repeat a doc_id are one document for stage 2, of which one row
+stays, and for stage 3, which drops them all if one is contaminated.  An empty
 table gives an empty result at each stage, and extra columns are carried along.
 """
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import bpe
@@ -31,6 +32,8 @@ from weftline.types import name_ref
 
 #: Ids up to which a list of documents to drop is broadcast (16 bytes each); a longer one is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Ids up to which rows without one are numbered above all others.
+ROOM = 1 << 62
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -40,6 +43,25 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """The table with an id of its own for each row without one, and the doc_id to give back in its place.
+
+    Own ids lie above all others, so that rows with an id represent a group; only
+    if ids reach ROOM do they lie below them.  The rows that get one are kept in the shared folder, so that every
+    pass over them, and a task that runs again, sees the same ids.
+    """
+    without = docs.where("doc_id is null")
+    if not without.limit(1).count():
+        return docs, F.col("doc_id")
+    low, high = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)).cast("bigint"), F.coalesce(F.max("doc_id"), F.lit(0)).cast("bigint")).first()
+    number = F.monotonically_increasing_id()
+    own = F.lit(high + 1) + number if high < ROOM else F.lit(low - 1) - number
+    given = cut(without.withColumn("doc_id", own))
+    known = F.col("doc_id") <= high if high < ROOM else F.col("doc_id") >= low
+    back = F.when(known, F.col("doc_id")).cast(docs.schema["doc_id"].dataType)
+    return docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint")).unionByName(given), back
+
+
 def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The table with names that no operator's own columns have (but for doc_id), and the map to them."""
     names = {c: c if c == "doc_id" else f"column{i}" for i, c in enumerate(docs.columns)}
@@ -58,23 +80,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = docs.columns
+    docs, doc_id = _numbered(docs)
     found = jaccard_components(docs)
     kept = _without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
-    copies = kept.where("doc_id is null and text is not null")
-    if copies.limit(1).count():
-        known = docs.where("doc_id is not null").select(F.col("text").alias("known_text")).distinct()
-        alone = copies.join(known, F.col("text") == F.col("known_text"), "left_anti")
-        kept = kept.where("doc_id is not null or text is null").unionByName(alone)
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.limit(1).count():
         one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         kept = _without(kept, again).unionByName(one)
-    return kept
+    return kept.select(*(doc_id.alias(c) if c == "doc_id" else name_ref(c) for c in columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = docs.columns
+    docs, doc_id = _numbered(docs)
     judged = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, judged.where("contaminated and doc_id is not null").select("doc_id").distinct())
+    kept = _without(docs, judged.where("contaminated").select("doc_id").distinct())
+    return kept.select(*(doc_id.alias(c) if c == "doc_id" else name_ref(c) for c in columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
