@@ -74,6 +74,25 @@ def test_stages_with_odd_rows(spark, prose, tmp_path):
     assert docs.count() == 5
 
 
+def test_rows_without_an_id_are_judged(spark, prose, tmp_path):
+    """Near copies and contaminated texts go whether or not they have an id; each null row counts for itself."""
+    _, items = folder(spark, prose, tmp_path)
+    long, other = prose(11, 90), prose(12, 90)
+    near = " ".join([*long.split()[:-1], "changed"])
+    dirty = prose(13, 40) + " " + items[0][1]
+    rows = [(None, near, "a"), (5, long, "b"), (None, other, "c"), (None, other, "c2"), (None, dirty, "d"), (9, dirty + " and more", "e"), (None, None, "f"), (None, None, "g")]
+    for high in (100, 2**62 + 5):
+        docs = spark.createDataFrame([*rows, (high, prose(14, 30), "h")], "doc_id bigint, text string, tag string")
+        kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and kept.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        tags = {(r["doc_id"], r["tag"]) for r in kept.collect()}
+        one = {t for t in tags if t[1] in ("c", "c2")}
+        of_group = {(5, "b"), (9, "e")} if high == 100 else {(None, "a"), (None, "d")}
+        assert len(one) == 1 and tags - one == {*of_group, (None, "f"), (None, "g"), (high, "h")}
+        clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+        assert {(r["doc_id"], r["tag"]) for r in clean} == {(None, "a"), (5, "b"), (None, "c"), (None, "c2"), (None, "f"), (None, "g"), (high, "h")}
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} <= {n.split("_")[0] + "_" for n in names if n.startswith("op")}
