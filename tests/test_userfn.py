@@ -59,3 +59,27 @@ def test_step_counts(customers, tmp_path):
     assert counts.rows() == {"all": 8, "west": 4}
     with pytest.raises(ValueError):
         counts.watch("all", customers)
+
+
+@pytest.mark.parametrize("keys", [["k"], ["k", "x"], []])
+def test_python_groups_takes_many_whole_groups_in_one_call(spark, keys):
+    """Null and NaN keys are groups; one goes over many batches; another group's nulls change no integer."""
+    big = 2**53 + 1
+    rows = [(big + i % 900, float("nan") if i % 900 < 2 else i % 2 * 1.0, i if i % 7 else None, f"s{i}") for i in range(2700)]
+    rows += [(None, 0.5, big, "n")] * 40 + [(7, -0.0, 3, None), (7, 0.0, 4, None)] + [(-5, 1.0, i, "hot") for i in range(1500)]
+    df = spark.createDataFrame(rows, "k bigint, x double, first bigint, s string").repartition(7)
+    held = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(held, 200)
+    try:
+        def sums(g):
+            made = g.groupby(keys, dropna=False, as_index=False) if keys else g.assign(all=0).groupby("all", as_index=False)
+            made = made.agg(rows=("s", "size"), total=("first", "sum"), least=("k", "min"))
+            return made.assign(call=str(sorted(g.s.fillna("")))[:300] + str(len(g)))[["least", "rows", "total", "call"]]
+
+        out = op.python_groups(df, keys, sums, "least bigint, rows bigint, total bigint, call string", many=True).collect()
+        empty = op.python_groups(df.limit(0), keys, sums, "least bigint, rows bigint, total bigint, call string", many=True).collect()
+    finally:
+        spark.conf.unset(held)
+    want = df.groupBy(*keys).agg(F.min("k"), F.count("*"), F.coalesce(F.sum("first"), F.lit(0)))
+    assert sorted((r.least or 0, r.rows, r.total) for r in out) == sorted((r[-3] or 0, r[-2], r[-1]) for r in want.collect())
+    assert len({r.call for r in out}) <= 30 and empty == []

@@ -41,12 +41,14 @@ GROUP BY ALL""")
 def python_groups(t: Tables) -> DataFrame:
     """Longest run of rising prices of each customer; customer 1 stands for a null key."""
     def longest(orders: pd.DataFrame) -> pd.DataFrame:
-        prices = orders.sort_values("o_orderkey").o_totalprice
-        runs = (~(prices.diff() > 0)).cumsum()
-        return pd.DataFrame({"customer": orders.customer.iloc[:1], "streak": [int(runs.value_counts().max())]})
+        rows = orders.sort_values(["customer", "o_orderkey"])
+        # A customer's first row has no difference, so no run goes on from one to the next.
+        runs = (~(rows.groupby("customer", dropna=False).o_totalprice.diff() > 0)).cumsum()
+        streaks = rows.groupby(runs).agg(customer=("customer", "first"), streak=("o_totalprice", "size"))
+        return streaks.groupby("customer", as_index=False, dropna=False).streak.max()
 
     orders = t.orders.select(F.nullif("o_custkey", F.lit(1)).alias("customer"), "o_orderkey", "o_totalprice")
-    return op.python_groups(orders, ["customer"], longest, "customer bigint, streak bigint")
+    return op.python_groups(orders, ["customer"], longest, "customer bigint, streak bigint", many=True)
 
 
 @query("python_aggregate", """
