@@ -161,3 +161,34 @@ def test_partitions_are_pruned(spark, tmp_path):
     joined = src.read_partitioned(spark, path).join(spark.read.parquet(names).where("name = 'two'"), "g", "left_semi")
     assert "dynamicpruning" in joined._jdf.queryExecution().optimizedPlan().toString().lower()
     assert joined.count() == 300
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_concat_text_follows_the_order_across_ranges_of_long_texts(spark, keys):
+    """Texts that share their first 64 characters, with keys behind them, in both directions."""
+    rng = random.Random(5)
+    data = [(rng.choice([1.5, 0.0, -0.0, None]), "p" * rng.choice([1, 63, 64, 65, 66]) + rng.choice("AB"), rng.choice([None, 1.5, -2.0]), rng.choice(["x", "é" * 70 + "1", "é" * 70 + "2"])) for _ in range(900)]
+    df = spark.createDataFrame(data, "k double, t string, x double, v string").repartition(5)
+    for down in (False, True):
+        got = op.concat_text(df, keys, "v", [("t", "desc" if down else "asc"), ("x", "desc")], "out", "|", hot_rows=40)
+        want = {}
+        for k, t, x, v in data:
+            want.setdefault(k if keys else 0, []).append((t, x is not None, -(x or 0), v))
+        plain = lambda rows: sorted(sorted(rows, key=lambda r: r[1:]), key=lambda r: r[0], reverse=down)
+        assert {r[0] if keys else 0: r["out"] for r in got.collect()} == {k: "|".join(r[3] for r in plain(rows)) for k, rows in want.items()}
+
+
+def test_concat_text_sorts_no_long_list_by_a_lambda_and_cuts_groups_of_half_a_million(spark):
+    df = spark.range(600_000).select(F.lit(1).alias("k"), (F.col("id") % 1000).alias("o"), F.col("id").cast("string").alias("v"))
+    out = op.concat_text(df, ["k"], "v", [("o", "desc")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "RepartitionByExpression" in plan
+    want = sorted(range(600_000), key=lambda i: (-(i % 1000), str(i)))
+    assert out.first()["concat_v"] == ", ".join(map(str, want))
+
+
+def test_concat_text_refuses_no_text_that_a_cell_holds(spark):
+    df = spark.range(70).select(F.lit(1).alias("k"), "id", F.repeat(F.lit("x"), 1_000_000).alias("v"))
+    assert op.concat_text(df, ["k"], "v", ["id"]).columns == ["k", "concat_v"]
+    with pytest.raises(ValueError):
+        op.concat_text(df, ["k"], "v", ["id"], most_bytes=70_000_000)
