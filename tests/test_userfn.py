@@ -4,6 +4,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from weftline import operators as op
+from weftline.plans import QUERIES
 
 
 def test_python_frames(customers):
@@ -83,3 +84,14 @@ def test_python_groups_takes_many_whole_groups_in_one_call(spark, keys):
     want = df.groupBy(*keys).agg(F.min("k"), F.count("*"), F.coalesce(F.sum("first"), F.lit(0)))
     assert sorted((r.least or 0, r.rows, r.total) for r in out) == sorted((r[-3] or 0, r[-2], r[-1]) for r in want.collect())
     assert len({r.call for r in out}) <= 30 and empty == []
+
+
+def test_udtf_takes_rows_in_batches(spark, tmp_path):
+    """With Arrow each call made a table of its own; here thousands of rows share a batch."""
+    rows = [(1, "red bolt", 3), (2, None, 3), (3, "", 3), (4, "a  é", 3), (5, "left out", 7), (6, "x", None)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    out = QUERIES["udtf"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+    assert out.schema.simpleString() == "struct<p_partkey:bigint,place:int,word:string>"
+    assert rows_of(out) == [(1, 1, "red"), (1, 2, "bolt"), (2, None, None), (3, 1, ""), (4, 1, "a"), (4, 2, ""), (4, 3, "é"), (5, None, None), (6, None, None)]

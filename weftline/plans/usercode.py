@@ -119,7 +119,8 @@ SELECT p_partkey, CAST(unnest(generate_series(1, len(w))) AS INTEGER) AS place,
 FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part WHERE p_size <> 7)
 UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_size = 7""")
 def udtf(t: Tables) -> DataFrame:
-    @F.udtf(returnType="place int, word string", useArrow=True)
+    # Rows go to and fro in batches of pickles; with Arrow each row would make a table of its own.
+    @F.udtf(returnType="place int, word string", useArrow=False)
     class Words:
         def eval(self, text: str):
             if text is None:
