@@ -137,6 +137,17 @@ def test_find_replace_against_plain_replacing(spark, monkeypatch, limit):
     assert op.find_replace(df.limit(0), "text", lookup, "f", "text").collect() == []
 
 
+def test_find_replace_sorts_no_copies_of_entries(spark):
+    """A hash aggregate leaves one of each entry before the least replacement is found, for which Spark sorts."""
+    lookup = spark.range(1000).selectExpr("concat('f', id % 3) AS f", "concat('p', id % 6) AS p")
+    df = spark.createDataFrame([("f0",), ("f1 f2",), ("x",), (None,)], "t string")
+    out = op.find_replace(df, "t", lookup, "f", "p", whole=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan
+    assert rows_of(out) == [(None,), ("f1 f2",), ("p0",), ("x",)]
+    assert rows_of(op.find_replace(df, "t", lookup, "f", "p")) == [(None,), ("p0",), ("p1 p2",), ("x",)]
+
+
 @pytest.mark.parametrize("hot_rows", [10**6, 20])
 def test_tiles_against_plain_sums(spark, hot_rows):
     rng = random.Random(7)

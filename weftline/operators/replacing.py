@@ -69,7 +69,10 @@ def find_replace(df: DataFrame, field: str, lookup: DataFrame, find: str, replac
     if not isinstance(df.schema[field].dataType, T.StringType):
         raise TypeError(f"column {field!r} is no text")
     entries = lookup.select(name_ref(find).cast("string").alias("find"), F.coalesce(name_ref(replacement).cast("string"), F.lit("")).alias("put"))
-    entries = entries.where("find <> ''").groupBy("find").agg(F.min("put").alias("put"))
+    # For `min` of a text Spark sorts all rows it gets, so copies go first, in a hash aggregate.
+    # Without the count the optimizer would take that step for redundant.
+    pairs = entries.where("find <> ''").groupBy("find", "put").agg(F.count("*").alias("copies")).where("copies > 0")
+    entries = pairs.groupBy("find").agg(F.min("put").alias("put"))
     if whole:
         return _joined(df, field, entries)
     size = F.octet_length("find") + F.octet_length("put") + 32
